@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, langid, mixing, quality
-from sparkloom.llm.common import documents
+from sparkloom.llm import bpe, extract, langid, mixing, quality, topk, warc
+from sparkloom.llm.common import documents, pages
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,6 +18,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(pages(spark, sf_dir))
+
+
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pages(spark, sf_dir).select("page_id", "url", "html")
+    found = extract.main_text(table, extract.fit(table))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer).drop("text")
     decoded = bpe.decode(encoded, tokenizer)
@@ -29,6 +39,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/by
     )
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(documents(spark, sf_dir))
 
@@ -41,4 +56,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op6_bpe, op8_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_extract, op6_bpe, op7_topk, op8_quality, op10_langid)}
