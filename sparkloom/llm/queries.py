@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, extract, langid, mixing, quality, topk, warc
+from sparkloom.llm import bpe, extract, langid, lm, mixing, near, quality, topk, warc
 from sparkloom.llm.common import documents, pages
 
 #: Where the public vocabulary files lie.
@@ -28,6 +28,10 @@ def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer).drop("text")
     decoded = bpe.decode(encoded, tokenizer)
@@ -48,6 +52,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(documents(spark, sf_dir))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
@@ -56,4 +64,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_extract, op6_bpe, op7_topk, op8_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid)}
