@@ -15,6 +15,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose tokens a worker remembers; all are forgotten beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of the words that are merged side by side; longer ones are merged one at a time.
 SHORT = 100
 #: Code points of the texts encoded together.
@@ -266,6 +267,11 @@ def blocks(lengths: list[int], most: int = BLOCK) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+def _encoded(batch: pa.Array, bpe: ByteBpe) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for rows in blocks(pc.fill_null(pc.utf8_length(batch), 0).to_pylist()):
+        yield bpe.encode([t or "" for t in batch[rows].to_pylist()])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with the token ids of text, array<int>. path: a tokenizers file that every executor can read."""
 
@@ -273,11 +279,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         for batch in batches:
-            out = []
-            for rows in blocks(pc.fill_null(pc.utf8_length(batch), 0).to_pylist()):
-                flat, ends = bpe.encode([t or "" for t in batch[rows].to_pylist()])
-                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+            for flat, ends in _encoded(batch, bpe):
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -293,3 +296,23 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
             yield pa.array([bpe.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)], pa.string())
 
     return tokens.withColumn(into, texts(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "tokens") -> DataFrame:
+    """docs with a struct of what encode() and then decode() give for text, without the ids and texts themselves:
+    n_tokens, ids_sha256 of the decimal ids joined by commas, and decoded_sha256 of the decoded text."""
+
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = vocabulary(path)
+        decimal = [str(i) for i in range(bpe.size)]
+        for batch in batches:
+            for flat, ends in _encoded(batch, bpe):
+                ids_sha, text_sha = [], []
+                for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                    ids = flat[a:b].tolist()
+                    ids_sha.append(sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    text_sha.append(sha256(bpe.decode(ids).encode()).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.withColumn(into, digests(F.col(text)))

@@ -33,14 +33,8 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer).drop("text")
-    decoded = bpe.decode(encoded, tokenizer)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    tokens = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer)
+    return tokens.select("doc_id", "tokens.n_tokens", "tokens.ids_sha256", "tokens.decoded_sha256")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
