@@ -298,11 +298,12 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     return tokens.withColumn(into, texts(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "tokens") -> DataFrame:
-    """docs with a struct of what encode() and then decode() give for text, without the ids and texts themselves:
-    n_tokens, ids_sha256 of the decimal ids joined by commas, and decoded_sha256 of the decoded text."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "tokens", keep_ids: bool = False) -> DataFrame:
+    """docs with a struct of what encode() and then decode() give for text, in one pass: n_tokens, ids_sha256 of the
+    decimal ids joined by commas, decoded_sha256 of the decoded text, and on demand the ids."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
-    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * keep_ids + ">")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         decimal = [str(i) for i in range(bpe.size)]
@@ -313,6 +314,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "toke
                     ids = flat[a:b].tolist()
                     ids_sha.append(sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     text_sha.append(sha256(bpe.decode(ids).encode()).hexdigest())
-                yield pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                yield pa.StructArray.from_arrays(columns, names)
 
     return docs.withColumn(into, digests(F.col(text)))
