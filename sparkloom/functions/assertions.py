@@ -144,6 +144,6 @@ def glob_regex(pattern: str) -> str:
 
 def audio_quality(samples: Column, rate: int) -> Column:
     """too_short under 1.5 s, clipped over a peak of 0.98, too_quiet under a root mean square of 0.01, else ok."""
-    seconds, peak = F.size(samples) / rate, F.array_max(samples)
+    seconds, peak = F.size(samples) / rate, F.array_max(F.transform(samples, F.abs))
     rms = F.sqrt(F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size(samples))
     return F.when(seconds < 1.5, "too_short").when(peak > 0.98, "clipped").when(rms < 0.01, "too_quiet").otherwise("ok")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MASK = "****"
 #: Keys whose values are secrets.
-SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "secret_key", "private_key", "auth", "credential")
+SENSITIVE = ("password", "passwd", "pwd", "pass", "secret", "token", "key", "api_key", "auth", "credential", "access_token", "private_key")
 NONCE, SALT = 12, 16
 ROUNDS = 200_000
 
@@ -125,19 +125,25 @@ def masked_pairs(raw: Column, sensitive: Sequence[str] = SENSITIVE) -> Column:
     return F.when(F.exists(parts, secret), F.when(raw.contains(";"), F.array_join(out, ";")).otherwise(F.array_join(out, "&")))
 
 
-#: Patterns of secrets in free text, each with what is kept.
+#: Patterns of secrets in connection strings, each with what is kept.
 GENERIC = (
+    (r"(?i)(password=)[^;&\s]+", f"$1{MASK}"),
+    (r"(?i)(pwd=)[^;&\s]+", f"$1{MASK}"),
+    (r"(?i)(pass=)[^;&\s]+", f"$1{MASK}"),
+    (r"(?i)(:)([^@:/]+)(@)", f"$1{MASK}$3"),
+)
+#: Patterns of secrets that are assigned in free text.
+ASSIGNED = (
     (r"(?i)\b(password|passwd|pwd)(\s*[:=]\s*)([^\s;&,]+)", f"$1$2{MASK}"),
     (r"(?i)\b(token|secret|api_?key|access_?key)(\s*[:=]\s*)(\"?)([^\s\";&,]+)(\"?)", f"$1$2$3{MASK}$5"),
     (r"(?i)\b(bearer)(\s+)([A-Za-z0-9._~+/-]+=*)", f"$1$2{MASK}"),
-    (r"://([^:/@\s]+):([^@\s]+)@", f"://$1:{MASK}@"),
 )
 
 
-def masked_text(raw: Column) -> Column:
+def masked_text(raw: Column, patterns: Sequence[tuple[str, str]] = GENERIC) -> Column:
     """Text with secrets masked; null if there is none."""
     out = raw
-    for pattern, kept in GENERIC:
+    for pattern, kept in patterns:
         out = F.regexp_replace(out, pattern, kept)
     return F.when(out != raw, out)
 

@@ -15,6 +15,10 @@ from sparkloom.functions.text import month_text, parse_date, prefix, soundex_par
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {"stringify": stringify, "year": year_text, "month": month_text}
 
 
+#: Fixed value: the label of masked ids.
+MASK_LABEL = "MASK"
+
+
 def derived_fields(df: DataFrame, schema: Mapping[str, str], specs: Mapping[str, Mapping[str, str]]) -> DataFrame:
     """df with a column per spec {from, transform}, in order; from names a key of schema (its column is the value) or
     an earlier derived field."""
@@ -56,7 +60,7 @@ def enabled(recipe: Mapping[str, Any], versions: Sequence[str], families: Mappin
 
 
 def masked_id(df: DataFrame, id_column: str, key: bytes, length: int = 22) -> DataFrame:
-    return df.withColumn("masked_id", tokens(key, F.lit("masked_id"), stringify(F.col(id_column)), length))
+    return df.withColumn("masked_id", tokens(key, F.lit(MASK_LABEL), stringify(F.col(id_column)), length))
 
 
 def with_token_ids(df: DataFrame, crosswalk: DataFrame, new_id: Column) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.reshape import datatype_spec
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!@#$%^&*()_+-=[]{}|;:,.<>"
+#: Fixed value: the characters of random texts.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ1234567890@#$%^&*()_+-`~=;:',<.>?*"
 
 
 def _numpy(draw: Callable[[np.random.Generator, int], np.ndarray], seed: int) -> Column:

@@ -498,7 +498,7 @@ def mask_url(spark, sf_dir):
 
 @query("""SELECT doc_id, regexp_replace(text, '(?i)\\b(token|secret|api_?key|access_?key)(\\s*[:=]\\s*)("?)([^\\s";&,]+)("?)', '\\1\\2\\3****\\5', 'g') AS masked FROM documents WHERE regexp_matches(text, '(?i)\\b(token|secret|api_?key|access_?key)(\\s*[:=]\\s*)("?)([^\\s";&,]+)("?)')""")
 def mask_text(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", security.masked_text(F.col("text")).alias("masked"))
+    found = table(spark, sf_dir, "documents").select("doc_id", security.masked_text(F.col("text"), security.ASSIGNED).alias("masked"))
     return found.where("masked is not null")
 
 
@@ -560,7 +560,7 @@ def text_similarity(spark, sf_dir):
     return n.join(other, "n_nationkey").select("n_name", "other", assertions.similarity(F.lower("n_name"), F.lower("other")).alias("ratio"))
 
 
-@query("SELECT vec_id, CASE WHEN list_max(embedding) > 0.98 THEN 'clipped' WHEN sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]) / len(embedding)) < 0.01 THEN 'too_quiet' ELSE 'ok' END AS quality FROM embeddings")
+@query("SELECT vec_id, CASE WHEN list_max([abs(x) FOR x IN embedding]) > 0.98 THEN 'clipped' WHEN sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]) / len(embedding)) < 0.01 THEN 'too_quiet' ELSE 'ok' END AS quality FROM embeddings")
 def audio_quality(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", assertions.audio_quality(F.col("embedding"), 16).alias("quality"))
 

@@ -86,9 +86,10 @@ def test_content_hash(spark):
 
 
 def test_masking(spark):
-    raw = ["postgres://u:pw@h/db", "postgres://h/db", "user=a;PWD=b;x=1", "a=1&token=2", "the password: abc, yes", "Bearer abc.def", "", "plain"]
-    want = ["postgres://u:****@h/db", "postgres://h/db", "user=a;PWD=****;x=1", "a=1&token=****", "the password: ****, yes", "Bearer ****", "", "plain"]
+    raw = ["postgres://u:pw@h/db", "postgres://h/db", "user=a;PWD=b;x=1", "a=1&token=2", "log in with password=abc now", "mail u:pw@h", "", "plain"]
+    want = ["postgres://u:****@h/db", "postgres://h/db", "user=a;PWD=****;x=1", "a=1&token=****", "log in with password=**** now", "mail u:****@h", "", "plain"]
     assert column(spark, raw, security.masked) == want
+    assert column(spark, ['my token = "abc" and', "Bearer abc.def", "the password: x, yes"], lambda c: security.masked_text(c, security.ASSIGNED)) == ['my token = "****" and', "Bearer ****", "the password: ****, yes"]
 
 
 def test_recipes(spark):
