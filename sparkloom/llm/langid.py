@@ -26,6 +26,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Most labelled texts per language that a model is fitted on.
 PER_LANGUAGE = 20_000
+#: n-grams that a longer text counts as, so that no text alone makes a language; counts are kept in parts of 1 / UNIT.
+LONG, UNIT = 10_000, 64
 #: Bound of the broadcast matrix; with many languages the buckets are halved until it holds.
 MATRIX_BYTES = 64 << 20
 #: Code points scored at once.
@@ -62,8 +64,8 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     for batch in batches:
         for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
             mine = counts.setdefault(lang, np.zeros(buckets, np.int64))
-            for part in parts(text):
-                mine += np.bincount(grams(part, buckets), minlength=buckets)
+            own = sum(np.bincount(grams(part, buckets), minlength=buckets) for part in parts(text)) if text else mine * 0
+            mine += np.rint(own * (UNIT * min(1.0, LONG / max(1, own.sum())))).astype(np.int64)
     for lang, mine in counts.items():
         full = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(mine[full])], ["lang", "bucket", "n"])
@@ -82,7 +84,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, per_language / sizes[k]) * (1 << 30)))])
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
     rows = sample.mapInArrow(partial(_count, buckets=buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((buckets, len(languages)), 0.5)
+    counts = np.full((buckets, len(languages)), 0.5 * UNIT)
     place = {k: i for i, k in enumerate(languages)}
     column = [place[k] for k in rows.column("lang").to_pylist()]
     counts[rows.column("bucket").to_numpy(), column] += rows.column("n").to_numpy()
