@@ -45,7 +45,7 @@ def _covered(windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the counts of COUNTS and base_failed, each under prefix."""
+    """docs with the counts of COUNTS, n_lines, n_distinct (words) and base_failed, each under prefix."""
     p = "__q_"
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({f"{p}words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), f"{p}lines": F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)})
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         "n_dup_lines": F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines")),
         "n_repeat_words": repeats,
     }
-    out = out.withColumns({f"{prefix}{k}": v.cast("long") for k, v in counts.items()} | {f"{prefix}n_lines": F.size(f"{p}lines").cast("long")})
+    out = out.withColumns({f"{prefix}{k}": v.cast("long") for k, v in counts.items()} | {f"{prefix}n_lines": F.size(f"{p}lines").cast("long"), f"{prefix}n_distinct": F.size(F.array_distinct(f"{p}words")).cast("long")})
     n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
     return out.drop(f"{p}words", f"{p}lines", f"{p}windows").withColumn(f"{prefix}base_failed", (n < 50) | (100 * r > 50 * n))
 

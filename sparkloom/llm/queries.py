@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, extract, langid, lm, mixing, near, quality, topk, warc
+from sparkloom.llm import bpe, extract, langid, lm, mixing, near, quality, topk, warc, weak
 from sparkloom.llm.common import documents, pages
 
 #: Where the public vocabulary files lie.
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(pages(spark, sf_dir))
 
@@ -58,4 +62,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid)}
+    return {f.__name__: f for f in (op1_mixing, op2_weak_labels, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid)}

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkloom.llm import bpe, langid, lm, mixing, near, quality
+from sparkloom.llm import bpe, langid, lm, mixing, near, quality, weak
 from sparkloom.llm.queries import TOKENIZERS
 from tests.llm.docs import frame, rows
 
@@ -210,7 +210,7 @@ def test_language_model_in_small_blocks_agrees(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("run", [mixing.mixed, mixing.mix, near.near_duplicates, near.deduplicate, quality.annotate, quality.filter_documents, langid.identify, lm.score, lambda d: bpe.round_trip(d, BPE, into="x")])
+@pytest.mark.parametrize("run", [mixing.mixed, mixing.mix, near.near_duplicates, near.deduplicate, quality.annotate, quality.filter_documents, langid.identify, lm.score, weak.classify, lambda d: bpe.round_trip(d, BPE, into="x")])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []
 
@@ -224,6 +224,15 @@ def test_only_wordless_rows(spark):
     assert all(r["n_tokens"] == 1 for r in lm.score(frame(spark, data)).collect())
 
 
+def test_weak_labels(spark):
+    found = weak.classify(frame(spark)).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(d for d, *_ in rows())
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert all(kept[i] for i in range(60) if i != 5) and not any(kept[i] for i in (103, 104, 105, 111))
+    assert all(0 <= r["posterior"] <= 1 and 0 <= r["score"] <= 1 and set(r["votes"]) <= set("012") and len(r["votes"]) == len(weak.labellers()) for r in found)
+    assert len({(r["votes"], r["score"]) for r in found if r["doc_id"] == 2}) == 1
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     docs = frame(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkloom.llm import bpe, lm, near
+from sparkloom.llm import bpe, lm, near, weak
 from sparkloom.llm.oracle import oracle_sql
 from sparkloom.llm.queries import TOKENIZERS, op9_lm, op10_langid, queries
 
@@ -122,8 +123,30 @@ def test_language_model_beats_its_base_on_held_out_documents(spark, sf_dir):
     assert r["s"] / r["n"] > r["b"] / r["n"] + 0.1
 
 
+def test_agreement_finds_accuracies():
+    rng = np.random.default_rng(8)
+    k, right, n = len(weak.labellers()), np.linspace(0.65, 0.95, len(weak.labellers())), 20_000
+    truth = rng.random(n) < 0.8
+    vote = np.where(rng.random((n, k)) < right, truth[:, None], ~truth[:, None]) * 2
+    vote[rng.random((n, k)) < 0.3] = 1
+    patterns = pd.Series((vote * 3 ** np.arange(k)).sum(1)).value_counts().rename_axis("pattern").reset_index(name="n")
+    found = weak.agreement(patterns)
+    assert abs(found.good - 0.8) < 0.02 and np.abs(found.accuracy() - right).max() < 0.03
+    posterior = np.array([found.posterior[p] for p in (vote * 3 ** np.arange(k)).sum(1)])
+    assert ((posterior > 0.5) == truth).mean() > 0.97
+    assert weak.agreement(patterns.iloc[:0]).posterior == {}
+
+
+def test_weak_labels_find_labelled_quality(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = queries()["op2_weak_labels"](spark, sf_dir).join(labels, "doc_id").collect()
+    good, bad = ([r["kept"] for r in found if r["quality"] == q] for q in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
 def test_names():
     names = list(queries())
     assert [n for n in names if n.startswith("op")] == names and set(oracle_sql()) <= set(names)
-    assert [n.split("_")[0] for n in names] == ["op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+    assert [n.split("_")[0] for n in names] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
     assert len(corpus_pipeline.STAGES) == 5
