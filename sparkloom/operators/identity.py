@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.dml import diff_null_safe, last_wins
+from sparkloom.operators.numbering import numbered
 
 NO_ORDER = 999_999
 
@@ -52,9 +53,8 @@ def with_alternative(rows: DataFrame) -> DataFrame:
 
     Hashes that many share are found by aggregation, not by a window, so that no task holds all rows of one."""
     valid = rows.where(is_valid(F.col("token_hash")) & F.col("tokenid").isNotNull())
-    # the least by (date, greatest id): max_by over the least date, in two aggregations that combine before the shuffle
-    dates = valid.groupBy("token_hash").agg(F.min("create_date").alias("__date"))
-    firsts = valid.join(dates, "token_hash").where(F.col("create_date").eqNullSafe(F.col("__date"))).groupBy("token_hash").agg(F.max(F.struct("tokenid", "token_order")).alias("__first"))
+    earliest = F.struct(F.coalesce(-F.unix_micros("create_date"), F.lit(-(1 << 62))), "tokenid")
+    firsts = valid.groupBy("token_hash").agg(F.max_by(F.struct("tokenid", "token_order"), earliest).alias("__first"))
     joined = rows.drop("alt_tokenid").join(firsts, "token_hash", "left")
     f = F.col("__first")
     ok = is_valid(F.col("token_hash")) & f["token_order"].eqNullSafe(F.col("token_order")) & (f["tokenid"] != F.col("tokenid"))
@@ -127,8 +127,8 @@ def merge_history(history: DataFrame, crosswalk: DataFrame) -> DataFrame:
 
 def person_ids(final: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Step 16: final crosswalk (detokenid, id) with the next numbers for new identities, in the order of their
-    first start. Numbers must be dense, so the new identities, and they alone, are numbered in one place."""
+    first start."""
     new = crosswalk.where("detokenid is not null").groupBy("detokenid").agg(F.min("startdate").alias("first")).join(final.select("detokenid"), "detokenid", "left_anti")
     last = final.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    place = F.row_number().over(W.orderBy(F.col("first").asc_nulls_last(), "detokenid"))
-    return final.select("detokenid", "id").unionByName(new.crossJoin(F.broadcast(last)).select("detokenid", (F.col("__last") + place).cast("long").alias("id")))
+    rows = numbered(new, F.col("first").asc_nulls_last(), F.col("detokenid").asc())
+    return final.select("detokenid", "id").unionByName(rows.join(F.broadcast(last)).select("detokenid", (F.col("__last") + F.col("number")).cast("long").alias("id")))

@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
+from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -475,8 +475,9 @@ def r15_history(spark, sf_dir):
     UNION ALL SELECT detokenid, (SELECT count(DISTINCT detokenid) FROM {_CLOSED} WHERE detokenid LIKE 'D1%') + row_number() OVER (ORDER BY first, detokenid) FROM (SELECT detokenid, min(startdate) AS first FROM {_CLOSED} WHERE detokenid NOT LIKE 'D1%' GROUP BY detokenid)"""
 )
 def r16_person_ids(spark, sf_dir):
-    rows = closed(spark, sf_dir)
-    final = rows.where("detokenid like 'D1%'").select("detokenid").distinct().select("detokenid", F.row_number().over(W.orderBy("detokenid")).cast("long").alias("id"))
+    with_checkpoints(spark)
+    rows = closed(spark, sf_dir).checkpoint()
+    final = numbered(rows.where("detokenid like 'D1%'").select("detokenid").distinct(), F.col("detokenid"), into="id")
     return identity.person_ids(final, rows)
 
 
@@ -723,20 +724,6 @@ def crawl(spark, sf_dir):
     return sync.crawl(edges, c.where("url = 1"), 4)
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Sets the folder for checkpoints if the context has none: that of spark.checkpoint.dir, else one of its own in
-    local mode."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 # generated data
 def _generated(name: str) -> Run:
     return lambda spark, sf_dir: spark.range(10_000).select(generate.distribution(name, 7).alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, generate, identity, reshape, rollups, sync
-from sparkloom.plans.queries import with_checkpoints
+from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.sources import files, scripts, tables
 
 
@@ -165,6 +165,12 @@ def test_paths_of_a_tree(spark):
     assert {r["id"]: r["path"] for r in sync.paths(nodes).collect()} == {1: "root", 2: "root/a", 3: "root/a/b"}
 
 
+def test_numbers_are_dense(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    assert [(r["x"], r["number"]) for r in numbered(df, F.col("x").desc()).orderBy("number").collect()] == [(999 - i, i + 1) for i in range(1000)]
+    assert numbered(df.where("x < 0"), F.col("x")).count() == 0
+
+
 def test_distributions_have_their_means(spark):
     means = {"uniform": 50, "normal": 0, "exponential": 1, "poisson": 5, "binomial": 5, "gamma": 4, "beta": 2 / 7, "pareto": 1, "weibull": 1, "lognormal": 1.6487}
     df = spark.range(40_000).select(*[generate.distribution(n, 3).alias(n) for n in means])
