@@ -156,3 +156,9 @@ def exception_class(message: Column, default: str) -> Column:
 
 def duration_ms(started: Column, finished: Column, stored: Column) -> Column:
     return F.coalesce((F.unix_micros(finished) - F.unix_micros(started)) / 1000, stored)
+
+
+def dated_names(entries: Column) -> Column:
+    """Map of date text to name of an array of `date - name`; entries without the mark are left out."""
+    fine = F.filter(entries, lambda e: e.contains(" - "))
+    return F.map_from_entries(F.transform(fine, lambda e: F.struct(F.trim(F.split_part(e, F.lit(" - "), F.lit(1))), F.trim(F.regexp_replace(e, "^.*? - ", "")))))

@@ -125,3 +125,25 @@ class Snapshots:
         version = (self.versions() or [0])[-1] + 1
         df.write.parquet(f"{self.path}/v{version:08d}")
         return version
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_lines(df: DataFrame, path: str, column: str) -> None:
+    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def html_table(df: DataFrame, most: int = 1000) -> str:
+    """The first rows as an HTML table, for reports; most bounds what reaches the driver."""
+    escape = lambda v: "" if v is None else str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    row = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape(v)}</{tag}>" for v in values) + "</tr>"
+    return "<table>" + row("th", df.columns) + "".join(row("td", r) for r in df.limit(most).collect()) + "</table>"
+
+
+def merged_tables(spark: SparkSession, folder: str, sep: str = ",") -> DataFrame:
+    """All tables of a folder as one, columns by name, with the file that each row is from."""
+    paths = [r["path"] for r in walk(spark, folder, glob="*.csv").orderBy("path").collect()]
+    out = read_directory(spark, paths, [], sep)
+    return out if paths else spark.createDataFrame([], "value string")

@@ -68,3 +68,15 @@ def migrate(spark: SparkSession, tables: Mapping[str, DataFrame], schema: str, p
         except Exception as e:  # noqa: BLE001  told in the row
             out.append((name, "failed", None, str(e).splitlines()[0][:500]))
     return spark.createDataFrame(out, "name string, action string, rows long, detail string")
+
+
+RUNS = "id long, runner string, started_at timestamp, finished_at timestamp, status string, metadata string"
+TEST_RESULTS = "id long, run_id long, test_name string, file_path string, line int, outcome string, duration double, details string"
+COVERAGE_REPORTS = "id long, run_id long, total_coverage double, covered long, measured long, created_at timestamp, metadata string"
+SITE_PAGES = "id long, url string, chunk_number int, title string, summary string, content string, metadata string, embedding array<float>, created_at timestamp"
+
+
+def reflect(spark: SparkSession, schema: str) -> DataFrame:
+    """A row per column of the schema's tables: table, column, type and whether it may be null."""
+    rows = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(schema) for c in spark.catalog.listColumns(f"{schema}.{t.name}")]
+    return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean")

@@ -5,10 +5,10 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import assertions, security, text
+from sparkloom.functions import assertions, code, security, text
 from sparkloom.operators import deid, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
-from sparkloom.sources import files, scripts, tables
+from sparkloom.sources import config, files, scripts, tables
 
 
 def column(spark, values, c, kind="string"):
@@ -246,5 +246,38 @@ def test_catalog(spark):
     assert {r["action"] for r in tables.migrate(spark, frames, "copies", dry_run=True).collect()} == {"planned"}
     assert {(r["name"], r["action"], r["rows"]) for r in tables.migrate(spark, frames, "copies", "p__").collect()} == {("a", "created", 3), ("b", "created", 2)}
     assert {(r["action"], r["rows"]) for r in tables.migrate(spark, frames, "copies", "p__", only=["a"]).collect()} == {("appended", 6)}
+    assert {(r["table"], r["column"]) for r in tables.reflect(spark, "copies").collect()} == {("p__a", "id"), ("p__b", "id")}
     assert not tables.ensure_table(spark, "copies.p__a", frames["a"].schema)
     spark.sql("DROP SCHEMA copies CASCADE")
+
+
+def test_functions_of_sources(spark):
+    source = 'class A:\n    def f(self, a: int = 1, *rest, k=None, **more):\n        """Doc."""\n        def g(): pass\n\nasync def h(x): return x\n'
+    df = spark.createDataFrame([("a.py", source), ("bad.py", "def ("), ("none.py", None)], "path string, source string")
+    found = code.function_rows(df, "path", "source")
+    rows = {r["name"]: r for r in found.collect()}
+    assert set(rows) == {"f", "g", "h"} and rows["f"]["owner"] == "A" and rows["g"]["owner"] == "A.f" and rows["f"]["docstring"] == "Doc."
+    signatures = {r["name"]: r["s"] for r in found.select("name", rollups.signature(F.col("name"), F.col("args")).alias("s")).collect()}
+    assert signatures == {"f": "f(self, a: int = 1, *rest, k = None, **more)", "g": "g()", "h": "h(x)"}
+
+
+def test_configuration():
+    assert config.with_environment({"a": ["${X}/b", 1]}, {"X": "y"}) == {"a": ["y/b", 1]}
+    with pytest.raises(KeyError):
+        config.with_environment("${NO}", {})
+    assert config.extract({"a": {"b": 1}}, ["a.b", "a.c"], strict=False) == {"a.b": 1}
+    with pytest.raises(KeyError):
+        config.extract({}, ["a"])
+    assert config.coerced("Yes", "bool") is True and config.coerced("a, b,", "list") == ["a", "b"]
+    assert config.delays(4, 1, 2, 5) == [1, 2, 4, 5] and all(0 <= d <= 5 for d in config.delays(9, 1, 2, 5, jitter=True, seed=1))
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "<a>"), (2, None)], "n int, t string")
+    files.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    files.write_lines(df, str(tmp_path / "t"), "n")
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()} == {"1", "2"}
+    assert files.html_table(df.where("n = 1")) == "<table><tr><th>n</th><th>t</th></tr><tr><td>1</td><td>&lt;a&gt;</td></tr></table>"
+    assert column(spark, [["2024-01-01 - New - Year", "odd"]], text.dated_names, "array<string>") == [{"2024-01-01": "New - Year"}]
+    assert tables.ddl("x", tables.SITE_PAGES).startswith("CREATE TABLE IF NOT EXISTS x (id long")
