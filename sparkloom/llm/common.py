@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,12 +29,27 @@ def scratch_root(spark: SparkSession) -> str:
     return _own.setdefault("root", tempfile.mkdtemp(prefix="sparkloom-"))
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        _delete(spark, folder)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read."""
+    """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read, and those
+    left go with the driver's process."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{scratch_root(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        mine = f"{scratch_root(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+        if mine not in _own:
+            _own[mine] = mine
+            atexit.register(_delete_at_exit, spark, mine)
+        self.folder = f"{mine}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a Parquet table of the shared folder; survives the loss of any executor."""
@@ -41,10 +58,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.folder}/{name}")
 
 
 def small(table: DataFrame, row_bytes: int = 200, rows: int | None = None) -> DataFrame:

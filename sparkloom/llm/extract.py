@@ -1,10 +1,10 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is a sequence of words, which score by where they stand, and of tags, which score below zero. A linear scan
-finds the contiguous run of highest total score, which is the content region; its text is returned block by block,
-without what stands in menus, sidebars, notices, adverts, forms, comments and the like inside of it. The weights are
-log odds learned from labelled pages: those that mark their content by an article or main element. There, the label
-also counts for or against every word.
+A page is a sequence of words, which score above zero by where they stand, and of tags, which score below. A linear
+scan finds the contiguous run of highest total score, which is the content region; its text is returned block by
+block. What stands in menus, sidebars, notices, adverts, forms, comments and the like neither scores nor is returned.
+The weights are log odds learned from labelled pages: those that mark their content by an article or main element. On
+such a page the label counts too, and words beside it score below zero.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by one
 newline. Null, empty or wordless pages give an empty text. Long pages are scanned whole. Repeated rows give equal
@@ -142,7 +142,7 @@ def feature(item: Item) -> str:
     """What a word's weight depends on."""
     kind = "h" if re.fullmatch(r"h[1-6]", item.tag) else item.tag if item.tag in ("p", "li", "pre", "blockquote", "table", "tr") else "other"
     length = min(3, int(math.log2(item.words + 1) / 2))
-    return f"{'out' if item.outside else 'in'} {'link' if item.linked else 'text'} {kind} {length}"
+    return f"{'link' if item.linked else 'text'} {kind} {length}"
 
 
 class Weights(NamedTuple):
@@ -157,18 +157,15 @@ def usual() -> Weights:
 
 
 def word_weight(item: Item, weights: Weights) -> float:
-    known = weights.words.get(f := feature(item))
-    if known is not None:
-        return known
-    return -2.0 if f.startswith("out") else -0.5 if item.linked else 1.0
+    return weights.words.get(feature(item), 0.2 if item.linked else 1.0)
 
 
 def weigh(counts: dict[tuple[str, str], tuple[float, float]]) -> Weights:
     """Weights from how many words of each feature, and tags of each name, stand inside and outside of labelled
-    content. Words: log odds, between -3 and 3. Tags: between -1.5 and -0.02, the lower the more they belong outside."""
+    content. Words: log odds, between 0.1 and 3. Tags: between -1.5 and -0.02, the lower the more they belong outside."""
     inside = sum(v[0] for k, v in counts.items() if k[0] == "word") + 1
     beside = sum(v[1] for k, v in counts.items() if k[0] == "word") + 1
-    words = {k[1]: max(-3.0, min(3.0, math.log((v[0] + 1) / (v[1] + 1)))) for k, v in counts.items() if k[0] == "word"}
+    words = {k[1]: max(0.1, min(3.0, math.log((v[0] + 1) / (v[1] + 1)))) for k, v in counts.items() if k[0] == "word"}
     tags = {k[1]: -max(0.02, min(1.5, math.log1p((v[1] + 0.1) / beside / ((v[0] + 0.1) / inside)) / 4)) for k, v in counts.items() if k[0] == "tag"}
     return Weights(words, tags, 4.0)
 
@@ -179,11 +176,12 @@ def count(page: str) -> Counter:
     out: Counter = Counter()
     if any(i.label and not i.outside and i.words for i in found):
         for i in found:
-            inside = i.label and not i.outside
+            if i.outside:
+                continue
             if i.text is None:
-                out["tag", i.tag, inside] += 1
+                out["tag", i.tag, i.label] += 1
             elif i.words:
-                out["word", feature(i), inside] += i.words
+                out["word", feature(i), i.label] += i.words
     return out
 
 
@@ -194,15 +192,14 @@ def extract(page: str | None, weights: Weights) -> str:
     labelled = any(i.label and not i.outside and i.words for i in found)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for at, i in enumerate(found):
+        if i.outside:
+            continue
         if i.text is None:
-            score = weights.tags.get(i.tag, -0.2)
-            if labelled and not i.label:
-                score -= 0.5
+            score = -0.02 if labelled and i.label else weights.tags.get(i.tag, -0.2) - (0.5 if labelled else 0.0)
         elif i.words:
-            score = word_weight(i, weights)
-            if labelled:
-                score = max(score, 0.5) if i.label and not i.outside else min(score, -0.5) - (0.0 if i.label else weights.label)
-            score *= i.words
+            score = word_weight(i, weights) * i.words
+            if labelled and not i.label:
+                score = -weights.label * i.words
         else:
             continue
         if total <= 0:
