@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, small
 
-CELLS = 16
+#: Cells of a dimension; a number of one byte.
+CELLS = 256
 #: Queries of one scan: what is sent to the executors at once stays under this many vectors.
 QUERIES = 16_384
 #: Queries and vectors whose bounds are computed together.
