@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.plans.builder import Conditions, checked
@@ -64,8 +63,14 @@ def affected(table: DataFrame, where: Conditions) -> int:
 def upsert_first_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """One row per key: an existing one if there is one, else the first of the new ones by order."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("__new", order))
-    return both.withColumn("__place", place).where("__place = 1").drop("__new", "__place")
+    return first_rows(both, keys, F.struct("__new", order)).drop("__new")
+
+
+def first_rows(table: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """Per key the row of the least order, which must not be null. An aggregation, so that the rows of a frequent key
+    are thinned out before they meet."""
+    rest = [c for c in table.columns if c not in keys]
+    return table.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in table.columns])
 
 
 def publish(existing: DataFrame, new: DataFrame, key: str, changed: str) -> DataFrame:
@@ -78,8 +83,9 @@ def publish(existing: DataFrame, new: DataFrame, key: str, changed: str) -> Data
 
 def last_wins(table: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The last row per key by order: what a lookup table keeps of repeated keys."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(order.desc_nulls_last()))
-    return table.withColumn("__place", place).where("__place = 1").drop("__place")
+    rest = [c for c in table.columns if c not in keys]
+    last = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order)).alias("__row"))
+    return last.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in table.columns])
 
 
 def diff_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators.dml import diff_null_safe, last_wins
+from sparkloom.operators.dml import diff_null_safe, first_rows, last_wins
 from sparkloom.operators.numbering import numbered
 
 NO_ORDER = 999_999
@@ -63,8 +63,8 @@ def with_alternative(rows: DataFrame) -> DataFrame:
 
 def best_rows(rows: DataFrame) -> DataFrame:
     """Step 7: per tokenid the row with an alternative, of the least alternative, order, date and hash."""
-    place = F.row_number().over(W.partitionBy("tokenid").orderBy(F.col("alt_tokenid").isNull(), "alt_tokenid", F.coalesce("token_order", F.lit(NO_ORDER)), F.col("create_date").asc_nulls_last(), F.col("token_hash").asc_nulls_last()))
-    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+    last = lambda c: (F.col(c).isNull(), F.col(c))  # noqa: E731  nulls come last
+    return first_rows(rows, ["tokenid"], F.struct(*last("alt_tokenid"), F.coalesce("token_order", F.lit(NO_ORDER)), *last("create_date"), *last("token_hash")))
 
 
 def with_identity(best: DataFrame, token_crosswalk: DataFrame, new_id: Column) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.dml import first_rows
+
 MODES = {"upload": ("upload", "update_remote"), "download": ("download", "update_local"), "manual": (), "auto": ("upload", "download", "update_local", "update_remote", "local_conflict", "remote_conflict", "refresh", "forget")}
 
 
@@ -112,8 +113,8 @@ def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int =
 
 def first_in_day(requests: DataFrame, key: Column, ts: str, order: str) -> DataFrame:
     """The first request per key and calendar day, without state."""
-    place = F.row_number().over(W.partitionBy(key, F.to_date(ts)).orderBy(ts, order))
-    return requests.withColumn("__place", place).where("__place = 1").drop("__place")
+    days = requests.withColumns({"__key": key, "__day": F.to_date(ts)})
+    return first_rows(days, ["__key", "__day"], F.struct(ts, order)).drop("__key", "__day")
 
 
 def apply_changes(index: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
