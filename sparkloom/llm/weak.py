@@ -42,7 +42,7 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def labellers(p: str = "") -> dict[str, Column]:
-    """Votes by labeller, 0 for bad, 1 for none, 2 for good, from the counts of quality.measure() and of votes()."""
+    """Votes by labeller, 0 for bad, 1 for none, 2 for good, from the counts of quality.measure() and of read()."""
     c = lambda k: F.col(f"{p}{k}")
     n, chars, lines = c("n_words"), c("word_chars"), c("n_lines")
     return {
@@ -61,17 +61,9 @@ def labellers(p: str = "") -> dict[str, Column]:
 
 
 def votes(docs: DataFrame, text: str = "text", prefix: str = "__w_") -> DataFrame:
-    """docs with <prefix>pattern: the votes as digits of a number to base three."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = quality.measure(docs, text, prefix).withColumns(
-        {
-            f"{prefix}n_letters": F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
-            f"{prefix}n_marked": F.regexp_count(t, F.lit(r"[^\s\p{L}\p{N}]{2,}(?=\s|$)|(?<!\S)[^\s\p{L}\p{N}](?=\s|$)")),
-            f"{prefix}n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
-            f"{prefix}n_frequent": F.regexp_count(t, F.lit(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(FREQUENT) + r")(?![\p{L}\p{N}])")),
-            f"{prefix}n_stops": F.regexp_count(t, F.lit(r"[.!?](?:\s|$)")),
-        }
-    )
+    """docs with <prefix>features, and <prefix>pattern: the votes as digits of a number to base three."""
+    out = quality.measure(docs, text, prefix).withColumn(f"{prefix}read", read(F.col(text)))
+    out = out.withColumns({f"{prefix}{c}": F.col(f"{prefix}read.{c}") for c in ("features", *COUNTS)})
     pattern = F.lit(0)
     for i, v in enumerate(labellers(prefix).values()):
         pattern = pattern + v * 3**i
@@ -129,17 +121,29 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's features, of length one and the constant."""
+WHITE, STOPS, MARKS = [3, 4], [5, 7, 8], list(range(5, 16))
+COUNTS = ("n_letters", "n_upper", "n_marked", "n_stops", "n_frequent")
+FREQUENT_HASHES = pd.util.hash_array(np.array(FREQUENT, object), categorize=False)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+    """Indices and values of a text's features, of length one and the constant; and COUNTS: letters, capitals, words
+    that end in several marks or are one, marks that end a sentence, and function words."""
     counts = np.zeros(DIMENSIONS - 1, np.int64)
-    text = text or ""
-    for i in range(0, len(text), BLOCK):
-        points = np.frombuffer(text[i : i + BLOCK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+    padded = f" {text or ''} "
+    for i in range(0, len(padded), BLOCK):
+        points = np.frombuffer(padded[i : i + BLOCK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
         shape = np.where(points < 256, CLASSES[np.minimum(points, 255)], 0)
         if len(shape) > 2:
             counts[:SHAPES] += np.bincount(shape[:-2] * 256 + shape[1:-1] * 16 + shape[2:], minlength=SHAPES)
-    number, _, hashes = words_of(pa.array([text]))
+    cube = counts[:SHAPES].reshape(16, 16, 16)
+    middle = cube.sum((0, 2))  # of every character but the two that pad
+    marked = cube[np.ix_(MARKS, MARKS, WHITE)].sum() + cube[np.ix_(WHITE, MARKS, WHITE)].sum()
+    found = [middle[0] + middle[1], middle[1], marked, cube.sum(0)[np.ix_(STOPS, WHITE)].sum()]
+    number, _, hashes = words_of(pa.array([text], pa.string()))
+    frequent = 0
     if len(number):
+        frequent = np.isin(hashes, FREQUENT_HASHES)[number].sum()
         counts[SHAPES:] += np.bincount((hashes[number] % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
     at = np.flatnonzero(counts)
     value = np.sqrt(counts[at].astype(np.float64))
@@ -147,16 +151,19 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for part in (half, ~half):  # shapes and words weigh the same
         if part.any():
             value[part] /= np.sqrt(2 * (value[part] ** 2).sum())
-    return np.append(at, DIMENSIONS - 1).astype(np.uint16), np.append(value, 1).astype(np.float16)
+    return np.append(at, DIMENSIONS - 1).astype(np.uint16), np.append(value, 1).astype(np.float16), (*map(int, found), int(frequent))
 
 
-def packed(text: Column) -> Column:
-    """The features of a text as bytes: indices, then values, two bytes each."""
+def read(text: Column) -> Column:
+    """Struct of a text's features as bytes, indices and then values of two bytes each, and of COUNTS."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<features: binary, " + ", ".join(f"{c}: long" for c in COUNTS) + ">")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([b"".join(x.tobytes() for x in features(t.as_py())) for t in batch], pa.binary())
+            rows = [features(t.as_py()) for t in batch]
+            columns = [pa.array([r[0].tobytes() + r[1].tobytes() for r in rows], pa.binary())]
+            columns += [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
+            yield pa.StructArray.from_arrays(columns, ["features", *COUNTS])
 
     return pack(text)
 
@@ -210,8 +217,8 @@ def scored(packed_: Column, weights: np.ndarray) -> Column:
 def classify(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, votes (a digit per labeller: 0 bad, 1 none, 2 good), posterior, score and kept."""
     scratch = Scratch(docs.sparkSession, "weak")
-    slim = votes(docs.select("doc_id", "text")).withColumn("features", packed(F.col("text")))
-    slim = scratch.write(slim.select("doc_id", F.col("__w_pattern").alias("pattern"), F.col("__w_n_words").alias("n_words"), F.xxhash64("text").alias("key"), "features"), "slim")
+    slim = votes(docs.select("doc_id", "text"))
+    slim = scratch.write(slim.select("doc_id", F.col("__w_pattern").alias("pattern"), F.col("__w_n_words").alias("n_words"), F.xxhash64("text").alias("key"), F.col("__w_features").alias("features")), "slim")
     patterns = slim.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # 3 ** 11 rows at most
     labels = agreement(patterns)
     known = docs.sparkSession.createDataFrame([(int(k), float(v)) for k, v in labels.posterior.items()], "pattern int, posterior double")
