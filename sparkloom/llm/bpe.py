@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches
+
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose tokens a worker remembers; all are forgotten beyond it.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Bytes of the words that are merged side by side; longer ones are merged one at a time.
 SHORT = 100
 #: Code points of the texts encoded together.
@@ -275,12 +277,15 @@ def _encoded(batch: pa.Array, bpe: ByteBpe) -> Iterator[tuple[np.ndarray, np.nda
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with the token ids of text, array<int>. path: a tokenizers file that every executor can read."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         for batch in batches:
             for flat, ends in _encoded(batch, bpe):
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        bpe.known.clear()  # the worker may be kept for other work
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -288,6 +293,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """tokens with the text of ids. Null ids give a null text; bytes that aren't UTF-8 give U+FFFD."""
 
+    small_batches(tokens.sparkSession)
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
@@ -301,6 +308,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
 def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "tokens", keep_ids: bool = False) -> DataFrame:
     """docs with a struct of what encode() and then decode() give for text, in one pass: n_tokens, ids_sha256 of the
     decimal ids joined by commas, decoded_sha256 of the decoded text, and on demand the ids."""
+    small_batches(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * keep_ids + ">")
@@ -318,5 +326,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "toke
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
                 yield pa.StructArray.from_arrays(columns, names)
+        bpe.known.clear()  # the worker may be kept for other work
 
     return docs.withColumn(into, digests(F.col(text)))

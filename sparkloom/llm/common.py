@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 #: Tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+ARROW_ROWS = 1000
 
 _own: dict[str, str] = {}
 
@@ -45,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         mine = f"{scratch_root(spark)}/sparkloom/{spark.sparkContext.applicationId}"
         if mine not in _own:
             _own[mine] = mine
@@ -62,6 +64,13 @@ class Scratch:
             _delete(self.spark, f"{self.folder}/{name}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_ROWS rows, as long texts make larger ones heavy for workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def small(table: DataFrame, row_bytes: int = 200, rows: int | None = None) -> DataFrame:
     """table with a broadcast hint if its counted rows stay under BROADCAST_BYTES, else as it is, for a shuffled
     join whose hot keys adaptive execution splits."""

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches
+
 #: Most pages that the weights are learned from, those of the smallest hash.
 LABELLED = 20_000
 
@@ -247,6 +249,7 @@ def fit(pages: DataFrame, most: int = LABELLED) -> Weights:
 
 def main_text(pages: DataFrame, weights: Weights, into: str = "text") -> DataFrame:
     """pages with the main text of html."""
+    small_batches(pages.sparkSession)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

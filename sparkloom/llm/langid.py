@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Most labelled texts per language that a model is fitted on.
@@ -134,6 +136,7 @@ def score(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """docs with a struct column of the predicted language, lang string, and its probability, score double."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double>")
