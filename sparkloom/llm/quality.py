@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACES, WORD, Scratch, key_of, small
+from sparkloom.llm.common import WORD, Scratch, key_of, small
 
 SYMBOLS = "#*$%&|<>"
 #: Of each rate by the thousand: the bounds of its cutoff.
@@ -26,42 +26,39 @@ LEAST_GROUP = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _windows(words: Column) -> Column:
-    """A hash of every three neighbouring words."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _repeat_words(docs: DataFrame, words: str) -> DataFrame:
+    """docs with __q_repeats: of the words of a column, those in three-word windows found twice or more. Each step is
+    a column of its own, as a lambda's argument would be computed anew for each use."""
+    out = docs.withColumn("__q_hashed", F.transform(words, lambda w: F.xxhash64(w)))
     most = F.greatest(F.size(words) - 2, F.lit(0))
-    a, b, c = (F.slice(hashed, i, most) for i in (1, 2, 3))
-    return F.zip_with(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), c, lambda xy, z: F.xxhash64(xy, z))
-
-
-def _covered(windows: Column) -> Column:
-    """Words in the windows found twice or more."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.zip_with(placed, F.slice(placed, 2, F.size(placed)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    a, b, c = (F.slice("__q_hashed", i, most) for i in (1, 2, 3))
+    out = out.withColumn("__q_windows", F.zip_with(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), c, lambda xy, z: F.xxhash64(xy, z))).drop("__q_hashed")
+    placed = F.sort_array(F.transform("__q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("__q_placed", F.when(F.size("__q_windows") > F.size(F.array_distinct("__q_windows")), placed)).drop("__q_windows")
+    pairs = F.zip_with("__q_placed", F.slice("__q_placed", 2, F.size("__q_placed")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     twice = F.filter(pairs, lambda p: p["x"]["h"] == p["y"]["h"])
     at = F.sort_array(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["x"]["i"], p["y"]["i"])))))
-    gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
-    return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
+    out = out.withColumn("__q_at", at).drop("__q_placed")
+    gaps = F.zip_with("__q_at", F.slice("__q_at", 2, F.size("__q_at")), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
+    return out.withColumn("__q_repeats", F.coalesce(F.aggregate(gaps, F.lit(0), lambda total, x: total + x), F.lit(0))).drop("__q_at")
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with the counts of COUNTS, n_lines, n_distinct (words) and base_failed, each under prefix."""
     p = "__q_"
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({f"{p}words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), f"{p}lines": F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)})
-    out = out.withColumns({f"{p}windows": _windows(F.col(f"{p}words"))})
-    windows = F.col(f"{p}windows")
-    n, repeats = F.size(f"{p}words"), F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(_covered(windows))
+    out = docs.withColumns({f"{p}words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), f"{p}lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))})
+    out = _repeat_words(out, f"{p}words")
     counts = {
-        "n_words": n,
-        "word_chars": F.length(F.translate(t, SPACES, "")),
-        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_words": F.size(f"{p}words"),
+        "word_chars": F.length(F.array_join(f"{p}words", "")),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")),
         "n_dup_lines": F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines")),
-        "n_repeat_words": repeats,
+        "n_repeat_words": F.col(f"{p}repeats"),
     }
     out = out.withColumns({f"{prefix}{k}": v.cast("long") for k, v in counts.items()} | {f"{prefix}n_lines": F.size(f"{p}lines").cast("long"), f"{prefix}n_distinct": F.size(F.array_distinct(f"{p}words")).cast("long")})
     n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return out.drop(f"{p}words", f"{p}lines", f"{p}windows").withColumn(f"{prefix}base_failed", (n < 50) | (100 * r > 50 * n))
+    return out.drop(f"{p}words", f"{p}lines", f"{p}repeats").withColumn(f"{prefix}base_failed", (n < 50) | (100 * r > 50 * n))
 
 
 def rates(prefix: str = "") -> dict[str, Column]:
