@@ -34,6 +34,7 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 SPACED = frozenset("br td th".split())
 CONTENT = frozenset(("article", "main"))
+FRAMES = ("nav", "header", "footer", "form")
 #: Elements and roles whose text is never content, and words of class and id that say the same.
 OUTSIDE = frozenset("nav footer aside form header button dialog menu search label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -66,12 +67,13 @@ def _marks(tag: str, attributes: str, labelled: bool) -> bool:
     """Whether an element is no content by its name or attributes."""
     if tag in OUTSIDE and not (tag == "header" and labelled):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
+            # an article's classes often tell what its page has, as in has-sidebar, so there only whole ones count
+            words = set(value.split() if tag == "article" else re.split(r"[^a-z0-9]+", value))
             if words & NAMES and not (labelled and words & NAMES == {"header"}):
                 return True
         elif name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
@@ -82,6 +84,7 @@ def _marks(tag: str, attributes: str, labelled: bool) -> bool:
 def items(page: str) -> list[Item]:
     out: list[Item] = []
     stack: list[tuple[str, bool]] = []  # open elements, each with whether it is outside
+    opened: Counter = Counter()  # of each tag, so that the stack is not searched for one that isn't there
     outside = labels = links = 0
     block = "body"
 
@@ -89,6 +92,7 @@ def items(page: str) -> list[Item]:
         nonlocal outside, labels, links
         while len(stack) > depth:
             tag, out_ = stack.pop()
+            opened[tag] -= 1
             outside -= out_
             labels -= tag in CONTENT
             links -= tag == "a"
@@ -105,32 +109,30 @@ def items(page: str) -> list[Item]:
             continue
         ends, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if ends:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag in RAW:
             if not attributes.endswith("/"):
                 found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = found.end() if found else len(page)
         else:
-            if tag in BLOCKS:  # ends an open paragraph
+            if tag in BLOCKS and opened["p"]:  # ends an open paragraph
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close(i)
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            if tag in CONTENT:  # isn't part of a menu that was never closed
-                depth = next((i for i, x in enumerate(stack) if x[0] in ("nav", "header", "footer", "form")), None)
-                if depth is not None:
-                    close(depth)
-            if tag == "li":
+            if tag in CONTENT and any(opened[x] for x in FRAMES):  # isn't part of a menu that was never closed
+                close(next(i for i, x in enumerate(stack) if x[0] in FRAMES))
+            if tag == "li" and opened["li"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol", "menu")), None)
                 if depth is not None and stack[depth][0] == "li":
                     close(depth)
             if tag not in VOID and not attributes.endswith("/"):
                 mark = _marks(tag, attributes, labels > 0)
                 stack.append((tag, mark))
+                opened[tag] += 1
                 outside += mark
                 labels += tag in CONTENT
                 links += tag == "a"

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch
+from sparkloom.llm.common import Scratch, small
 from sparkloom.llm.tokens import mixed, words_of
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
@@ -267,7 +267,7 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, types = totals[0] or 0, totals[1] or 0
     replies = answers.where("block is not null").select("block", "kind", "shard", "counts")
     tuning = blocks.where("tuning")
-    asked = replies.join(F.broadcast(tuning.select("block")), "block", "left_semi")  # a number per 8 MB of text
+    asked = replies.join(small(tuning.select("block"), 40), "block", "left_semi")
     grid = tuning.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(partial(_held_out, tokens=tokens), GRID)
     grid = grid.groupBy("bucket", "f2", "f1").agg(*[F.sum(c).alias(c) for c in ("n", "sum2", "sum1")]).toPandas()
     mix = weights(grid, types)

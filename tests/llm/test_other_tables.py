@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,21 @@ def test_main_text_without_a_label():
     assert extract.extract(page, extract.usual()) == TEXT
 
 
+@pytest.mark.parametrize("where", ["inside", "after"])
+def test_comments_marked_as_articles_are_not_main_text(where):
+    comment = "<article class='comment'><p>no reader comment, however many words it may take to say so</p></article>"
+    ends = f"{comment}</article>" if where == "inside" else f"</article>{comment}"
+    page = f"<body><article class='post has-sidebar no-comments'><h1>Heading</h1><p>Some words of the article itself.</p>{ends}</body>"
+    assert extract.extract(page, extract.usual()) == "Heading\nSome words of the article itself."
+
+
+def test_tags_that_are_never_closed_cost_no_more_than_others():
+    began = time.perf_counter()
+    page = "<article>" + "<span>word</b> " * 40_000
+    assert extract.extract(page, extract.usual()) == " ".join(["word"] * 40_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<div><br></div>"), (4, "u", "plain words"), (5, "u", "<p>a < b && c <"), (6, "u", "<article>" + "<p>long text</p>" * 20_000), (6, "u", "<!-- only -- a comment"), (None, "u", "<script>never closed <p>x")]
     found = {(r["page_id"], r["html"]): r["main"] for r in extract.main_text(pages(spark, rows), extract.usual(), into="main").collect()}
