@@ -155,7 +155,8 @@ def exception_class(message: Column, default: str) -> Column:
 
 
 def duration_ms(started: Column, finished: Column, stored: Column) -> Column:
-    return F.coalesce((F.unix_micros(finished) - F.unix_micros(started)) / 1000, stored)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.coalesce((micros(finished) - micros(started)) / 1000, stored)
 
 
 def dated_names(entries: Column) -> Column:

@@ -741,3 +741,195 @@ def gen_table(spark, sf_dir):
 @query()
 def gen_profile(spark, sf_dir):
     return generate.profiles(spark, "personal", 1000, 5)
+
+
+# functions over columns: text
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) END, '') AS customer FROM orders")
+def stringified(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.stringify(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))).alias("customer"))
+
+
+@query("SELECT p_partkey, lower(trim('  ' || p_type || ' ')) AS name FROM part")
+def canonical_identifier(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.canonical(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("name"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(replace(lower(trim(regexp_replace(t, '[^a-zA-Z0-9_\\- ]', '', 'g'))), ' ', '_'), ''), 'untitled') AS slug FROM (SELECT p_partkey, CASE WHEN p_size < 5 THEN '#!' ELSE p_type || ' (' || p_brand || ')' END AS t FROM part)")
+def heading_slug(spark, sf_dir):
+    heading = F.when(F.col("p_size") < 5, "#!").otherwise(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(heading).alias("slug"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS INT) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)")
+def rough_tokens(spark, sf_dir):
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(ascii_).cast("int").alias("n"))
+
+
+@query("SELECT n_nationkey, replace(replace('Dear {{name}} of {{region}}, {{name}}!', '{{name}}', n_name), '{{region}}', CAST(n_regionkey AS VARCHAR)) AS letter FROM nation")
+def filled_template(spark, sf_dir):
+    letter = text.fill_template(F.lit("Dear {{name}} of {{region}}, {{name}}!"), {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")})
+    return table(spark, sf_dir, "nation").select("n_nationkey", letter.alias("letter"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def fenced_reply(spark, sf_dir):
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("no answer")
+    return table(spark, sf_dir, "events").select("event_id", text.fenced_json(reply, "k long")["k"].alias("k"))
+
+
+@query("SELECT p_partkey, 'libs.' || p_size || '.part' AS module FROM part")
+def module_names(spark, sf_dir):
+    path = F.concat(F.lit("libs\\"), F.col("p_size").cast("string"), F.lit("/part.py"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.module_of(path).alias("module"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['libs.a' || p_size, 'libs.b'] ELSE ['libs.b'] END AS modules FROM part")
+def module_imports(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    code = F.concat(F.lit("from libs.b import x\nimport os\n  import libs.b\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("import libs.a"), size)).otherwise("x = 'import libs.c'"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.imported_modules(code, "libs").alias("modules"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 OR c_custkey % 3 = 1 AS plausible FROM customer")
+def plausible_connection(spark, sf_dir):
+    raw = F.when(F.col("c_custkey") % 3 == 0, "host=db;user=me").when(F.col("c_custkey") % 3 == 1, "db://host/x").otherwise("plain words")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.looks_like_connection(raw).alias("plausible"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id, NULL::VARCHAR AS secret, 1::INT AS parameters FROM customer")
+def safe_parameters(spark, sf_dir):
+    params = text.safe_query(F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit("&Password=x&token=y")), security.SENSITIVE)
+    return table(spark, sf_dir, "customer").select("c_custkey", params["id"].alias("id"), params["Password"].alias("secret"), F.size(params).alias("parameters"))
+
+
+@query("SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[^a-z0-9]+', '-', 'g'), 1, 80) || '-20240601000000-' || substr(sha1(url), 1, 8) || '.md' AS file_name FROM pages")
+def page_files(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.page_file_name(F.col("url"), now()).alias("file_name"))
+
+
+@query("SELECT user_id, [user_id || '-Jan', '2-Feb'] AS days, ['New Year - ' || user_id, 'other'] AS names FROM (SELECT DISTINCT user_id FROM events)")
+def holiday_names(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    entries = F.array(F.concat(user, F.lit("-Jan - New Year - "), user), F.lit("2-Feb - other"), F.lit("no date"))
+    named = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("h", text.dated_names(entries))
+    return named.select("user_id", F.map_keys("h").alias("days"), F.map_values("h").alias("names"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal / 10000 >= 0.7 THEN 'high' WHEN s_acctbal / 10000 >= 0.4 THEN 'medium' ELSE 'low' END AS badge FROM supplier")
+def score_badge(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.badge(F.col("s_acctbal") / 10000).alias("badge"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 1.5::DOUBLE ELSE -1.0::DOUBLE END AS ms FROM events")
+def statement_ms(spark, sf_dir):
+    end = F.when(F.col("event_id") % 2 == 0, F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") * 1500))
+    return table(spark, sf_dir, "events").select("event_id", text.duration_ms(F.col("ts"), end, F.lit(-1.0)).alias("ms"))
+
+
+# functions over columns: hashes and encryption
+@query("SELECT page_id, sha256(coalesce(html, '')) AS plain, sha1('PATH::' || url || coalesce(html, '')) AS salted, md5(coalesce(html, '')) AS short FROM pages")
+def content_hashes(spark, sf_dir):
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", security.content_hash(html).alias("plain"), security.content_hash(html, F.col("url"), "sha1").alias("salted"), security.content_hash(html, algorithm="md5").alias("short"))
+
+
+@query("SELECT c_custkey, c_name AS opened, CAST(length(c_name) + 28 AS INT) AS sealed_bytes FROM customer")
+def sealed_round_trip(spark, sf_dir):
+    key = hashlib.sha256(KEY).digest()
+    sealed = table(spark, sf_dir, "customer").select("c_custkey", security.encrypt(F.col("c_name"), key).alias("sealed"))
+    return sealed.select("c_custkey", security.decrypt(F.col("sealed"), key).alias("opened"), F.octet_length(F.unbase64(F.translate("sealed", "-_", "+/"))).alias("sealed_bytes"))
+
+
+# assertions
+@query("SELECT c_custkey, c_mktsegment LIKE '%BUILD%' AS has, NOT contains(lower(c_name), '1') AS lacks, true AS lines FROM customer")
+def text_predicates(spark, sf_dir):
+    name = F.col("c_name")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", assertions.matches(F.col("c_mktsegment"), "build", "i").alias("has"), assertions.not_contains(name, F.lit("1")).alias("lacks"), assertions.same_lines(F.concat(name, F.lit("\n A,b  c")), F.concat(F.lit(" "), F.upper(name), F.lit("\naB  c!"))).alias("lines")
+    )
+
+
+@query("SELECT n_nationkey, CASE WHEN greatest(length(n_name), length(r_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)) END AS share FROM nation JOIN region ON n_regionkey = r_regionkey")
+def edit_share(spark, sf_dir):
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select("n_nationkey", assertions.levenshtein_share(F.col("n_name"), F.col("r_name")).alias("share"))
+
+
+@query("SELECT o_orderkey, o_totalprice > 100000 AS above, o_totalprice < 100000 AS below, o_totalprice >= 50000 AS least, o_totalprice <= 50000 AS most, abs(o_totalprice - 100000) > greatest(1e-9 * greatest(abs(o_totalprice), 100000), 10) AS other FROM orders")
+def number_predicates(spark, sf_dir):
+    price, line = F.col("o_totalprice"), F.lit(100000.0)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", assertions.greater(price, line).alias("above"), assertions.less(price, line).alias("below"), assertions.at_least(price, F.lit(50000.0)).alias("least"), assertions.at_most(price, F.lit(50000.0)).alias("most"), assertions.not_equal(price, line, 10.0).alias("other")
+    )
+
+
+# shapes and roll-ups
+@query("SELECT o_custkey, [[1, 3], [2, CAST(o_custkey AS BIGINT)]] AS turned FROM (SELECT DISTINCT o_custkey FROM orders)")
+def transposed_matrix(spark, sf_dir):
+    rows = F.array(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.array(F.lit(3).cast("long"), F.col("o_custkey")))
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().select("o_custkey", reshape.transpose_matrix(rows).alias("turned"))
+
+
+@query("SELECT r_regionkey AS key, r_name AS name, NULL::BIGINT AS suppliers FROM region UNION ALL SELECT n_nationkey, NULL, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation")
+def ragged_union(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey").join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    counted = nations.groupBy(F.col("n_nationkey").alias("key")).agg(F.count("s_suppkey").alias("suppliers"))
+    return reshape.ragged_rows([table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), counted])
+
+
+@query("SELECT failure_class, count(*) AS failures FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'KeyError' ELSE 'Unknown Failure' END AS failure_class FROM events) GROUP BY failure_class")
+def failure_counts(spark, sf_dir):
+    return rollups.failure_summary(results(spark, sf_dir), "message")
+
+
+@query("SELECT count(DISTINCT p_brand) AS files, count(DISTINCT (p_brand, p_size)) AS classes, count(p_name) AS tests, (SELECT list_sort(list(DISTINCT w)) FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part)) AS tags FROM part")
+def test_catalog(spark, sf_dir):
+    return rollups.catalog_summary(table(spark, sf_dir, "part").withColumn("tags", F.split("p_type", " ")), "p_brand", "p_size", "p_name", "tags")
+
+
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['SMALL', 'BRASS'])")
+def tests_by_tag(spark, sf_dir):
+    return rollups.with_tags(table(spark, sf_dir, "part"), F.split("p_type", " "), ["SMALL", "BRASS"]).select("p_partkey")
+
+
+@query("SELECT count(*) AS functions, count(DISTINCT p_brand) AS modules FROM part")
+def registry_counts(spark, sf_dir):
+    return rollups.registry_summary(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size - 1 > 0 THEN p_size * 100.0::DOUBLE / (p_size - 1) ELSE 0.0 END AS total_coverage FROM part")
+def coverage_rates(spark, sf_dir):
+    reports = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("covered"), (F.col("p_size") - 1).alias("measured"))
+    return rollups.coverage(reports).select("p_partkey", "total_coverage")
+
+
+@query("SELECT n_nationkey, n_name || '(a: int = ' || n_regionkey || ', *b, **c)' AS signature FROM nation")
+def usage_signature(spark, sf_dir):
+    arg = lambda name, hint, default, kwarg, variadic: F.struct(F.lit(name).alias("name"), F.lit(hint).cast("string").alias("type_hint"), default.cast("string").alias("default"), F.lit(kwarg).alias("is_kwarg"), F.lit(variadic).alias("is_variadic"))
+    args = F.array(arg("a", "int", F.col("n_regionkey"), False, False), arg("b", None, F.lit(None), False, True), arg("c", None, F.lit(None), True, True))
+    return table(spark, sf_dir, "nation").select("n_nationkey", rollups.signature(F.col("n_name"), args).alias("signature"))
+
+
+@query("SELECT n_nationkey, sha256(string_agg(n_name, '' ORDER BY n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)) AS contenthash FROM nation")
+def method_hashes(spark, sf_dir):
+    return rollups.cumulative_hashes(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name").select("n_nationkey", "contenthash")
+
+
+@query(f"SELECT rel_path, action FROM ({_DIFF}) WHERE action IN ('upload', 'update_remote')")
+def upload_only(spark, sf_dir):
+    return sync.permitted(index_actions(spark, sf_dir), "upload").select("rel_path", "action")
+
+
+@query("SELECT n_nationkey + 100 AS id, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name FROM region")
+def tree_paths(spark, sf_dir):
+    roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("parent"))
+    leaves = table(spark, sf_dir, "nation").select(F.col("n_nationkey") + 100, "n_name", "n_regionkey")
+    with_checkpoints(spark)
+    return sync.paths(roots.union(leaves))
+
+
+@query("SELECT token_id, source_id FROM (SELECT c_custkey AS source_id, 't' || c_custkey AS token_id FROM customer) WHERE source_id % 2 = 0")
+def first_rows_per_key(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token_id"))
+    return dml.first_rows(c.union(c.select("source_id", F.lit("later"))).where("source_id % 2 = 0"), ["source_id"], F.col("token_id") == "later").select("token_id", "source_id")
