@@ -12,8 +12,10 @@ In a bucket only pairs with one leader are made at first, the member that has th
 which is likely what its copies were made from; and only those candidates are confirmed that could join two
 components. Where a bucket then still holds several components, all pairs across them are tested: as candidates, if
 it has few members; else in blocks, of which each pair is compared at once in numpy on full sets and gives no more
-links than join its components. A bucket beyond CROWD is first divided by the other bands that its members agree on.
-So no link between different components is lost, and no group emits all of its pairs.
+links than join its components. A bucket beyond CROWD is first divided by the other bands that its members agree on,
+which joins most of it; if it then still holds several components, all members outside the largest are compared with
+all of its members. So no link between different components is lost, and no group emits all of its pairs; the
+comparisons of a bucket grow with its members times those outside its largest component.
 
 Sets and classes are known by 64-bit hashes: of n different ones some two are taken for one with probability
 n * n / 2**65. Null texts, and those without words, have empty sets and are linked with nothing. Shorter texts than
@@ -40,7 +42,7 @@ SHINGLE = 5
 HASHES = 192
 BITS = 512
 #: Members of a bucket of which all pairs across components become candidates; members of a block in a larger one;
-#: and members beyond which a bucket is divided.
+#: and members beyond which a bucket is divided first.
 SMALL, SIDE, CROWD = 8, 200, 5000
 #: Bytes of text that are handled together.
 BLOCK = 4 << 20
@@ -304,13 +306,29 @@ class Linker:
     def across_many(self, crowds: DataFrame) -> DataFrame:
         """Links across the components of large buckets, as many as join them."""
         crowded = crowds.where(F.col("members") > SMALL).select("key", "node", "of", "members", (F.col("at") + 1).alias("past"))
-        crowded = self.divided(crowded)
-        sides = F.ceil(F.col("members") / SIDE).cast("int")
-        side = F.pmod(F.xxhash64("node", "key"), sides).cast("int")
-        met = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1))).select("key", F.least(side, "other").alias("i"), F.greatest(side, "other").alias("j"), "node", "of")
-        sets = self.sets(crowded.select("node"))
+        return self.compared(self.divided(crowded))
+
+    def across_rest(self, crowds: DataFrame) -> DataFrame:
+        """Links across the components of buckets beyond CROWD, whose divisions bring only those of their members
+        together that agree on a later band; as many as join them."""
+        return self.compared(crowds.where(F.col("members") > CROWD))
+
+    def compared(self, crowded: DataFrame) -> DataFrame:
+        """Links across the components of buckets (key, node, of), as many as join them. Members outside a bucket's
+        largest component are compared with all of its members, in blocks of two sides."""
         self.turn += 1
-        met = self.scratch.write(met, f"sides_{self.turn}")
+        turn = self.turn
+        crowded = self.scratch.write(crowded.select("key", "node", "of"), f"crowded_{turn}")
+        parts = crowded.groupBy("key", "of").agg(F.count("*").alias("n"))
+        main = parts.groupBy("key").agg(F.max(F.struct("n", "of")).alias("m"), F.sum("n").alias("members"))
+        sides = lambda n: F.ceil(n / SIDE).cast("int")
+        main = self.scratch.write(main.select("key", F.col("m.of").alias("main"), sides(F.col("members") - F.col("m.n")).alias("outer"), sides(F.col("m.n")).alias("inner")), f"main_{turn}")
+        hashed, outside = F.xxhash64("node", "key"), F.col("of") != F.col("main")
+        side = F.when(outside, F.pmod(hashed, "outer")).otherwise(F.col("outer") + F.pmod(hashed, "inner")).cast("int")
+        last = F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+        met = crowded.join(small(main, 60), "key").where("outer > 0").withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), last))})
+        met = self.scratch.write(met.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "of"), f"sides_{turn}")
+        sets = self.sets(crowded.select("node"))
         percent = self.percent
 
         def joined(block: pa.Table) -> pa.Table:
@@ -319,7 +337,8 @@ class Linker:
         return sets.join(small(met, 80), "node").groupBy("key", "i", "j").applyInArrow(joined, "a long, b long")
 
     def divided(self, crowded: DataFrame) -> DataFrame:
-        """crowded with each bucket beyond CROWD in place of its divisions by one more band."""
+        """crowded with the divisions by one more band of each bucket beyond CROWD in its place. Links within these are
+        found early; across_rest finds the others."""
         out = crowded.where(F.col("members") <= CROWD)
         while True:
             many = crowded.where(F.col("members") > CROWD)
@@ -342,6 +361,9 @@ class Linker:
         if mixed_.where(F.col("members") > SMALL).limit(1).count():
             self.add(self.across_many(mixed_))
             mixed_ = self.mixed(crowds)
+            if mixed_.where(F.col("members") > CROWD).limit(1).count():
+                self.add(self.across_rest(mixed_))
+                mixed_ = self.mixed(crowds)
         rest = self.candidates(self.across_few(mixed_))
         if rest.limit(1).count():
             self.confirm(rest)

@@ -112,6 +112,33 @@ def test_a_crowded_bucket_is_tested_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df).collect()} == {i: top(i) for i in range(60)}
 
 
+def test_links_whose_only_band_is_crowded(spark, monkeypatch):
+    for name, value in {"SMALL": 2, "SIDE": 5, "CROWD": 12}.items():
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(near, "rows_of", lambda percent: 97)  # a single band
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(1200)]
+
+    def changed(words):
+        out = words.copy()
+        out[rng.randrange(10, 1190)] = f"x{rng.random()}"
+        return out
+
+    docs = [changed(base) for _ in range(50)]
+    docs += [changed(d) for d in docs[:20]]
+    texts = [" ".join(d) for d in docs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(s.tolist()) for s in near.sets_of(pa.array(texts))]
+    key = [int(near.bands(near.samples(s), 97)[0]) for s in near.sets_of(pa.array(texts))]
+    group = list(range(len(texts)))
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if key[i] == key[j] and 100 * len(sets[i] & sets[j]) >= 99 * len(sets[i] | sets[j])]
+    for j, i in links:
+        low, high = sorted((group[i], group[j]))
+        group = [low if g == high else g for g in group]
+    assert sum(key.count(key[i]) > near.CROWD for _, i in links) > 3
+    assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, 99).collect()} == dict(enumerate(group))
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     found = op10_langid(spark, sf_dir).where("held_out").join(docs, "doc_id").where("length(text) > 100").collect()
