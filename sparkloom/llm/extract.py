@@ -46,6 +46,11 @@ NAMES = frozenset(
     widget widgets login search skip copyright disclaimer hidden""".split()
 )
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Of NAMES, those that the id of a part of a text may be made from.
+TOPICS = frozenset("advertising promotion notice notices subscription navigation discussion sharing search copyright disclaimer hidden".split())
+HAS = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[-_]\S*")
+
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -72,8 +77,13 @@ def _marks(tag: str, attributes: str, labelled: bool) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            # an article's classes often tell what its page has, as in has-sidebar, so there only whole ones count
-            words = set(value.split() if tag == "article" else re.split(r"[^a-z0-9]+", value))
+            if name == "id" and tag in HEADINGS:
+                continue
+            # what an element has, as in has-sidebar, isn't what it is; a section's id may be made from its heading
+            whole = tag == "article" or name == "id" and tag == "section"
+            words = set(value.split() if whole else re.split(r"[^a-z0-9]+", HAS.sub("", value)))
+            if name == "id" and (tag == "section" or labelled):
+                words -= TOPICS
             if words & NAMES and not (labelled and words & NAMES == {"header"}):
                 return True
         elif name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):

@@ -92,6 +92,23 @@ def test_comments_marked_as_articles_are_not_main_text(where):
     assert extract.extract(page, extract.usual()) == "Heading\nSome words of the article itself."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h2 id='related-work'>Title words</h2><p>{0}</p></article>",
+        "<article><h2>Title words</h2><section id='discussion'><p>{0}</p></section></article>",
+        "<article><h2>Title words</h2><section id='full-text-search'><p>{0}</p></section></article>",
+        "<div class='content with-sidebar'><h2>Title words</h2><p>{0}</p></div>",
+        "<div class='col-main has-sidebar'><h2 id='how-to-share-files'>Title words</h2><p>{0}</p></div>",
+    ],
+)
+def test_common_words_in_names_do_not_take_content_out(page):
+    text = "some words of the text itself " * 20
+    assert extract.extract(f"<html><body><nav>a menu</nav>{page.format(text)}</body></html>", extract.usual()) == f"Title words\n{text.strip()}"
+    for mark in ("class='comments'", "class='comment-list'", "class='share-buttons'", "class='related-posts'", "id='sidebar-left'", "id='disqus_thread'"):
+        assert extract.extract(f"<article><p>{text}</p><div {mark}><p>{text}</p></div></article>", extract.usual()) == text.strip()
+
+
 def test_tags_that_are_never_closed_cost_no_more_than_others():
     began = time.perf_counter()
     page = "<article>" + "<span>word</b> " * 40_000
