@@ -139,14 +139,17 @@ def crawl(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """id and path of every node (id, name, parent): the names from the root, joined by slashes; nodes whose parents
-    form a circle or lead nowhere are left out, as are those deeper than depth."""
+    form a circle or lead nowhere are left out. Goes on until a level is empty; more levels than nodes mean that an id
+    repeats in a circle, which is an error."""
     out = nodes.where("parent is null").select("id", F.col("name").alias("path"))
-    level = out
-    for _ in range(depth):
+    level, most, depth = out, nodes.count(), 0
+    while True:
         level = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("__base")), "parent").select("id", F.concat_ws("/", "__base", "name").alias("path")).checkpoint()
         if not level.limit(1).count():
-            break
+            return out
+        depth += 1
+        if depth > most:
+            raise ValueError("an id has several parents, which form a circle")
         out = out.unionByName(level)
-    return out

@@ -165,6 +165,15 @@ def test_paths_of_a_tree(spark):
     assert {r["id"]: r["path"] for r in sync.paths(nodes).collect()} == {1: "root", 2: "root/a", 3: "root/a/b"}
 
 
+def test_paths_of_a_deep_tree(spark):
+    with_checkpoints(spark)
+    nodes = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None) for i in range(36)], "id int, name string, parent int")
+    found = {r["id"]: r["path"] for r in sync.paths(nodes).collect()}
+    assert found == {i: "/".join(f"n{k}" for k in range(i + 1)) for i in range(36)}
+    with pytest.raises(ValueError):
+        sync.paths(spark.createDataFrame([(1, "a", None), (2, "b", 1), (2, "b", 2)], "id int, name string, parent int"))
+
+
 def test_numbers_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
     assert [(r["x"], r["number"]) for r in numbered(df, F.col("x").desc()).orderBy("number").collect()] == [(999 - i, i + 1) for i in range(1000)]
