@@ -81,24 +81,20 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-_RATES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
 _STEP = "CASE " + " ".join(f"WHEN v >= {1 << (b - 1)} THEN {1 << (b - 5)}" for b in range(11, 5, -1)) + " ELSE 1 END"
-_QUARTILES = "min(CASE WHEN below * 4 >= total THEN value END) AS low, min(CASE WHEN below * 4 >= total * 3 THEN value END) AS high, max(total) AS texts"
+_LEVEL = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEVELS.items()) + " END"
+_QUANTILES = f"min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle, min(CASE WHEN below * 100 >= total * {_LEVEL} THEN value END) AS high, max(total) AS texts"
 
 
-def _quartiles(keys: str) -> str:
+def _quantiles(keys: str) -> str:
     by = f"{keys}, rate" if keys else "rate"
-    return f"SELECT {by}, {_QUARTILES} FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY value) AS below, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, value, sum(n) AS n FROM sketch GROUP BY {by}, value)) GROUP BY {by}"
+    return f"SELECT {by}, {_QUANTILES} FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY value) AS below, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, value, sum(n) AS n FROM sketch GROUP BY {by}, value)) GROUP BY {by}"
 
 
 def _pick(c: str) -> str:
     return f"CASE WHEN e.texts >= {quality.LEAST_GROUP} THEN e.{c} WHEN l.texts >= {quality.LEAST_GROUP} THEN l.{c} ELSE a.{c} END"
 
 
-def _bound(i: int) -> str:
-    return "CASE e.rate " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in quality.RATES.items()) + " END"
-
-
 OP8 = f"""
 WITH texts AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{WORD}')] AS lines FROM documents
@@ -114,18 +110,18 @@ WITH texts AS (
 ), measured AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
 ), long AS (
-    {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rate, CASE WHEN {b} = 0 THEN 0 ELSE {a} * 1000 // {b} END AS v FROM measured" for k, (a, b) in _RATES.items())}
+    {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rate, {a} <= {quality.FEW[k]} AS few, CASE WHEN {b} = 0 THEN 0 ELSE {a} * 1000 // {b} END AS v FROM measured" for k, (a, b) in quality.RATES.items())}
 ), sketch AS (
     SELECT lang, source, rate, v - v % {_STEP} AS value, count(*) AS n FROM long WHERE NOT base_failed GROUP BY 1, 2, 3, 4
-), each AS ({_quartiles("lang, source")}), by_lang AS ({_quartiles("lang")}), of_all AS ({_quartiles("")}),
+), each AS ({_quantiles("lang, source")}), by_lang AS ({_quantiles("lang")}), of_all AS ({_quantiles("")}),
 cutoffs AS (
-    SELECT e.lang, e.source, e.rate, least({_bound(1)}, greatest({_bound(0)}, {_pick("high")} + 3 * ({_pick("high")} - {_pick("low")}))) AS cut
+    SELECT e.lang, e.source, e.rate, {_pick("high")} + {quality.SPREAD} * ({_pick("high")} - {_pick("middle")}) AS cut
     FROM each e JOIN by_lang l ON e.rate = l.rate AND e.lang IS NOT DISTINCT FROM l.lang JOIN of_all a ON e.rate = a.rate
 ), verdicts AS (
-    SELECT long.doc_id, bool_and(v <= coalesce(cut, CASE long.rate {" ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in quality.RATES.items())} END)) AS fine
+    SELECT long.doc_id, bool_and(v <= cut OR few) AS fine
     FROM long LEFT JOIN cutoffs c ON long.rate = c.rate AND long.lang IS NOT DISTINCT FROM c.lang AND long.source IS NOT DISTINCT FROM c.source GROUP BY long.doc_id
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM measured JOIN verdicts USING (doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, false) AS kept FROM measured JOIN verdicts USING (doc_id)
 """
 
 

@@ -3,12 +3,14 @@
 Every text's rates (symbols, repeated lines, repeated words, by the thousand) are sketched per language and source:
 a sketch counts values rounded down to five significant bits, so that it holds each quantile to within one part in
 sixteen, its size is bounded, and sketches of parts of a group add up to the group's. A group's cutoff for a rate is
-its third quartile plus three times the distance between its quartiles, kept between two bounds that say what no
-group may call usual and what none may call odd. Groups of fewer than LEAST_GROUP texts take the sketch of their
+an upper quantile of its sketch plus SPREAD times the distance between that quantile and the median. No fixed number
+bounds a cutoff from below or above: what is usual in a group passes there, and a rule drops at most the share of a
+group that lies above the rule's quantile (LEVELS). A text with only a FEW of what a rule counts is never dropped for
+it, as a few make a high rate of a short text. Groups of fewer than LEAST_GROUP texts take the sketch of their
 language, and languages of fewer that of all texts. Cutoffs are joined to the texts and applied.
 
 Only DataFrame functions are used. Null texts have no words and fail; null languages and sources are groups of
-their own. Long texts are measured whole; repeated rows count each time.
+their own. Long texts are measured whole; repeated rows count each time. An empty table has no cutoffs.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import WORD, Scratch, key_of, small
 
 SYMBOLS = "#*$%&|<>"
-#: Of each rate by the thousand: the bounds of its cutoff.
-RATES = {"symbols": (20, 60), "lines": (350, 600), "repeats": (300, 500)}
-LEAST_GROUP = 50
+#: Of each rate: what is counted, and among how many; the percentile that its cutoff starts from; and how many of what
+#: is counted are never too many.
+RATES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+LEVELS = {"symbols": 85, "lines": 95, "repeats": 95}
+FEW = {"symbols": 3, "lines": 3, "repeats": 12}
+SPREAD = 3
+LEAST_GROUP = 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,9 +68,8 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
 
 def rates(prefix: str = "") -> dict[str, Column]:
-    c = lambda k: F.col(f"{prefix}{k}")
-    share = lambda x, of: F.coalesce(F.try_divide(x * 1000, of).cast("long"), F.lit(0))
-    return {"symbols": share(c("n_symbols"), c("word_chars")), "lines": share(c("n_dup_lines"), c("n_lines")), "repeats": share(c("n_repeat_words"), c("n_words"))}
+    """The rates by the thousand, rounded down."""
+    return {k: F.coalesce(F.floor(F.try_divide(F.col(f"{prefix}{x}") * 1000, F.col(f"{prefix}{of}"))), F.lit(0)) for k, (x, of) in RATES.items()}
 
 
 def rounded(value: Column) -> Column:
@@ -87,34 +92,35 @@ def cutoffs(sketches: DataFrame) -> DataFrame:
     """Of every language and source in sketches: the cutoff of each rate, from its own sketch if that holds enough
     texts, else from its language's, else from that of all."""
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("rate"))
+
+    def quantiles(keys: list[str]) -> DataFrame:
         merged = sketches.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
         group = W.partitionBy(*keys, "rate")
         below = F.sum("n").over(group.orderBy("value"))
         ranked = merged.withColumns({"below": below, "total": F.sum("n").over(group)})
-        at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("value")))
-        return ranked.groupBy(*keys, "rate").agg(at(1).alias("low"), at(3).alias("high"), F.max("total").alias("texts"))
+        at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("value")))
+        return ranked.groupBy(*keys, "rate").agg(at(50).alias("middle"), at(level).alias("high"), F.max("total").alias("texts"))
 
-    each = quartiles(["lang_key", "source_key"])
-    by_lang = quartiles(["lang_key"]).select("lang_key", "rate", *(F.col(c).alias(f"l_{c}") for c in ("low", "high", "texts")))
-    of_all = quartiles([]).select("rate", *(F.col(c).alias(f"a_{c}") for c in ("low", "high")))
+    each = quantiles(["lang_key", "source_key"])
+    by_lang = quantiles(["lang_key"]).select("lang_key", "rate", *(F.col(c).alias(f"l_{c}") for c in ("middle", "high", "texts")))
+    of_all = quantiles([]).select("rate", *(F.col(c).alias(f"a_{c}") for c in ("middle", "high")))
     joined = each.join(by_lang, ["lang_key", "rate"]).join(F.broadcast(of_all), "rate")  # of_all: a row per rate
     pick = lambda c: F.when(F.col("texts") >= LEAST_GROUP, F.col(c)).when(F.col("l_texts") >= LEAST_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    bound = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[i])]), F.col("rate"))
-    cut = F.least(bound(1), F.greatest(bound(0), pick("high") + 3 * (pick("high") - pick("low"))))
-    named = joined.select("lang_key", "source_key", "rate", cut.cast("long").alias("cut"))
+    named = joined.select("lang_key", "source_key", "rate", (pick("high") + SPREAD * (pick("high") - pick("middle"))).cast("long").alias("cut"))
     return named.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"__cut_{k}") for k in RATES])
 
 
 def judge(measured: DataFrame, lang: Column, source: Column, prefix: str, scratch: Scratch) -> DataFrame:
-    """measured with the column <prefix>kept. measured is read twice and should be a written table."""
+    """measured with the column <prefix>kept. measured is read twice and should be a written table. A group without a
+    cutoff has no text that passes the base rules."""
     cuts = scratch.write(cutoffs(sketch(measured, lang, source, prefix)), "cutoffs").withColumnsRenamed({"lang_key": "__lang_key", "source_key": "__source_key"})
     joined = measured.withColumns({"__lang_key": key_of(lang), "__source_key": key_of(source)}).join(small(cuts), ["__lang_key", "__source_key"], "left")
     fine = F.lit(True)
     for k, v in rates(prefix).items():
-        fine = fine & (v <= F.coalesce(F.col(f"__cut_{k}"), F.lit(RATES[k][1])))
+        fine = fine & ((v <= F.col(f"__cut_{k}")) | (F.col(f"{prefix}{RATES[k][0]}") <= FEW[k]))
     drop = ["__lang_key", "__source_key", *(f"__cut_{k}" for k in RATES)]
-    return joined.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & fine).drop(*drop)
+    return joined.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(fine, F.lit(False))).drop(*drop)
 
 
 def annotate(docs: DataFrame) -> DataFrame:

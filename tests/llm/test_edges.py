@@ -169,6 +169,37 @@ def test_quality(spark):
     assert passed.columns == docs.columns and passed.count() == sum(r["kept"] for r in found)
 
 
+def symbolic(per_mille, i, n_words=200):
+    """A text of distinct words of five letters with symbols at a rate."""
+    words_ = [f"{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k * 7 % 26)}{chr(97 + k * 11 % 26)}" for k in range(n_words)]
+    return " ".join(words_) + " " + "#" * (per_mille * n_words * 5 // (1000 - per_mille))
+
+
+def test_cutoffs_follow_their_group(spark, monkeypatch):
+    """What is usual in one source is odd in another: sources differ in their cutoffs, which no constant can replace."""
+    data = [(i, symbolic(70 + i % 20, i), "en", "code") for i in range(150)]
+    data += [(1000 + i, symbolic(0 if i % 20 else 4, i), "en", "prose") for i in range(150)]
+    data += [(5000, symbolic(80, 3), "en", "prose"), (5001, symbolic(80, 3), "en", "code"), (5002, symbolic(400, 3), "en", "code")]
+    docs = frame(spark, data)
+    measured = quality.measure(docs)
+    cuts = {(r["lang_key"], r["source_key"]): r["__cut_symbols"] for r in quality.cutoffs(quality.sketch(measured, measured["lang"], measured["source"])).collect()}
+    assert cuts["=en", "=code"] > 90 and cuts["=en", "=prose"] < 20
+    kept = {r["doc_id"]: r["kept"] for r in quality.annotate(docs).collect()}
+    assert kept[5001] and not kept[5000] and not kept[5002] and all(kept[i] for i in range(150))
+    for rate in quality.LEVELS:  # sketches of parts add up
+        parts = [quality.sketch(m, m["lang"], m["source"]) for m in (measured.where("doc_id % 2 = 0"), measured.where("doc_id % 2 = 1"))]
+        merged = quality.cutoffs(parts[0].union(parts[1])).select("source_key", f"__cut_{rate}")
+        assert sorted(merged.collect()) == sorted(quality.cutoffs(quality.sketch(measured, measured["lang"], measured["source"])).select("source_key", f"__cut_{rate}").collect())
+    monkeypatch.setattr(quality, "cutoffs", lambda sketches: sketches.groupBy("lang_key", "source_key").agg(*[quality.F.lit(50).alias(f"__cut_{k}") for k in quality.RATES]))
+    assert {r["doc_id"]: r["kept"] for r in quality.annotate(docs).collect()} != kept
+
+
+def test_a_few_symbols_drop_no_text(spark):
+    data = [(i, symbolic(0, i, 60), "en", "a") for i in range(120)] + [(500, symbolic(0, 5, 60) + "###", "en", "a"), (501, symbolic(0, 5, 60) + "####", "en", "a")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.annotate(frame(spark, data)).collect()}
+    assert kept[500] and not kept[501]
+
+
 def test_language(spark):
     docs = frame(spark)
     model = langid.fit(docs)

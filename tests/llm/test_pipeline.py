@@ -18,7 +18,8 @@ def brute_kept(data):
         n, chars, symbols, dup, repeated, failed = brute_quality(t)
         lines = sum(bool(words(x)) for x in (t or "").split("\n"))
         share = lambda a, b: a * 1000 // b if b else 0
-        measured.append(((d, t), lang, source, failed, {"symbols": share(symbols, chars), "lines": share(dup, lines), "repeats": share(repeated, n)}))
+        counts = {"symbols": symbols, "lines": dup, "repeats": repeated}
+        measured.append(((d, t), lang, source, failed, {"symbols": share(symbols, chars), "lines": share(dup, lines), "repeats": share(repeated, n)}, counts))
 
     def down(v):
         step = max(0, v.bit_length() - 5)
@@ -27,14 +28,12 @@ def brute_kept(data):
     def cutoff(rate, lang, source):
         passing = [(m[1], m[2], down(m[4][rate])) for m in measured if not m[3]]
         groups = [[v for a, b, v in passing if (a, b) == (lang, source)], [v for a, _, v in passing if a == lang], [v for *_, v in passing]]
-        low, high = quality.RATES[rate][0], quality.RATES[rate][1]
-        if not groups[0]:
-            return high
         values = sorted(next((g for g in groups[:2] if len(g) >= quality.LEAST_GROUP), groups[2]))
-        at = lambda q: next(v for i, v in enumerate(values, 1) if i * 4 >= len(values) * q)
-        return min(high, max(low, at(3) + 3 * (at(3) - at(1))))
+        at = lambda q: next(v for i, v in enumerate(values, 1) if i * 100 >= len(values) * q)
+        return at(quality.LEVELS[rate]) + quality.SPREAD * (at(quality.LEVELS[rate]) - at(50))
 
-    return Counter(key for key, lang, source, failed, rates in measured if not failed and all(v <= cutoff(r, lang, source) for r, v in rates.items()))
+    fine = lambda m: all(m[5][r] <= quality.FEW[r] or v <= cutoff(r, m[1], m[2]) for r, v in m[4].items())
+    return Counter(m[0] for m in measured if not m[3] and fine(m))
 
 
 def test_stages_are_their_brute_force_versions(spark, sf_dir):
