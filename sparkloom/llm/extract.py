@@ -1,14 +1,18 @@
-"""Main text of web pages as a maximum-scoring subsequence.
+"""Main text of web pages as a maximum-scoring subsequence, by weights learned from labelled pages.
 
-A page is a sequence of words, which score above zero by where they stand, and of tags, which score below. A linear
-scan finds the contiguous run of highest total score, which is the content region; its text is returned block by
-block. What stands in menus, sidebars, notices, adverts, forms, comments and the like neither scores nor is returned.
-The weights are log odds learned from labelled pages: those that mark their content by an article or main element. On
-such a page the label counts too, and words beside it score below zero.
+A page is a sequence of words, which score above zero by how they stand, and of tags, which score below. A linear scan
+finds the contiguous run of highest total score, which is the content region; its text is returned block by block.
 
-Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by one
-newline. Null, empty or wordless pages give an empty text. Long pages are scanned whole. Repeated rows give equal
-texts; extra columns pass through.
+All weights are log odds learned from labelled pages, those that mark their content by an article or main element: of
+words by their kind of block, links and length of their run; of tags by name; and of places, the names of sections,
+classes, ids and roles that words stand in. A place whose weight is under OUTSIDE (a menu, an advert) neither scores
+nor is returned. Names that usually mean such places have a prior, which pages can outweigh. The label is used for
+learning alone; labelled and other pages are scored alike. Where that leaves a page with hardly a word, the place that
+holds the most text was named misleadingly and counts as any other.
+
+Scripts, styles, controls of forms and hidden elements are dropped outright. Character references are decoded; white
+space inside a block becomes one space; blocks are trimmed and joined by one newline. Null, empty or wordless pages
+give an empty text. Long pages are scanned whole. Repeated rows give equal texts; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,6 +33,8 @@ from sparkloom.llm.common import small_batches
 
 #: Most pages that the weights are learned from, those of the smallest hash.
 LABELLED = 20_000
+#: Most names of words, tags and places whose weights are kept, the most frequent ones.
+NAMED = 3000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas audio video".split())
@@ -35,8 +42,9 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SPACED = frozenset("br td th".split())
 CONTENT = frozenset(("article", "main"))
 FRAMES = ("nav", "header", "footer", "form")
-#: Elements and roles whose text is never content, and words of class and id that say the same.
-OUTSIDE = frozenset("nav footer aside form header button dialog menu search label".split())
+CONTROLS = frozenset("button label datalist".split())
+#: Elements, roles and words of class and id that usually mean a place beside the content.
+PLACES = frozenset("nav footer aside form header dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner
@@ -45,6 +53,9 @@ NAMES = frozenset(
     comment comments disqus reply replies respond discussion share sharing social related recommended recommendations
     widget widgets login search skip copyright disclaimer hidden""".split()
 )
+PRIOR, OUTSIDE = -2.5, -1.5
+#: Words of a page's text under which a misnamed place is looked for, and the least that it holds.
+HARDLY, MUCH = 10, 100
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Of NAMES, those that the id of a part of a text may be made from.
@@ -53,8 +64,8 @@ HAS = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[-_]\S*")
 
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Item(NamedTuple):
@@ -63,17 +74,26 @@ class Item(NamedTuple):
     tag: str  # of a run: the block that it stands in
     text: str | None
     words: int
-    outside: bool  # in a menu, advert, ...
+    node: int  # the place
     label: bool  # in an article or main element
     linked: bool
 
 
-def _marks(tag: str, attributes: str, labelled: bool) -> bool:
-    """Whether an element is no content by its name or attributes."""
-    if tag in OUTSIDE and not (tag == "header" and labelled):
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+class Node(NamedTuple):
+    """A place: an element with a name, in another place. Node 0 is the page."""
+
+    parent: int
+    names: tuple[str, ...]
+    dropped: bool
+
+
+@lru_cache(maxsize=20_000)
+def names_of(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The names that an element gives to its place, and whether it is dropped outright."""
+    names = {f"tag {tag}"} if tag in PLACES else set()
+    dropped = tag in CONTROLS
+    if tag in ("html", "body", "main"):
+        return (), False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
@@ -81,29 +101,28 @@ def _marks(tag: str, attributes: str, labelled: bool) -> bool:
                 continue
             # what an element has, as in has-sidebar, isn't what it is; a section's id may be made from its heading
             whole = tag == "article" or name == "id" and tag == "section"
-            words = set(value.split() if whole else re.split(r"[^a-z0-9]+", HAS.sub("", value)))
-            if name == "id" and (tag == "section" or labelled):
-                words -= TOPICS
-            if words & NAMES and not (labelled and words & NAMES == {"header"}):
-                return True
-        elif name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
+            words = set(value.split() if whole else re.split(r"[^a-z0-9]+", HAS.sub("", value))) - {""}
+            names |= {f"name {w}" for w in (words - TOPICS if name == "id" and tag == "section" else words)}
+        elif name == "role":
+            names.add(f"role {value}")
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and INVISIBLE.search(value):
+            dropped = True
+    return tuple(sorted(names)), dropped
 
 
-def items(page: str) -> list[Item]:
+def items(page: str) -> tuple[list[Item], list[Node]]:
     out: list[Item] = []
-    stack: list[tuple[str, bool]] = []  # open elements, each with whether it is outside
+    nodes = [Node(0, (), False)]
+    stack: list[tuple[str, int]] = []  # open elements, each with the place around it
     opened: Counter = Counter()  # of each tag, so that the stack is not searched for one that isn't there
-    outside = labels = links = 0
+    node = labels = links = 0
     block = "body"
 
     def close(depth: int) -> None:
-        nonlocal outside, labels, links
+        nonlocal node, labels, links
         while len(stack) > depth:
-            tag, out_ = stack.pop()
+            tag, node = stack.pop()
             opened[tag] -= 1
-            outside -= out_
             labels -= tag in CONTENT
             links -= tag == "a"
 
@@ -112,7 +131,7 @@ def items(page: str) -> list[Item]:
         at = m.end()
         if (text := m[7]) is not None:
             text = html.unescape(text)
-            out.append(Item(block, text, len(text.split()), outside > 0, labels > 0, links > 0))
+            out.append(Item(block, text, len(text.split()), node, labels > 0, links > 0))
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -140,16 +159,20 @@ def items(page: str) -> list[Item]:
                 if depth is not None and stack[depth][0] == "li":
                     close(depth)
             if tag not in VOID and not attributes.endswith("/"):
-                mark = _marks(tag, attributes, labels > 0)
-                stack.append((tag, mark))
+                names, dropped = names_of(tag, attributes)
+                if tag == "header" and (opened["article"] or opened["main"] or opened["section"]):  # that of a text
+                    names = tuple(n for n in names if n not in ("tag header", "name header"))
+                stack.append((tag, node))
+                if names or dropped:
+                    nodes.append(Node(node, names, dropped or nodes[node].dropped))
+                    node = len(nodes) - 1
                 opened[tag] += 1
-                outside += mark
                 labels += tag in CONTENT
                 links += tag == "a"
         if tag in BLOCKS:
             block = "body" if ends else tag
-        out.append(Item(tag, None, 0, outside > 0, labels > 0, links > 0))
-    return out
+        out.append(Item(tag, None, 0, node, labels > 0, links > 0))
+    return out, nodes
 
 
 def feature(item: Item) -> str:
@@ -162,58 +185,79 @@ def feature(item: Item) -> str:
 class Weights(NamedTuple):
     words: dict[str, float]
     tags: dict[str, float]
-    label: float
+    places: dict[str, float]
 
 
 def usual() -> Weights:
-    """What holds for features that no labelled page has shown."""
-    return Weights({}, {}, 4.0)
+    """What holds without any labelled page."""
+    return Weights({}, {}, {})
 
 
 def word_weight(item: Item, weights: Weights) -> float:
     return weights.words.get(feature(item), 0.2 if item.linked else 1.0)
 
 
+def prior(name: str) -> float:
+    kind, _, value = name.partition(" ")
+    return PRIOR if value in {"tag": PLACES, "role": ROLES, "name": NAMES}[kind] else 0.0
+
+
 def weigh(counts: dict[tuple[str, str], tuple[float, float]]) -> Weights:
-    """Weights from how many words of each feature, and tags of each name, stand inside and outside of labelled
-    content. Words: log odds, between 0.1 and 3. Tags: between -1.5 and -0.02, the lower the more they belong outside."""
+    """Weights from how many words of each feature and place, and tags of each name, stand inside and outside of
+    labelled content. Words: log odds, between 0.1 and 3. Tags: between -1.5 and -0.02, the lower the more they belong
+    outside. Places: how much likelier a word inside is to stand there than one outside, as a logarithm between -4 and
+    2, and the prior; both sides with 50 words of the usual mixture."""
     inside = sum(v[0] for k, v in counts.items() if k[0] == "word") + 1
     beside = sum(v[1] for k, v in counts.items() if k[0] == "word") + 1
+    share = inside / (inside + beside)
     words = {k[1]: max(0.1, min(3.0, math.log((v[0] + 1) / (v[1] + 1)))) for k, v in counts.items() if k[0] == "word"}
-    tags = {k[1]: -max(0.02, min(1.5, math.log1p((v[1] + 0.1) / beside / ((v[0] + 0.1) / inside)) / 4)) for k, v in counts.items() if k[0] == "tag"}
-    return Weights(words, tags, 4.0)
+    tags = {k[1]: -max(0.02, min(1.5, math.log1p((v[1] + 0.1) / beside / ((v[0] + 0.1) / inside)) / 4)) for k, v in counts.items() if k[0] == "tag" and k[1] not in CONTENT}
+    odds = lambda v: math.log((v[0] + 50 * share) / (v[1] + 50 * (1 - share)) * beside / inside)
+    places = {k[1]: prior(k[1]) + max(-4.0, min(2.0, odds(v))) for k, v in counts.items() if k[0] == "place"}
+    return Weights(words, tags, places)
 
 
 def count(page: str) -> Counter:
-    """(word or tag, feature or name, inside or outside) of a labelled page; nothing of another."""
-    found = items(page)
+    """(word, tag or place, its name, inside or outside) of a labelled page; nothing of another."""
+    found, nodes = items(page)
     out: Counter = Counter()
-    if any(i.label and not i.outside and i.words for i in found):
+    if any(i.label and i.words for i in found):
+        around: list[frozenset[str]] = []
+        for n in nodes:
+            around.append(frozenset(n.names) | (around[n.parent] if around else frozenset()))
         for i in found:
-            if i.outside:
+            if nodes[i.node].dropped:
                 continue
             if i.text is None:
                 out["tag", i.tag, i.label] += 1
             elif i.words:
                 out["word", feature(i), i.label] += i.words
+                for name in around[i.node]:
+                    out["place", name, i.label] += i.words
     return out
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    if not page:
-        return ""
-    found = items(page)
-    labelled = any(i.label and not i.outside and i.words for i in found)
+def outside(nodes: list[Node], weights: Weights, spared: frozenset[int] = frozenset()) -> list[int]:
+    """Of each node: the nearest node around it, or itself, that is no place of content; -1 if there is none. Those
+    that are spared count as content, unless they are dropped outright."""
+    out: list[int] = []
+    for at, n in enumerate(nodes):
+        weight = min((weights.places.get(name, prior(name)) for name in n.names), default=0.0)
+        own = n.dropped or weight < OUTSIDE and at not in spared
+        out.append(at if own else out[n.parent] if at else -1)
+    return out
+
+
+def region(found: list[Item], beside: list[int], weights: Weights) -> list[Item]:
+    """The run of items with the highest score, without those beside the content."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for at, i in enumerate(found):
-        if i.outside:
+        if beside[i.node] >= 0:
             continue
         if i.text is None:
-            score = -0.02 if labelled and i.label else weights.tags.get(i.tag, -0.2) - (0.5 if labelled else 0.0)
+            score = weights.tags.get(i.tag, -0.2)
         elif i.words:
             score = word_weight(i, weights) * i.words
-            if labelled and not i.label:
-                score = -weights.label * i.words
         else:
             continue
         if total <= 0:
@@ -221,18 +265,37 @@ def extract(page: str | None, weights: Weights) -> str:
         total += score
         if total > best:
             best, span = total, (start, at + 1)
+    return [i for i in found[slice(*span)] if i.text is None or beside[i.node] < 0]
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    if not page:
+        return ""
+    found, nodes = items(page)
+    beside = outside(nodes, weights)
+    content = region(found, beside, weights)
+    if sum(i.words for i in content) < HARDLY:
+        held: Counter = Counter()
+        for i in found:
+            if i.words and not i.linked and beside[i.node] >= 0 and not nodes[i.node].dropped:
+                held[beside[i.node]] += i.words
+        place, words = max(held.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if words >= MUCH:
+            spared = [place]
+            while (above := beside[nodes[spared[-1]].parent]) >= 0:
+                spared.append(above)
+            content = region(found, outside(nodes, weights, frozenset(spared)), weights)
     blocks: list[str] = []
-    held: list[str] = []
-    for i in found[slice(*span)]:
-        if i.text is None:
-            if i.tag in BLOCKS:
-                blocks.append(" ".join("".join(held).split()))
-                held = []
-            elif i.tag in SPACED:
-                held.append(" ")
-        elif not i.outside:
-            held.append(i.text)
-    blocks.append(" ".join("".join(held).split()))
+    held_: list[str] = []
+    for i in content:
+        if i.text is not None:
+            held_.append(i.text)
+        elif i.tag in BLOCKS:
+            blocks.append(" ".join("".join(held_).split()))
+            held_ = []
+        elif i.tag in SPACED:
+            held_.append(" ")
+    blocks.append(" ".join("".join(held_).split()))
     return "\n".join(b for b in blocks if b)
 
 
@@ -248,14 +311,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, most: int = LABELLED) -> Weights:
-    """Weights from at most about `most` pages. Names of features are few; tag names beyond the 200 most frequent
-    keep the usual weight, so what reaches the driver is bounded."""
+    """Weights from at most about `most` pages, sampled row by row, so that copies don't come in or stay out together.
+    The NAMED most frequent names reach the driver; others keep the usual weight."""
     n = pages.count()
     if not n:
         return usual()
-    sample = pages.select("html").where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30)))
+    sample = pages.where(F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))).select("html")
     sums = sample.mapInArrow(_counts, "kind string, name string, inside boolean, n long").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
-    rows = sums.orderBy(F.desc("kind"), F.desc(F.col("a") + F.col("b")), "name").limit(400).collect()
+    rows = sums.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "name").limit(NAMED).collect()
     return weigh({(r["kind"], r["name"]): (r["a"], r["b"]) for r in rows}) if rows else usual()
 
 

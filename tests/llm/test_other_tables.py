@@ -1,6 +1,7 @@
 """WARC archives, main text and top-k search on odd rows, against brute force and fixed texts."""
 
 import hashlib
+import html
 import random
 import re
 import time
@@ -69,19 +70,53 @@ TEXT = "The heading & more\nFirst boldness, with a line break and a link kept in
 @pytest.mark.parametrize("element", ["article", "main"])
 def test_main_text_of_a_labelled_page(element):
     page = PAGE % (element, element)
-    for weights in (extract.usual(), extract.weigh(dict(_both(extract.count(page))))):
+    for weights in (extract.usual(), _learned([page])):
         assert extract.extract(page, weights) == TEXT
         assert extract.extract(page.replace("</body></html>", ""), weights) == TEXT
 
 
-def _both(counts):
-    for kind, name in {(k[0], k[1]) for k in counts}:
-        yield (kind, name), (counts[kind, name, True], counts[kind, name, False])
+def _learned(pages):
+    counts = sum((extract.count(p) for p in pages), Counter())
+    return extract.weigh({k: (counts[*k, True], counts[*k, False]) for k in {k[:2] for k in counts}})
 
 
 def test_main_text_without_a_label():
     page = PAGE % ("div class='content'", "div")
-    assert extract.extract(page, extract.usual()) == TEXT
+    for weights in (extract.usual(), _learned([PAGE % ("article", "article")])):
+        assert extract.extract(page, weights) == TEXT
+
+
+def test_weights_are_learned_and_decide(monkeypatch):
+    """Places of unknown names beside labelled articles: what is learned of them holds for pages without a label, no
+    list of names helps, and without weights, or with reversed ones, the text is another."""
+    monkeypatch.setattr(extract, "prior", lambda name: 0.0)
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("one two three four five six".split()) for _ in range(n))
+
+    def page(element):
+        want = [line(30), line(60)]
+        html = f"<body><div class='zub'>{line(12)}</div><ul><li><a href='x'>{line(2)}</a><li><a>{line(1)}</a></ul><{element}><p>{want[0]}</p><p>{want[1]}</p></{element}><div class='krum'>{line(9)}</div></body>"
+        return html, "\n".join(want)
+
+    weights = _learned([page("article")[0] for _ in range(60)])
+    assert weights.places["name zub"] < extract.OUTSIDE and weights.words["text p 2"] > 1 > weights.words["link li 0"]
+    flipped = extract.Weights(*({k: -v if kind == "places" else 3.1 - v if kind == "words" else -1.52 - v for k, v in getattr(weights, kind).items()} for kind in weights._fields))
+    for element in ("article", "div", "section"):
+        html, want = page(element)
+        assert extract.extract(html, weights) == want
+        assert extract.extract(html, extract.usual()) != want != extract.extract(html, flipped)
+
+
+def test_the_scan_finds_the_best_run():
+    """Against all runs, of random items and weights."""
+    rng = random.Random(5)
+    for _ in range(200):
+        found = [extract.Item(rng.choice("ab"), rng.choice([None, None, "x"]), 0, 0, False, False) for _ in range(rng.randint(1, 12))]
+        found = [i if i.text is None else i._replace(words=rng.randint(0, 3)) for i in found]
+        weights = extract.Weights({}, {t: -rng.choice([0.5, 1.5, 2.25]) for t in "ab"}, {})
+        score = lambda run: sum(weights.tags[i.tag] if i.text is None else i.words * extract.word_weight(i, weights) for i in run)  # noqa: E731, B023
+        best = max(score(found[i:j]) for i in range(len(found) + 1) for j in range(i, len(found) + 1))
+        assert score(extract.region(found, [-1], weights)) == pytest.approx(best)
 
 
 @pytest.mark.parametrize("where", ["inside", "after"])
@@ -109,6 +144,31 @@ def test_common_words_in_names_do_not_take_content_out(page):
         assert extract.extract(f"<article><p>{text}</p><div {mark}><p>{text}</p></div></article>", extract.usual()) == text.strip()
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='site-content has-sidebar'>{0}</div>",
+        "<div class='post with-comments'>{0}</div>",
+        "<div class='social-history'>{0}</div>",
+        "<section id='related-work'>{0}</section>",
+        "<div title='the hidden truth' data-x='hidden'>{0}</div>",
+        "<form id=aspnet><div class='banner'>no banner</div>{0}</form>",
+        "<div class='related'><div class='search'>{0}</div></div>",
+    ],
+)
+def test_a_misnamed_place_is_content_where_there_is_no_other(page):
+    text = "some words of the text itself in a sentence " * 30
+    want = text.strip()
+    for weights in (extract.usual(), _learned([PAGE % ("article", "article")] * 50)):
+        assert extract.extract(f"<html><body><nav><a href='/'>a menu</a></nav>{page.format(f'<p>{text}</p>')}<footer>no footer</footer></body></html>", weights) == want
+
+
+def test_dropped_elements_are_never_content():
+    text = "some words of the text itself in a sentence " * 30
+    for mark in ("hidden", "style='display: none'", "aria-hidden='true'"):
+        assert extract.extract(f"<p>short</p><div {mark}>{text}</div>", extract.usual()) == "short"
+
+
 def test_tags_that_are_never_closed_cost_no_more_than_others():
     began = time.perf_counter()
     page = "<article>" + "<span>word</b> " * 40_000
@@ -126,14 +186,22 @@ def test_main_text_of_odd_pages(spark):
     assert extract.fit(pages(spark, [])) == extract.usual()
 
 
-def test_main_text_of_the_pages_table(spark, sf_dir):
-    import html
+def article_of(page):
+    inside = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inside))]
+    return "\n".join(b for b in blocks if b)
 
-    source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in op4_extract(spark, sf_dir).collect():
-        inside = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", source[r["page_id"]], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inside))]
-        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+def test_main_text_of_the_pages_table(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in table.collect()}
+    found = op4_extract(spark, sf_dir).collect()
+    assert len(found) == len(source)
+    assert all(r["text"] == article_of(source[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in found)
+    weights = extract.fit(table)
+    assert weights.words and weights.tags and weights.places
+    for page in source.values():  # without the label, by what the labelled ones teach
+        assert extract.extract(page.replace("article>", "div>"), weights) == article_of(page)
 
 
 VECTORS = "vec_id long, embedding array<float>, rank int, score string"
