@@ -11,11 +11,13 @@ similarity gives.
 In a bucket only pairs with one leader are made at first, the member that has the most company over all of its bands,
 which is likely what its copies were made from; and only those candidates are confirmed that could join two
 components. Where a bucket then still holds several components, all pairs across them are tested: as candidates, if
-it has few members; else in blocks, of which each pair is compared at once in numpy on full sets and gives no more
-links than join its components. A bucket beyond CROWD is first divided by the other bands that its members agree on,
-which joins most of it; if it then still holds several components, all members outside the largest are compared with
-all of its members. So no link between different components is lost, and no group emits all of its pairs; the
-comparisons of a bucket grow with its members times those outside its largest component.
+it has at most SMALL members. The members of all larger ones are divided by rare shingles: of a class' set, in one
+order of rarity over these members, the first n - ceil(n * similarity) + 1 shingles are its prefix, and two similar
+sets share a shingle of both prefixes. So copies of one template, which share all but a few shingles that no other
+has, fall apart into small groups, whatever the size of the bucket; groups of several components are compared, small
+ones as candidates, larger ones in blocks of bounded bytes, where sketches choose the pairs whose sets are compared
+at once in numpy. A group emits no more links than join its components. So no link between different components of
+classes that meet is lost, and no group emits all of its pairs.
 
 Sets and classes are known by 64-bit hashes: of n different ones some two are taken for one with probability
 n * n / 2**65. Null texts, and those without words, have empty sets and are linked with nothing. Shorter texts than
@@ -41,9 +43,9 @@ from sparkloom.llm.tokens import mixed, words_of
 SHINGLE = 5
 HASHES = 192
 BITS = 512
-#: Members of a bucket of which all pairs across components become candidates; members of a block in a larger one;
-#: and members beyond which a bucket is divided first.
-SMALL, SIDE, CROWD = 8, 200, 5000
+#: Members of a bucket or group of which all pairs across components become candidates; and bytes of sets, and members,
+#: of a side of a block in a larger one.
+SMALL, SIDE_BYTES, SIDE = 8, 8 << 20, 400
 #: Bytes of text that are handled together.
 BLOCK = 4 << 20
 
@@ -148,9 +150,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(members: pa.Table, percent: int) -> pa.Table:
-    """Of the members (node, of, shingles) of two blocks: links enough to join all components of `of` that any link
-    joins. Intersections are counted by matrix products over the shingles that several members share."""
+    """Of the members (node, of, sketch, shingles) of two sides: links enough to join all components of `of` that any
+    link joins. Sketches choose the pairs across components; of members that have one, intersections are counted by
+    matrix products over the shingles that several members share."""
+    flips = members.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
+    of = members.column("of").to_numpy()
+    near = np.zeros((len(members), len(members)), bool)
+    for i in range(len(members)):
+        near[i] = (np.bitwise_count(flips[i] ^ flips).sum(1) <= most_bits(percent)) & (of[i] != of)
+    keep = near.any(1)
+    members, near = members.filter(pa.array(keep)), near[np.ix_(keep, keep)]
     node, of = members.column("node").to_numpy(), members.column("of").to_numpy()
+    if not len(node):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     lists = members.column("shingles").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     names, column, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -167,7 +179,7 @@ def _joined(members: pa.Table, percent: int) -> pa.Table:
         part[row[a:z], column[a:z] - start] = 1
         both += part @ part.T
     total = sizes[:, None] + sizes[None, :] - both
-    x, y = np.nonzero(np.triu(100 * both >= percent * total, 1) & (of[:, None] != of[None, :]))
+    x, y = np.nonzero(np.triu((100 * both >= percent * total) & near, 1))
     root = {k: k for k in of.tolist()}
 
     def top(k: int) -> int:
@@ -216,7 +228,7 @@ class Linker:
         self.percent, self.scratch = percent, Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
         self.signed = self.scratch.write(self.docs.mapInArrow(partial(_signed, rows_=rows_of(percent)), SIGNED), "signed")
-        classes = self.signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        classes = self.signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
         self.classes = self.scratch.write(classes, "classes")
         self.links: DataFrame | None = None
         self.of: DataFrame | None = None  # node, component
@@ -287,7 +299,8 @@ class Linker:
             self.add(left.join(small(open_, 40), "a").join(right, "b").where(100 * both >= self.percent * all_).select("a", "b"))
 
     def mixed(self, crowds: DataFrame) -> DataFrame:
-        """Of crowds with a third member: those that hold several components, with each member's in the column of."""
+        """Of crowds (key, node, members) with a third member: those that hold several components, with each member's in
+        the column of."""
         if self.of is None:
             members = crowds.withColumn("of", F.col("node"))
         else:
@@ -297,38 +310,51 @@ class Linker:
         several = self.scratch.write(several, f"several_{self.turn}")
         return self.scratch.write(members.join(small(several, 40), "key"), f"mixed_{self.turn}")
 
-    def across_few(self, crowds: DataFrame) -> DataFrame:
-        """Pairs across the components of small buckets, but those with the leader."""
-        few = crowds.where((F.col("members") <= SMALL) & (F.col("node") != F.col("leader")))
+    def pairs(self, crowds: DataFrame) -> DataFrame:
+        """Pairs across the components of small buckets or groups."""
+        few = crowds.where(F.col("members") <= SMALL)
         one, two = (few.select("key", F.col("node").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab")
         return one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b")
 
-    def across_many(self, crowds: DataFrame) -> DataFrame:
-        """Links across the components of large buckets, as many as join them."""
-        crowded = crowds.where(F.col("members") > SMALL).select("key", "node", "of", "members", (F.col("at") + 1).alias("past"))
-        return self.compared(self.divided(crowded))
-
-    def across_rest(self, crowds: DataFrame) -> DataFrame:
-        """Links across the components of buckets beyond CROWD, whose divisions bring only those of their members
-        together that agree on a later band; as many as join them."""
-        return self.compared(crowds.where(F.col("members") > CROWD))
+    def divided(self, crowds: DataFrame) -> DataFrame:
+        """key, node, of and members of the groups of several components that the members of large buckets form by the
+        shingles of their prefixes. Of groups with the same members there is one."""
+        self.turn += 1
+        turn = self.turn
+        members = self.scratch.write(crowds.where(F.col("members") > SMALL).select("node", "of").distinct(), f"crowded_{turn}")
+        sets = self.sets(members.select("node")).dropDuplicates(["node"])
+        sets = self.scratch.write(sets.join(small(members, 40), "node").select("node", "of", "shingles"), f"crowded_sets_{turn}")
+        shingles = sets.select("node", "of", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+        often = self.scratch.write(shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), f"often_{turn}")
+        # shingles that no other member has come first in a prefix, and meet nobody
+        shared = shingles.join(small(often, 40), "key").groupBy("node", "of", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+        rest = (F.size("shared") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        prefixes = shared.where(rest > 0).select("node", "of", F.explode(F.slice("shared", F.lit(1), rest)).alias("s")).select("s.key", "node", "of")
+        prefixes = self.scratch.write(prefixes, f"prefixes_{turn}")
+        same = F.bit_xor(F.xxhash64("node"))
+        groups = prefixes.groupBy("key").agg(F.count("*").alias("members"), F.min("of").alias("low"), F.max("of").alias("high"), same.alias("same")).where("low <> high")
+        groups = self.scratch.write(groups.groupBy("same", "members").agg(F.min("key").alias("key")).select("key", "members"), f"groups_{turn}")
+        return self.scratch.write(prefixes.join(small(groups, 40), "key"), f"divided_{turn}")
 
     def compared(self, crowded: DataFrame) -> DataFrame:
-        """Links across the components of buckets (key, node, of), as many as join them. Members outside a bucket's
-        largest component are compared with all of its members, in blocks of two sides."""
+        """Links across the components of groups (key, node, of), as many as join them. Members outside a group's
+        largest component are compared with all of its members, in blocks of two sides; a side has at most about SIDE
+        members and SIDE_BYTES of sets."""
         self.turn += 1
         turn = self.turn
-        crowded = self.scratch.write(crowded.select("key", "node", "of"), f"crowded_{turn}")
-        parts = crowded.groupBy("key", "of").agg(F.count("*").alias("n"))
-        main = parts.groupBy("key").agg(F.max(F.struct("n", "of")).alias("m"), F.sum("n").alias("members"))
-        sides = lambda n: F.ceil(n / SIDE).cast("int")
-        main = self.scratch.write(main.select("key", F.col("m.of").alias("main"), sides(F.col("members") - F.col("m.n")).alias("outer"), sides(F.col("m.n")).alias("inner")), f"main_{turn}")
+        sized = crowded.join(self.classes.select("node", "n_shingles"), "node").select("key", "node", "of", (F.col("n_shingles") * 8).alias("bytes"))
+        crowded = self.scratch.write(sized, f"compared_{turn}")
+        parts = crowded.groupBy("key", "of").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        largest, whole = F.max(F.struct("n", "of", "bytes")).alias("m"), [F.sum(c).alias(c) for c in ("n", "bytes")]
+        sides = lambda n, size: F.greatest(F.ceil(n / SIDE), F.ceil(size / SIDE_BYTES)).cast("int")
+        main = parts.groupBy("key").agg(largest, *whole).select("key", F.col("m.of").alias("main"), sides(F.col("n") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")).alias("outer"), sides(F.col("m.n"), F.col("m.bytes")).alias("inner"))
+        main = self.scratch.write(main, f"main_{turn}")
         hashed, outside = F.xxhash64("node", "key"), F.col("of") != F.col("main")
         side = F.when(outside, F.pmod(hashed, "outer")).otherwise(F.col("outer") + F.pmod(hashed, "inner")).cast("int")
         last = F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
         met = crowded.join(small(main, 60), "key").where("outer > 0").withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), last))})
         met = self.scratch.write(met.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "of"), f"sides_{turn}")
-        sets = self.sets(crowded.select("node"))
+        sets = self.sets(crowded.select("node")).dropDuplicates(["node"]).join(self.classes.select("node", "sketch"), "node")
         percent = self.percent
 
         def joined(block: pa.Table) -> pa.Table:
@@ -336,21 +362,6 @@ class Linker:
 
         return sets.join(small(met, 80), "node").groupBy("key", "i", "j").applyInArrow(joined, "a long, b long")
 
-    def divided(self, crowded: DataFrame) -> DataFrame:
-        """crowded with the divisions by one more band of each bucket beyond CROWD in its place. Links within these are
-        found early; across_rest finds the others."""
-        out = crowded.where(F.col("members") <= CROWD)
-        while True:
-            many = crowded.where(F.col("members") > CROWD)
-            if not many.limit(1).count():
-                return out
-            further = many.drop("members").join(self.classes.select("node", F.posexplode("bands").alias("band_at", "band")), "node").where("band_at >= past")
-            parts = further.select(F.xxhash64("key", "band").alias("key"), "node", "of", (F.col("band_at") + 1).alias("past"))
-            several = parts.groupBy("key").agg(F.count("*").alias("members"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key", "members")
-            self.turn += 1
-            crowded = self.scratch.write(parts.join(several, "key").select("key", "node", "of", "members", "past"), f"divided_{self.turn}")
-            out = out.unionByName(crowded.where(F.col("members") <= CROWD))
-
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, node, component and component_id of each row. Rows of one id with different
         texts may name two components alike; these differ in component."""
@@ -359,12 +370,15 @@ class Linker:
         self.confirm(self.candidates(star))
         mixed_ = self.mixed(crowds)
         if mixed_.where(F.col("members") > SMALL).limit(1).count():
-            self.add(self.across_many(mixed_))
+            groups = self.divided(mixed_)
+            few = self.candidates(self.pairs(groups))
+            if few.limit(1).count():
+                self.confirm(few)
+            if groups.where(F.col("members") > SMALL).limit(1).count():
+                open_ = self.mixed(groups.where(F.col("members") > SMALL).drop("of"))
+                self.add(self.compared(open_.select("key", "node", "of")))
             mixed_ = self.mixed(crowds)
-            if mixed_.where(F.col("members") > CROWD).limit(1).count():
-                self.add(self.across_rest(mixed_))
-                mixed_ = self.mixed(crowds)
-        rest = self.candidates(self.across_few(mixed_))
+        rest = self.candidates(self.pairs(mixed_.where(F.col("node") != F.col("leader"))))
         if rest.limit(1).count():
             self.confirm(rest)
         named = self.classes.select("node", "least")

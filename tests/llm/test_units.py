@@ -79,14 +79,14 @@ def test_sketches_let_similar_sets_pass(percent):
 
 def test_blocks_join_across_components_alone():
     sets = [np.arange(100), np.arange(5, 100), np.arange(1000, 1100), np.arange(1001, 1100), np.arange(0, 100, 2)]
-    table = pa.table({"node": [1, 2, 3, 4, 5], "of": [1, 2, 3, 3, 5], "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    sketches = [near.sketch(near.samples(near.mixed(s.astype(np.uint64), s.astype(np.uint64)))) for s in sets]
+    table = pa.table({"node": [1, 2, 3, 4, 5], "of": [1, 2, 3, 3, 5], "sketch": pa.array(sketches, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.list_(pa.int64()))})
     assert near._joined(table, 85).to_pylist() == [{"a": 1, "b": 2}]
 
 
 def test_a_crowded_bucket_is_tested_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "SMALL", 2)
     monkeypatch.setattr(near, "SIDE", 3)
-    monkeypatch.setattr(near, "CROWD", 12)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -113,7 +113,7 @@ def test_a_crowded_bucket_is_tested_in_blocks(spark, monkeypatch):
 
 
 def test_links_whose_only_band_is_crowded(spark, monkeypatch):
-    for name, value in {"SMALL": 2, "SIDE": 5, "CROWD": 12}.items():
+    for name, value in {"SMALL": 2, "SIDE": 5}.items():
         monkeypatch.setattr(near, name, value)
     monkeypatch.setattr(near, "rows_of", lambda percent: 97)  # a single band
     rng = random.Random(5)
@@ -135,10 +135,25 @@ def test_links_whose_only_band_is_crowded(spark, monkeypatch):
     for j, i in links:
         low, high = sorted((group[i], group[j]))
         group = [low if g == high else g for g in group]
-    assert sum(key.count(key[i]) > near.CROWD for _, i in links) > 3
+    assert sum(key.count(key[i]) > 2 * near.SIDE for _, i in links) > 3
     assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, 99).collect()} == dict(enumerate(group))
 
 
+def test_copies_of_a_template_fall_apart_into_small_groups(spark, monkeypatch):
+    """Texts that share three of four shingles meet in one bucket, but none of them is compared with all others."""
+    monkeypatch.setattr(near, "rows_of", lambda percent: 2)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base + [f"x{rng.random()}" for _ in range(110)]) for _ in range(150)]
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:5]]  # a near copy of each
+    seen = []
+    joined = near.Linker.divided
+    monkeypatch.setattr(near.Linker, "divided", lambda self, crowds: seen.append(joined(self, crowds)) or seen[-1])
+    found = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - 150 if i >= 150 else i for i in range(155)}
+    assert seen and max((r["members"] for r in seen[0].collect()), default=0) <= near.SMALL
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     found = op10_langid(spark, sf_dir).where("held_out").join(docs, "doc_id").where("length(text) > 100").collect()
