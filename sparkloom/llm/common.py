@@ -27,7 +27,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault("root", tempfile.mkdtemp(prefix="sparkloom-"))
+    if "root" not in _own:
+        _own["root"] = tempfile.mkdtemp(prefix="sparkloom-")
+    return _own["root"]
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -53,10 +55,10 @@ class Scratch:
             atexit.register(_delete_at_exit, spark, mine)
         self.folder = f"{mine}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, mode: str = "error") -> DataFrame:
         """df as a Parquet table of the shared folder; survives the loss of any executor."""
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").mode(mode).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

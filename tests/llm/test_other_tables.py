@@ -237,6 +237,31 @@ def test_top_k_in_many_query_blocks(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()} == brute_top(rows)
 
 
+def test_many_equal_vectors_leave_few_survivors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    popular, rare = ([float(x) for x in rng.normal(size=6).astype(np.float32)] for _ in range(2))
+    rows = [(i, popular) for i in range(5000)] + [(9000 + i, rare) for i in range(3)] + [(7, popular)] * 4 + [(9100, rare)] * 15
+    rows += [(10_000 + i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(40)]
+    df = spark.createDataFrame([(*r, 3, "s") for r in rows], VECTORS).repartition(3)
+    written = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, table, name, *mode: written.setdefault(name, write(self, table, name, *mode)))
+    found = topk.search(df, df.where("vec_id % 100 = 0"))
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()} == brute_top(rows)
+    queries = written["queries"].count()
+    assert written["survivors"].count() <= 42 * queries and written["first"].count() <= 20 * 11 * queries
+
+
+def test_components_beyond_exact_doubles(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * 1e5]) for i in range(60)]
+    df = spark.createDataFrame([(*r, 3, "s") for r in rows], VECTORS)
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id % 100 = 0")).collect()} == brute_top(rows)
+    df = spark.createDataFrame([(1, [1e16], 0, ""), (100, [1e16], 0, "")], VECTORS)
+    with pytest.raises(Exception, match="(?i)overflow"):
+        topk.search(df, df.where("vec_id % 100 = 0")).collect()
+
+
 def test_top_k_of_the_embeddings_table(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in op7_topk(spark, sf_dir).collect()} == brute_top(rows)
