@@ -8,13 +8,18 @@ its own.
 
 Documents are packed into blocks. A block asks for the counts of its distinct tokens and bigrams once, by hash, in
 one request per shard of the key space; the shard adds up what all blocks have counted and answers each of them. So
-the corpus' counts are never in one place, a frequent word costs a shard one entry per block, and what is shuffled
-grows with the distinct keys of blocks. The answers are written; scoring reads block and answers together.
+the corpus' counts are never in one place, and what is shuffled grows with the distinct keys of blocks: a request
+takes some five bytes a key, and there are never more requests than shards for a block, nor than its keys. Frequent
+keys, which would cost their shard an entry per block, aren't asked for: every task adds up its own counts of them and
+gives them once, and their sums are broadcast. Which keys are frequent is read off a few blocks; that decides by which
+of the two ways a key is counted, never its count. Answers are written; scoring reads block and answers together.
 
 Tokens are known by 64-bit hashes: among v different tokens some two are taken for one with probability v * v / 2**65.
-Null and empty texts are their end token alone. Documents with a null id are not learned from, and are not held out.
-Equal rows count each time and score alike. A document is scored whole; the only thing that is held at once is a
-block, or one document if that is longer. An empty table gives no rows; without training tokens the model is even.
+Bigrams, whose counts only enter the model, are known by so many bits, 48 at least, that fewer than one in 100,000 is
+taken for another. Null and empty texts are their end token alone. Documents with a null id are not learned from, and
+are not held out. Equal rows count each time and score alike. A document is scored whole; the only thing that is held
+at once is a block, or one document if that is longer. An empty table gives no rows; without training tokens the model
+is even.
 """
 
 from __future__ import annotations
@@ -42,18 +47,26 @@ BUCKETS = 16
 STEPS = 4
 ROUNDS = 40
 END = np.uint64(0x9E3779B97F4A7C15)
+#: Blocks that tell which keys are frequent, those that occur FREQUENT times in at least half of these; how many at most;
+#: and how many a row holds.
+LOOKED_AT, FREQUENT, COMMON, SLICE = 16, 3, 200_000, 256
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as the largest needs, after that number of bytes."""
+    """Unsigned integers in as few bytes each as the largest needs, first bytes first, compressed if they are many;
+    before them, that number of bytes, and whether and to what length to decompress."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    data = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    if len(data) < 100:
+        return bytes([width]) + data
+    return bytes([width | 16]) + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : data[0]] = raw
+    width = data[0] & 15
+    raw = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd", asbytes=True) if data[0] & 16 else data[1:]
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
@@ -124,7 +137,8 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(sizes)), sizes + 1), np.concatenate([[END], hashes]).astype(np.uint64)
 
 
-def opened(data: bytes) -> Block:
+def opened(data: bytes, width: int) -> Block:
+    """A block, its pairs known by width bits."""
     docs = pa.ipc.open_stream(data).read_all().combine_chunks()
     texts = docs.column("text")
     word, doc, hashes = tokens_of(texts.chunk(0) if texts.num_chunks else pa.array([], pa.string()))
@@ -132,25 +146,70 @@ def opened(data: bytes) -> Block:
     word = place[word]
     before = np.concatenate([place[:1], word[:-1]]) if len(word) else word  # the end of a text comes before the next
     both, pair = np.unique(before * len(keys) + word, return_inverse=True)
-    pair_keys, order = np.unique(mixed(keys[both // len(keys)], keys[both % len(keys)]), return_inverse=True)
+    pair_keys, order = np.unique(mixed(keys[both // len(keys)], keys[both % len(keys)]) >> np.uint64(64 - width), return_inverse=True)
     return Block(docs, doc, word, before, order[pair], keys, pair_keys)
 
 
-def _requests(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+class Common(NamedTuple):
+    """Frequent words and pairs, sorted, and their counts once these are known."""
+
+    keys: tuple[np.ndarray, np.ndarray]
+    counts: tuple[np.ndarray, np.ndarray] | None = None
+
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of keys are frequent, and their places."""
+        own = self.keys[kind]
+        at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
+        return (own[at] == keys if len(own) else np.zeros(len(keys), bool)), at
+
+
+def _often(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0):
+            b = opened(data.as_py(), width)
+            for kind, keys, where in ((0, b.keys, b.word), (1, b.pair_keys, b.pair)):
+                often = keys[np.bincount(where, minlength=len(keys)) >= FREQUENT].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(often), pa.int32()), pa.array(often)], ["kind", "key"])
+
+
+def common(blocks: DataFrame, width: int) -> Common:
+    """The frequent keys of some blocks, the COMMON most widespread ones at most."""
+    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(LOOKED_AT).collect()]
+    rows = blocks.where(F.col("block").isin(some)).select("docs").mapInArrow(partial(_often, width=width), "kind int, key long")
+    spread = rows.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= len(some))
+    found = spread.orderBy(F.desc("n"), "kind", "key").limit(COMMON).toArrow()
+    kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+    return Common((np.sort(key[kind == 0]), np.sort(key[kind == 1])))
+
+
+REQUEST = "block long, kind int, shard int, keys binary, counts binary"
+WORDS, PAIRS = 0, 1  # kinds; 2 more: the sums of frequent ones, in slices
+
+
+def _requests(batches: Iterator[pa.RecordBatch], bits: int, width: int, shared) -> Iterator[pa.RecordBatch]:
+    names, frequent = [x.split()[0] for x in REQUEST.split(", ")], shared.value
+    own = [np.zeros(len(k), np.int64) for k in frequent.keys]
+
+    def rows(block: int | None, kind: int, shards: list[int], keys: list[bytes | None], counts: list[bytes]) -> pa.RecordBatch:
+        n = len(shards)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(shards, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names)
+
     for batch in batches:
         for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            b = opened(data.as_py())
+            b = opened(data.as_py(), width)
             learn = b.docs.column("learn").to_numpy()[b.doc]
-            for kind, keys, where in ((0, b.keys, b.word), (1, b.pair_keys, b.pair)):
+            for kind, keys, where, length in ((WORDS, b.keys, b.word, 64), (PAIRS, b.pair_keys, b.pair, width)):
                 counts = np.bincount(where[learn], minlength=len(keys))
-                shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                names, starts = np.unique(shard, return_index=True)
-                spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(names), pa.int64()), pa.array([kind] * len(names), pa.int32()), pa.array(names, pa.int32())]
-                    + [pa.array([pack_sorted(keys[s:e]) for s, e in spans], pa.binary()), pa.array([pack(counts[s:e]) for s, e in spans], pa.binary())],
-                    ["block", "kind", "shard", "keys", "counts"],
-                )
+                often, at = frequent.find(kind, keys)
+                own[kind][at[often]] += counts[often]
+                keys, counts = keys[~often], counts[~often]
+                shard = (keys >> np.uint64(length - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                shards, starts = np.unique(shard, return_index=True)
+                spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
+                yield rows(number, kind, shards.tolist(), [pack_sorted(keys[s:e]) for s, e in spans], [pack(counts[s:e]) for s, e in spans])
+    for kind, sums in enumerate(own):
+        parts = [sums[i : i + SLICE] for i in range(0, len(sums), SLICE)]
+        yield rows(None, kind + 2, list(range(len(parts))), [None] * len(parts), list(map(pack, parts)))
 
 
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
@@ -158,13 +217,19 @@ ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.in
 
 def _answers(requests: pa.Table) -> pa.Table:
     """To each block: the counts in all blocks of the keys that it asks for, in its order. And one row, of no block,
-    with the shard's sum and its number of counted keys."""
+    with the shard's sum and its number of counted keys. Of frequent keys the one row has the sums, too."""
+    kind, shard = requests.column("kind")[0].as_py(), requests.column("shard")[0].as_py()
+    if kind >= 2:
+        total = np.zeros(len(unpack(requests.column("counts")[0].as_py())), np.int64)
+        for part in requests.column("counts"):
+            total += unpack(part.as_py()).astype(np.int64)
+        row = {"block": None, "kind": kind, "shard": shard, "counts": pack(total), "tokens": int(total.sum()), "types": int((total > 0).sum())}
+        return pa.Table.from_pylist([row], schema=ANSWER)
     keys = [unpack_sorted(k.as_py()) for k in requests.column("keys")]
     counts = np.concatenate([unpack(c.as_py()) for c in requests.column("counts")]).astype(np.float64)
     known, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(which, weights=counts, minlength=len(known)).astype(np.int64)
     out = np.split(total[which], np.cumsum([len(k) for k in keys])[:-1])
-    kind, shard = requests.column("kind")[0].as_py(), requests.column("shard")[0].as_py()
     n = len(keys) + 1
     return pa.Table.from_arrays(
         [pa.array([*requests.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([*map(pack, out), None], pa.binary())]
@@ -173,12 +238,19 @@ def _answers(requests: pa.Table) -> pa.Table:
     )
 
 
-def counts_of(b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(b: Block, answers: pa.Table, frequent: Common) -> tuple[np.ndarray, np.ndarray]:
     """Counts of b.keys and of b.pair_keys."""
     rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "counts")), strict=True))
-    both = [np.concatenate([np.empty(0, np.uint64), *(unpack(r[2]) for r in rows if r[0] == kind)]).astype(np.int64) for kind in (0, 1)]
-    if (len(both[0]), len(both[1])) != (len(b.keys), len(b.pair_keys)):
-        raise ValueError("a block's answers are not those to its requests")
+    both = []
+    for kind, keys in ((WORDS, b.keys), (PAIRS, b.pair_keys)):
+        often, at = frequent.find(kind, keys)
+        told = np.concatenate([np.empty(0, np.uint64), *(unpack(r[2]) for r in rows if r[0] == kind)]).astype(np.int64)
+        if len(told) != (~often).sum():
+            raise ValueError("a block's answers are not those to its requests")
+        counts = np.empty(len(keys), np.int64)
+        counts[~often] = told
+        counts[often] = frequent.counts[kind][at[often]]
+        both.append(counts)
     return both[0], both[1]
 
 
@@ -189,11 +261,11 @@ def bucket(context: np.ndarray) -> np.ndarray:
 GRID = "bucket int, f2 int, f1 int, n long, sum2 double, sum1 double"
 
 
-def _held_out(blocks: pa.Table, answers: pa.Table, tokens: int) -> pa.Table:
+def _held_out(blocks: pa.Table, answers: pa.Table, tokens: int, width: int, shared) -> pa.Table:
     """Of a block's tuning documents: how often each bucket meets each pair of estimates, to a step, by the counts
     less those of the document itself."""
-    b = opened(blocks.column("docs")[0].as_py())
-    of_word, of_pair = counts_of(b, answers)
+    b = opened(blocks.column("docs")[0].as_py(), width)
+    of_word, of_pair = counts_of(b, answers, shared.value)
 
     def own(where: np.ndarray) -> np.ndarray:
         _, at, n = np.unique(b.doc * (max(len(b.keys), len(b.pair_keys)) + 1) + where, return_inverse=True, return_counts=True)
@@ -235,9 +307,9 @@ def weights(grid: pd.DataFrame, types: int) -> np.ndarray:
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scores(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, mix: np.ndarray) -> pa.Table:
-    b = opened(blocks.column("docs")[0].as_py())
-    of_word, of_pair = counts_of(b, answers)
+def _scores(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, mix: np.ndarray, width: int, shared) -> pa.Table:
+    b = opened(blocks.column("docs")[0].as_py(), width)
+    of_word, of_pair = counts_of(b, answers, shared.value)
     n, known = b.docs.num_rows, of_word > 0
     by_doc = partial(np.bincount, b.doc, minlength=n)
     base = np.log10((of_word + 1) / (tokens + types + 1))
@@ -260,16 +332,23 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_fold(HELD_OUT).alias("held_out"), (F.col("doc_id").isNotNull() & ~is_fold(HELD_OUT)).alias("learn"), is_fold(TUNING).alias("tuning"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / BLOCK)))))
+    width = min(64, max(48, int(np.ceil(np.log2(max(2, size)))) + 16))
     blocks = scratch.write(rows.mapInArrow(_packed, "block long, tuning boolean, docs binary"), "blocks")
-    requests = blocks.select("block", "docs").mapInArrow(partial(_requests, bits=bits), "block long, kind int, shard int, keys binary, counts binary")
+    frequent = common(blocks, width)
+    spark = docs.sparkSession
+    requests = blocks.select("block", "docs").mapInArrow(partial(_requests, bits=bits, width=width, shared=spark.sparkContext.broadcast(frequent)), REQUEST)
     answers = scratch.write(requests.groupBy("kind", "shard").applyInArrow(_answers, "block long, kind int, shard int, counts binary, tokens long, types long"), "answers")
-    totals = answers.where("block is null and kind = 0").agg(F.sum("tokens"), F.sum("types")).first()
+    totals = answers.where(f"block is null and kind in ({WORDS}, {WORDS + 2})").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = totals[0] or 0, totals[1] or 0
+    told = answers.where("kind >= 2").select("kind", "shard", "counts").orderBy("kind", "shard").collect()  # sums of at most COMMON keys
+    frequent = frequent._replace(counts=tuple(np.concatenate([np.empty(0, np.int64), *(unpack(bytes(r["counts"])).astype(np.int64) for r in told if r["kind"] == kind + 2)]) for kind in (WORDS, PAIRS)))
+    shared = spark.sparkContext.broadcast(frequent)
     replies = answers.where("block is not null").select("block", "kind", "shard", "counts")
     tuning = blocks.where("tuning")
     asked = replies.join(small(tuning.select("block"), 40), "block", "left_semi")
-    grid = tuning.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(partial(_held_out, tokens=tokens), GRID)
+    grid = tuning.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(partial(_held_out, tokens=tokens, width=width, shared=shared), GRID)
     grid = grid.groupBy("bucket", "f2", "f1").agg(*[F.sum(c).alias(c) for c in ("n", "sum2", "sum1")]).toPandas()
     mix = weights(grid, types)
     pairs = blocks.groupBy("block").cogroup(replies.groupBy("block"))
-    return pairs.applyInArrow(partial(_scores, tokens=tokens, types=types, mix=mix), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = partial(_scores, tokens=tokens, types=types, mix=mix, width=width, shared=shared)
+    return pairs.applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -234,6 +234,77 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def brute_interpolation(data):
+    """The score of each row of data by plain deleted interpolation: estimates, held-out counts and weights."""
+    texts = [words((t or "").translate(LOWER)) + ["\n"] for _, t, *_ in data]
+    learn = [d is not None and crc(d) % 7 != 2 for d, *_ in data]
+    tune = [d is not None and crc(d) % 7 == 3 for d, *_ in data]
+    pairs_of = lambda t: list(zip(["\n", *t[:-1]], t, strict=True))
+    one, two = Counter(), Counter()
+    for t, ok in zip(texts, learn, strict=True):
+        if ok:
+            one.update(t)
+            two.update(pairs_of(t))
+    n, v = sum(one.values()), len(one)
+    kind = lambda c: min(int(math.log2(c + 1)), lm.BUCKETS - 1)
+    step = lambda f: 1 + int(-math.log2(f) * lm.STEPS) if f > 0 else 0
+    cells = defaultdict(lambda: [0, 0.0, 0.0])
+    for t, ok in zip(texts, tune, strict=True):
+        if not ok:
+            continue
+        mine, ours = Counter(t), Counter(pairs_of(t))
+        for a, b in pairs_of(t):
+            context = max(one[a] - mine[a], 0)
+            f2 = max(two[a, b] - ours[a, b], 0) / context if context else 0.0
+            f1 = max(one[b] - mine[b], 0) / max(n - len(t), 1)
+            cell = cells[kind(context), step(f2), step(f1)]
+            for i, x in enumerate((1, f2, f1)):
+                cell[i] += x
+
+    def learned(chosen):
+        mix = [1 / 3] * 3
+        for _ in range(lm.ROUNDS):
+            share = [1e-3] * 3
+            for times, sum2, sum1 in chosen:
+                part = [mix[0] * sum2 / times, mix[1] * sum1 / times, mix[2] / (v + 1)]
+                share = [s + times * p / sum(part) for s, p in zip(share, part, strict=True)]
+            mix = [s / sum(share) for s in share]
+        return mix
+
+    everything = learned(list(cells.values()))
+    mixes = [learned(own) if (own := [c for k, c in cells.items() if k[0] == b]) else everything for b in range(lm.BUCKETS)]
+    mixes[0] = [0, mixes[0][1] + mixes[0][0] / 2, mixes[0][2] + mixes[0][0] / 2]
+    out = []
+    for t in texts:
+        total = 0.0
+        for a, b in pairs_of(t):
+            w = mixes[kind(one[a])]
+            total += math.log10(w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / max(n, 1) + w[2] / (v + 1))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("table", ["odd rows", "documents"])
+def test_language_model_scores_are_those_of_plain_interpolation(spark, sf_dir, table):
+    if table == "odd rows":
+        data, docs = rows(), frame(spark)
+    else:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        data = [tuple(r) for r in docs.collect()]
+    want = sorted((len(words(t)) + 1, x) for (_, t, *_), x in zip(data, brute_interpolation(data), strict=True))
+    got = sorted((r["n_tokens"], r["score"]) for r in lm.score(docs).collect())
+    assert len(got) == len(want)
+    assert all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True))
+
+
+def test_frequent_words_are_not_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 20_000)
+    want = sorted((r["n_tokens"], r["base_score"], r["score"]) for r in lm.score(frame(spark)).collect())
+    monkeypatch.setattr(lm, "COMMON", 0)
+    got = sorted((r["n_tokens"], r["base_score"], r["score"]) for r in lm.score(frame(spark)).collect())
+    assert all(math.isclose(x, y, rel_tol=1e-9) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+
+
 def test_language_model_in_small_blocks_agrees(spark, monkeypatch):
     want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(frame(spark)).collect()}
     monkeypatch.setattr(lm, "BLOCK", 20_000)
