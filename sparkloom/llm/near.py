@@ -33,12 +33,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, small
-from sparkloom.llm.tokens import mixed, words_of
+from sparkloom.llm.tokens import mixed, slices, words_of
 
 SHINGLE = 5
 HASHES = 192
@@ -114,22 +113,13 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slices(texts: pa.Array) -> Iterator[slice]:
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-    start = 0
-    while start < len(ends):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, "right")))
-        yield slice(start, stop)
-        start = stop
-
-
 SIGNED = "doc_id long, text_key long, n_shingles long, node long, sketch array<long>, bands array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], rows_: int) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
     for batch in batches:
-        for rows in _slices(batch.column(2)):
+        for rows in slices(batch.column(2), BLOCK):
             part = batch.slice(rows.start, rows.stop - rows.start)
             sets = sets_of(part.column(2))
             least = [samples(s) if len(s) else None for s in sets]
@@ -144,7 +134,7 @@ def _signed(batches: Iterator[pa.RecordBatch], rows_: int) -> Iterator[pa.Record
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in _slices(batch.column(0)):
+        for rows in slices(batch.column(0), BLOCK):
             sets = sets_of(batch.column(0)[rows])
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 

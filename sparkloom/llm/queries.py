@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bpe, extract, langid, lm, mixing, near, quality, topk, warc, weak
 from sparkloom.llm.common import documents, pages
 
-#: Where the public vocabulary files lie.
+
 TOKENIZERS = "/opt/tokenizers"
 
 
+def byte_bpe() -> str:
+    """The public vocabulary file of byte-level BPE, which must lie at the same path on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -36,8 +43,8 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    tokens = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer)
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokens = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer or byte_bpe())
     return tokens.select("doc_id", "tokens.n_tokens", "tokens.ids_sha256", "tokens.decoded_sha256")
 
 

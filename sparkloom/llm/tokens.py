@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +25,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, sizes.astype(np.int64), pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[slice]:
+    """Ranges of texts of at most size bytes in all, or of one text that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two 64-bit hashes in order."""
     x = (a * np.uint64(0xBF58476D1CE4E5B9)) ^ (b + np.uint64(0x9E3779B97F4A7C15) + (a << np.uint64(6)) + (a >> np.uint64(2)))

@@ -6,7 +6,8 @@ of labellers, whatever the corpus); that gives every text a posterior. A linear
 three neighbouring characters and words, then learns the posteriors of a bounded sample, by gradients that the
 executors sum, and scores all texts.
 
-The fit uses at most about SAMPLE texts, those of the smallest hash; votes, patterns and scores cover all. Null texts,
+The fit uses at most about `sample` texts, chosen row by row, so that copies don't come in or stay out together;
+votes, patterns and scores cover all. Null texts,
 and those without words, are bad by every labeller that votes, and are never kept. Long texts are read whole. Equal
 texts get equal results; an empty table gives no rows. Extra columns do no harm.
 """
@@ -25,14 +26,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import quality
 from sparkloom.llm.common import Scratch
-from sparkloom.llm.tokens import words_of
+from sparkloom.llm.tokens import slices, words_of
 
+#: Most texts that the scorer is fitted on, about.
 SAMPLE = 20_000
 SHAPES, WORDS = 16**3, 1 << 12
 DIMENSIONS = SHAPES + WORDS + 1  # the last is constant
 ROUNDS, STEPS = 60, 40
-#: Code points whose shapes are counted at once.
-BLOCK = 1 << 20
+#: Code points whose shapes are counted at once; bytes of texts whose words are cut at once.
+BLOCK, TEXTS = 1 << 20, 4 << 20
 #: Function words of European languages.
 FREQUENT = "the of and to in a is that for with der die und das ein zu von de la le les des et en un une que el los y se por".split()
 
@@ -126,9 +128,10 @@ COUNTS = ("n_letters", "n_upper", "n_marked", "n_stops", "n_frequent")
 FREQUENT_HASHES = pd.util.hash_array(np.array(FREQUENT, object), categorize=False)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+def features(text: str | None, words: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
     """Indices and values of a text's features, of length one and the constant; and COUNTS: letters, capitals, words
-    that end in several marks or are one, marks that end a sentence, and function words."""
+    that end in several marks or are one, marks that end a sentence, and function words. words: the buckets of its
+    words; frequent: how many of them are function words."""
     counts = np.zeros(DIMENSIONS - 1, np.int64)
     padded = f" {text or ''} "
     for i in range(0, len(padded), BLOCK):
@@ -140,11 +143,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]
     middle = cube.sum((0, 2))  # of every character but the two that pad
     marked = cube[np.ix_(MARKS, MARKS, WHITE)].sum() + cube[np.ix_(WHITE, MARKS, WHITE)].sum()
     found = [middle[0] + middle[1], middle[1], marked, cube.sum(0)[np.ix_(STOPS, WHITE)].sum()]
-    number, _, hashes = words_of(pa.array([text], pa.string()))
-    frequent = 0
-    if len(number):
-        frequent = np.isin(hashes, FREQUENT_HASHES)[number].sum()
-        counts[SHAPES:] += np.bincount((hashes[number] % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+    counts[SHAPES:] += np.bincount(words, minlength=WORDS)
     at = np.flatnonzero(counts)
     value = np.sqrt(counts[at].astype(np.float64))
     half = at < SHAPES
@@ -154,13 +153,24 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]
     return np.append(at, DIMENSIONS - 1).astype(np.uint16), np.append(value, 1).astype(np.float16), (*map(int, found), int(frequent))
 
 
+def features_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
+    """features() of each text, with their words cut together."""
+    number, sizes, hashes = words_of(texts)
+    ends = np.cumsum(sizes)
+    bucket = (hashes % np.uint64(WORDS)).astype(np.int64)[number] if len(number) else number
+    often = np.cumsum(np.isin(hashes, FREQUENT_HASHES)[number]) if len(number) else number
+    so_far = np.concatenate([[0], often])[ends]
+    parts = zip(texts, ends - sizes, ends, np.diff(so_far, prepend=0), strict=True)
+    return [features(t.as_py(), bucket[start:end], frequent) for t, start, end, frequent in parts]
+
+
 def read(text: Column) -> Column:
     """Struct of a text's features as bytes, indices and then values of two bytes each, and of COUNTS."""
 
     @F.arrow_udf("struct<features: binary, " + ", ".join(f"{c}: long" for c in COUNTS) + ">")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch]
+            rows = [f for part in slices(batch, TEXTS) for f in features_of(batch[part])]
             columns = [pa.array([r[0].tobytes() + r[1].tobytes() for r in rows], pa.binary())]
             columns += [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
             yield pa.StructArray.from_arrays(columns, ["features", *COUNTS])
@@ -214,17 +224,18 @@ def scored(packed_: Column, weights: np.ndarray) -> Column:
     return score(packed_)
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, votes (a digit per labeller: 0 bad, 1 none, 2 good), posterior, score and kept."""
+def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Per document: doc_id, votes (a digit per labeller: 0 bad, 1 none, 2 good), posterior, score and kept. The scorer
+    is fitted on at most about `sample` texts."""
     scratch = Scratch(docs.sparkSession, "weak")
     slim = votes(docs.select("doc_id", "text"))
-    slim = scratch.write(slim.select("doc_id", F.col("__w_pattern").alias("pattern"), F.col("__w_n_words").alias("n_words"), F.xxhash64("text").alias("key"), F.col("__w_features").alias("features")), "slim")
+    slim = scratch.write(slim.select("doc_id", F.col("__w_pattern").alias("pattern"), F.col("__w_n_words").alias("n_words"), F.xxhash64("doc_id", "text").alias("key"), F.col("__w_features").alias("features")), "slim")
     patterns = slim.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # 3 ** 11 rows at most
     labels = agreement(patterns)
     known = docs.sparkSession.createDataFrame([(int(k), float(v)) for k, v in labels.posterior.items()], "pattern int, posterior double")
     slim = slim.join(F.broadcast(known), "pattern")
-    share = int(min(1.0, SAMPLE / max(1, int(patterns["n"].sum()))) * (1 << 30))
-    sample = scratch.write(slim.where((F.col("n_words") > 0) & (F.pmod("key", F.lit(1 << 30)) < share)).select("features", "posterior").coalesce(16), "sample")
-    out = slim.withColumn("score", scored(F.col("features"), fit(sample)))
+    share = int(min(1.0, sample / max(1, int(patterns["n"].sum()))) * (1 << 30))
+    chosen = scratch.write(slim.where((F.col("n_words") > 0) & (F.pmod("key", F.lit(1 << 30)) < share)).select("features", "posterior").coalesce(16), "chosen")
+    out = slim.withColumn("score", scored(F.col("features"), fit(chosen)))
     digits = F.concat(*[(F.floor(F.col("pattern") / 3**i) % 3).cast("string") for i in range(len(labellers()))])
     return out.select("doc_id", digits.alias("votes"), "posterior", "score", ((F.col("n_words") > 0) & (F.col("score") >= 0.5)).alias("kept"))

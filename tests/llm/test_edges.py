@@ -11,11 +11,11 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm import bpe, langid, lm, mixing, near, quality, weak
-from sparkloom.llm.queries import TOKENIZERS
+from sparkloom.llm.queries import byte_bpe
 from tests.llm.docs import frame, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BPE = byte_bpe()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

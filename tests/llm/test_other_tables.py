@@ -1,10 +1,12 @@
 """WARC archives, main text and top-k search on odd rows, against brute force and fixed texts."""
 
+import gzip
 import hashlib
 import html
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,9 +39,39 @@ def test_archives_round_trip(spark):
     assert warc.archived(pages(spark, [])).collect() == []
 
 
+def test_archives_are_sound_and_the_same_again(spark, tmp_path):
+    """Every file: gzip members of one record each, the first a warcinfo; ids are unique, revisits name a response's."""
+    copy = "same page " * 200
+    rows = [(i, f"u{i}", "own page " * 150 + str(i)) for i in range(20)] + [(100 + i, "u", copy) for i in range(5)] + [(7, "u", "x" * 40_000), (8, "u", "small"), (8, "u", "small")]
+    rows += [(300, "u", "y" * 1500), (300, "v", "y" * 1500), (299, "v", "y" * 1500)]
+    seen = []
+    for run in ("a", "b"):
+        warc.write(pages(spark, rows), str(tmp_path / run), Scratch(spark, "test"))
+        found = []
+        for file in sorted((tmp_path / run).glob("part-*")):
+            data = file.read_bytes()
+            assert gzip.decompress(data) == warc.unzipped(data)
+            members, at = [], 0
+            while at < len(data):
+                member = zlib.decompressobj(31)
+                members.append(member.decompress(data[at:]) + member.flush())
+                at = len(data) - len(member.unused_data)
+            kinds = [[f["warc-type"] for f, _ in warc.parse(m)] for m in members if m]
+            assert all(len(k) == 1 for k in kinds) and kinds[0] == ["warcinfo"]
+            found += [f for f, _ in warc.parse(data)]
+        ids = [f["warc-record-id"] for f in found]
+        responses = {f["warc-record-id"] for f in found if f["warc-type"] == "response"}
+        assert len(set(ids)) == len(ids)
+        revisits = [f for f in found if f["warc-type"] == "revisit"]
+        assert len(revisits) == 5 and sum("warc-refers-to" in f for f in revisits) == 4
+        assert all(f["warc-refers-to"] in responses for f in revisits if "warc-refers-to" in f)
+        seen.append(sorted(ids))
+    assert seen[0] == seen[1]
+
+
 def test_segments_are_cut_and_found_missing():
     payload = bytes(range(256)) * 400
-    parts = list(warc.records(1, "u", payload, None, False))
+    parts = list(warc.records(1, "u", payload))
     assert len(parts) > 3 and sum(b"WARC-Type: continuation" in p for p in parts) == len(parts) - 1
     parsed = list(warc.parse(b"".join(p + warc.END for p in parts)))
     assert warc.payload_of(b"".join(block for _, block in parsed)) == payload
@@ -50,7 +82,7 @@ def test_segments_are_cut_and_found_missing():
 
 
 def test_a_missing_segment_stops_reading(spark, tmp_path):
-    parts = list(warc.records(1, "u", b"x" * 50_000, None, False))
+    parts = list(warc.records(1, "u", b"x" * 50_000))
     (tmp_path / "a.warc").write_bytes(b"".join(p + warc.END for p in parts if b"Segment-Number: 2" not in p))
     with pytest.raises(Exception, match="segment is missing"):
         warc.read(spark, str(tmp_path), Scratch(spark, "test")).collect()

@@ -13,9 +13,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sparkloom.llm import bpe, lm, near, weak
 from sparkloom.llm.oracle import oracle_sql
-from sparkloom.llm.queries import TOKENIZERS, op9_lm, op10_langid, queries
+from sparkloom.llm.queries import byte_bpe, op9_lm, op10_langid, queries
 
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BPE = byte_bpe()
 
 
 @settings(max_examples=200, deadline=None)
