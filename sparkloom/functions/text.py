@@ -163,3 +163,38 @@ def dated_names(entries: Column) -> Column:
     """Map of date text to name of an array of `date - name`; entries without the mark are left out."""
     fine = F.filter(entries, lambda e: e.contains(" - "))
     return F.map_from_entries(F.transform(fine, lambda e: F.struct(F.trim(F.split_part(e, F.lit(" - "), F.lit(1))), F.trim(F.regexp_replace(e, "^.*? - ", "")))))
+
+
+def collapsed(source: Column) -> Column:
+    """Code or text with single spaces, trimmed."""
+    return F.trim(F.regexp_replace(source, r"\s+", " "))
+
+
+def run_suffix(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMddHHmmss")
+
+
+def elapsed(seconds: Column) -> Column:
+    return F.format_string("%.3fs", seconds)
+
+
+def gigabytes(size: Column) -> Column:
+    return F.round(size / (1 << 30), 2)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Null for no whole."""
+    return F.round(F.try_divide(part, whole) * 100, 2)
+
+
+def new_id() -> Column:
+    """A random UUID in capitals."""
+    return F.upper(F.uuid())
+
+
+def timesheet_entry(day: Column, holidays: Mapping[str, str], comment: Column) -> Column:
+    """Struct of hours, activity, mode and comment of a working day: a holiday's name, or a task from home, on
+    Wednesdays from the office."""
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in (holidays or {"": ""}).items() for x in pair]), day.cast("string"))
+    mode = F.when(named.isNull(), F.when(F.weekday(day) == 2, "work from office").otherwise("work from home"))
+    return F.struct(F.lit(8).alias("hours"), F.when(named.isNull(), "task").otherwise("holiday").alias("activity"), mode.alias("mode"), F.coalesce(F.concat(named, F.lit(" - A Company Holiday")), comment).alias("comment"))

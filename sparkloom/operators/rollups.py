@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import exception_class
+from sparkloom.functions.text import elapsed, exception_class
+from sparkloom.operators.numbering import numbered
 
 
 def status_counts(results: DataFrame, status: str, by: Sequence[str] = ()) -> DataFrame:
@@ -20,9 +21,43 @@ def status_counts(results: DataFrame, status: str, by: Sequence[str] = ()) -> Da
 
 
 def failures_by_class(results: DataFrame, message: str, order: str, default: str = "Unknown Failure") -> DataFrame:
-    """results with the class of their message and their number within it."""
-    kind = exception_class(F.col(message), default)
-    return results.withColumn("failure_class", kind).withColumn("number", F.row_number().over(W.partitionBy("failure_class").orderBy(order)))
+    """results with the class of their message and their number within it, by order, which should be total. A class
+    that has most of the rows is numbered by ranges, in several tasks."""
+    classed = results.withColumn("failure_class", exception_class(F.col(message), default))
+    ranked = numbered(classed, F.col("failure_class"), F.col(order), into="__number")
+    first = ranked.groupBy("failure_class").agg(F.min("__number").alias("__first"))
+    return ranked.join(first, "failure_class").withColumn("number", (F.col("__number") - F.col("__first") + 1).cast("int")).select(*results.columns, "failure_class", "number")
+
+
+def _seconds(start: Column, end: Column) -> Column:
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(end) - micros(start)) / 1e6
+
+
+#: Columns of an uploaded result.
+UPLOADED = "platform runner git_repo filepath branch module classname testname result error started finished duration username parallely threads exception".split()
+
+
+def uploaded(results: DataFrame, platform: str, username: str, runner: str = "custom") -> DataFrame:
+    """results (file_path, git_repo, branch, module, class, test, status, exception struct<type, message>, start_time,
+    end_time) as rows for the table of runs: UPLOADED, in this order. Durations are in seconds; a result without an
+    exception has neither error nor exception."""
+    c = F.col
+    values = {
+        "platform": F.lit(platform), "runner": F.lit(runner), "git_repo": c("git_repo"), "filepath": c("file_path"), "branch": c("branch"), "module": c("module"), "classname": c("class"), "testname": c("test"),
+        "result": F.lower("status"), "error": c("exception.message"), "started": c("start_time"), "finished": c("end_time"), "duration": _seconds(c("start_time"), c("end_time")),
+        "username": F.lit(username), "parallely": F.lit(False), "threads": F.lit(1), "exception": c("exception.type"),
+    }
+    return results.select(*[values[name].alias(name) for name in UPLOADED])
+
+
+def result_summary(results: DataFrame, preview: int = 100) -> DataFrame:
+    """results with `summary`, a struct of name, place, outcome and timing; a message longer than preview is cut there
+    and ends in three dots."""
+    message = F.col("exception.message")
+    cut = F.when(F.length(message) > preview, F.concat(F.substring(message, 1, preview), F.lit("..."))).otherwise(message)
+    place = F.struct(F.col("module"), F.col("class"), F.col("file_path"))
+    return results.withColumn("summary", F.struct(F.col("test").alias("name"), place.alias("place"), F.lower("status").alias("status"), cut.alias("message"), elapsed(_seconds(F.col("start_time"), F.col("end_time"))).alias("elapsed")))
 
 
 def failure_summary(results: DataFrame, message: str, default: str = "Unknown Failure") -> DataFrame:

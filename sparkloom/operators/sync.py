@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkloom.functions.text import without_fragment
 from sparkloom.operators.dml import first_rows
 
 MODES = {"upload": ("upload", "update_remote"), "download": ("download", "update_local"), "manual": (), "auto": ("upload", "download", "update_local", "update_remote", "local_conflict", "remote_conflict", "refresh", "forget")}
@@ -59,15 +62,16 @@ def debounce(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op
 
 def fixed_window_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10) -> DataFrame:
     """requests with allowed and hits: a window begins with the first hit and ends seconds later; hits beyond limit
-    are refused. One key's requests follow one another, so a task handles them in order, a hit at a time; each task
-    holds the rows of one key."""
-    return _limited(requests, key, ts, order, lambda t: _fixed(t, seconds, limit))
+    are refused. A key's requests follow one another, so they are handled in order, by time and order; a pause of
+    seconds ends whatever a window could hold, so that a task holds the rows between two pauses only. Requests without
+    a time are neither allowed nor counted (null)."""
+    return _limited(requests, key, ts, order, seconds, lambda t: _fixed(t, seconds, limit))
 
 
 def sliding_log_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10) -> DataFrame:
     """requests with allowed and hits: refused if limit accepted hits lie within the last seconds; refused ones don't
-    count."""
-    return _limited(requests, key, ts, order, lambda t: _sliding(t, seconds, limit))
+    count. Rows are held as by fixed_window_limit()."""
+    return _limited(requests, key, ts, order, seconds, lambda t: _sliding(t, seconds, limit))
 
 
 def _fixed(times: list[float], seconds: float, limit: int) -> list[tuple[bool, int]]:
@@ -92,23 +96,29 @@ def _sliding(times: list[float], seconds: float, limit: int) -> list[tuple[bool,
     return out
 
 
-def _limited(requests: DataFrame, key: str, ts: str, order: str, decide: Callable[[list[float]], list[tuple[bool, int]]]) -> DataFrame:
-    slim = requests.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__t"))
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+def _limited(requests: DataFrame, key: str, ts: str, order: str, seconds: float, decide: Callable[[list[float]], list[tuple[bool, int]]]) -> DataFrame:
+    """requests with what decide says of each; key, time and order go along, so repeated or null ones stay rows of
+    their own."""
+    timed = requests.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    of_key = W.partitionBy(key).orderBy("__t", order)
+    pause = F.coalesce(F.col("__t") - F.lag("__t").over(of_key) >= seconds, F.lit(False)).cast("long")
+    parts = timed.withColumn("__pause", pause).withColumn("__part", F.sum("__pause").over(of_key.rowsBetween(W.unboundedPreceding, 0))).drop("__pause")
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", order])
-        found = decide(pdf["__t"].tolist())
-        return pd.DataFrame({order: pdf[order], "allowed": [f[0] for f in found], "hits": [f[1] for f in found]})
+    def group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("__t", "ascending"), (order, "ascending")])
+        times = [t for t in rows.column("__t").to_pylist() if t is not None]  # those without a time come last
+        found = decide(times) + [(None, None)] * (len(rows) - len(times))
+        rows = rows.drop_columns(["__t", "__part"])
+        return rows.append_column("allowed", pa.array([f[0] for f in found], pa.bool_())).append_column("hits", pa.array([f[1] for f in found], pa.int32()))
 
-    decided = slim.groupBy(key).applyInPandas(group, f"`{order}` {kinds[order]}, allowed boolean, hits int")
-    return requests.join(decided, order)
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("hits", T.IntegerType())])
+    return parts.groupBy(key, "__part").applyInArrow(group, schema)
 
 
 def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int = 24) -> DataFrame:
     """requests with `fresh`, false for one that repeats another of the key less than hours before. A repeat doesn't
     extend the time: it runs from the request that was fresh."""
-    return _limited(requests, key, ts, order, lambda t: _fixed(t, hours * 3600, 1)).withColumnRenamed("allowed", "fresh").drop("hits")
+    return _limited(requests, key, ts, order, hours * 3600, lambda t: _fixed(t, hours * 3600, 1)).withColumnRenamed("allowed", "fresh").drop("hits")
 
 
 def first_in_day(requests: DataFrame, key: Column, ts: str, order: str) -> DataFrame:
@@ -125,10 +135,44 @@ def apply_changes(index: DataFrame, changes: DataFrame, key: str, order: str) ->
     return kept.unionByName(new.select(*index.columns))
 
 
-def crawl(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """url and depth of all pages within depth links (url, href) of start (url), breadth first. The frontier and what
-    was seen are written each level, so that a lost executor repeats one level."""
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
+def changes_after(feed: DataFrame, state: DataFrame | None, page: str) -> tuple[DataFrame, DataFrame]:
+    """Of a feed's changes, in pages numbered by page, those after the page that state (page) holds, and the state
+    to keep once they are applied. Without a state nothing is taken: the first call only notes where the feed stands."""
+    last = feed.agg(F.max(page).alias("page"))
+    if state is None:
+        return feed.where(F.lit(False)), last
+    stand = state.agg(F.max("page").alias("__stand"))  # a row
+    taken = feed.join(F.broadcast(stand), F.col(page) > F.col("__stand")).drop("__stand")
+    return taken, last.union(state.select("page")).agg(F.max("page").alias("page"))
+
+
+def by_value(index: DataFrame, key: str, value: str, wanted: DataFrame) -> DataFrame:
+    """wanted (value) with the key that index has for it, the least of several; null if it has none."""
+    return wanted.join(index.groupBy(value).agg(F.min(key).alias(key)), value, "left")
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """url and href of each page's links to pages of its own host, both without fragments: what an href means beside
+    its page's URL, of those that are absolute or begin with a slash; others are left out."""
+    base = without_fragment(F.col(url))
+    origin = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    found = pages.select(base.alias("url"), origin.alias("__origin"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"""<a\s[^>]*?href=["']([^"']*)["']"""), F.lit(1))).alias("__href"))
+    href = without_fragment(F.when(F.col("__href").rlike(r"^/(?!/)"), F.concat("__origin", "__href")).when(F.col("__href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("__href")))
+    return found.select("url", href.alias("href")).where(host(F.col("href")) == host(F.col("url"))).distinct()
+
+
+def crawl(edges: DataFrame, start: DataFrame, depth: int, internal: bool = True) -> DataFrame:
+    """url and depth of all pages within depth links (url, href) of start (url), breadth first, by URLs without their
+    fragments; links to another host aren't followed if internal. The frontier and what was seen are written each
+    level, so that a lost executor repeats one level."""
+    edges = edges.select(without_fragment(F.col("url")).alias("url"), without_fragment(F.col("href")).alias("href"))
+    if internal:
+        edges = edges.where(host(F.col("url")).eqNullSafe(host(F.col("href"))))
+    seen = start.select(without_fragment(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
         step = edges.join(frontier.select("url"), "url").select(F.col("href").alias("url")).where("url is not null").distinct()

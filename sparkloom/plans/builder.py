@@ -212,6 +212,7 @@ class Query:
     orders: tuple[tuple[str, bool], ...] = ()
     n_limit: int | None = None
     n_offset: int | None = None
+    options: Mapping[str, Any] = field(default_factory=dict)
 
     # projection
     def select(self, *columns: Any) -> Query:
@@ -312,8 +313,24 @@ class Query:
             raise ValueError("an offset can't be negative")
         return replace(self, n_offset=n)
 
+    def reset(self, *parts: str) -> Query:
+        """The query without some of conditions, joins, groups, havings and orders, or without all of these. A query
+        never changes, so it needs no copies."""
+        blank = {"conditions": Conditions(), "joins": (), "groups": (), "havings": (), "orders": ()}
+        if unknown := set(parts) - set(blank):
+            raise ValueError(f"no such parts: {sorted(unknown)}")
+        return replace(self, **{k: v for k, v in blank.items() if not parts or k in parts})
+
+    def with_option(self, name: str, value: Any) -> Query:
+        """Keeps a note on how the query is to be run, which info() tells."""
+        return replace(self, options={**self.options, name: value})
+
+    def plan_text(self) -> str:
+        """The optimised plan that Spark makes of the query."""
+        return self.to_df()._jdf.queryExecution().optimizedPlan().toString()
+
     def info(self) -> dict[str, Any]:
-        return {"columns": list(self.items), "distinct": self.is_distinct, "conditions": len(self.conditions.items), "joins": len(self.joins), "group_by": list(self.groups), "having": list(self.havings), "order_by": list(self.orders), "limit": self.n_limit, "offset": self.n_offset}
+        return {"columns": list(self.items), "distinct": self.is_distinct, "conditions": len(self.conditions.items), "joins": len(self.joins), "group_by": list(self.groups), "having": list(self.havings), "order_by": list(self.orders), "limit": self.n_limit, "offset": self.n_offset, "options": dict(self.options)}
 
     def to_df(self) -> DataFrame:
         df = self.source

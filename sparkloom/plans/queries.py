@@ -295,8 +295,18 @@ def prefix_part(spark, sf_dir):
     return df.select("id", deid.part("last_name:4", SCHEMA, df.columns).alias("part"))
 
 
-@query()
+_CODES = f"translate(regexp_replace(upper(w), '[^A-Z]', '0', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNRHW', '{'0' * 6}{'1' * 4}{'2' * 8}33455677')"
+_SOUNDEX = """(SELECT w, upper(w[1]) || rpad(array_to_string([l[i] FOR i IN range(2, len(l) + 1) IF l[i] <> l[i - 1] AND l[i] <> '0'][1:3], ''), 3, '0') AS code FROM (
+    SELECT w, string_split(CASE WHEN c[1] = '7' THEN '9' ELSE c[1] END || replace(c[2:], '7', ''), '') AS l FROM (SELECT w, %s AS c FROM (SELECT DISTINCT p_type AS w FROM part UNION SELECT n_name FROM nation))))""" % _CODES
+
+
+@query(f"SELECT p_partkey, code FROM part JOIN {_SOUNDEX} ON w = p_type")
 def soundex_part(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.soundex_part(F.col("p_type")).alias("code"))
+
+
+@query(f"SELECT n_name, code FROM nation JOIN {_SOUNDEX} ON w = n_name")
+def soundex_names(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", text.soundex_part(F.col("n_name")).alias("code"))
 
 
@@ -315,12 +325,35 @@ def masked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deid.derived_fields(deid.masked_id(people(spark, sf_dir), "id", KEY), SCHEMA, DERIVED)
 
 
-@query()
+#: Steps of a long division by 62: the limbs of 32 bits that a 256-bit number leaves, and the digit.
+_LIMBS = ", ".join(f"CAST('0x' || substr(mac, {1 + 8 * i}, 8) AS BIGINT) AS l{i}" for i in range(8))
+_CARRY = ", ".join(["l0 % 62 AS r0", *(f"(r{i - 1} * 4294967296 + l{i}) % 62 AS r{i}" for i in range(1, 8))])
+_DIVIDED = ", ".join(["l0 // 62 AS l0", *(f"(r{i - 1} * 4294967296 + l{i}) // 62 AS l{i}" for i in range(1, 8))])
+_REST = " + ".join(f"l{i}" for i in range(8))
+
+
+def _token_sql(rows: str, label: str, payload: str, length: int) -> str:
+    """key and token of rows (key, ...): the HMAC of label and payload in base 62, the first digits of it."""
+    return f"""(WITH RECURSIVE macs AS (SELECT key, {_hmac_sql(f"'{label}||' || {payload}")} AS mac FROM {rows}),
+    turns AS (SELECT key, {_LIMBS}, '' AS digits FROM macs UNION ALL
+        SELECT key, {_DIVIDED}, substr('{security.DIGITS}', CAST(r7 AS BIGINT) + 1, 1) || digits AS digits FROM (SELECT *, {_CARRY} FROM turns WHERE {_REST} > 0))
+    SELECT key, substr(CASE WHEN digits = '' THEN '0' ELSE digits END, 1, {length}) AS token FROM turns WHERE {_REST} = 0)"""
+
+
+_MASKED = _token_sql(f"(SELECT id AS key, id FROM {_PEOPLE})", deid.MASK_LABEL, "id", 22)
+_TOKENS = {
+    "token_1": ("v1", "strict", f"(SELECT id AS key, token || coalesce(last_name, '') || coalesce(CAST(year({_DATE}) AS VARCHAR), '') AS raw FROM {_PEOPLE} p JOIN {_MASKED} m ON p.id = m.key)"),
+    "token_2": ("v1", "strict", f"(SELECT id AS key, substr(first_name, 1, 3) || coalesce(last_name, '') || gender AS raw FROM {_PEOPLE})"),
+    "token_3": ("v2", "loose", f"(SELECT id AS key, gender || substr(zip, 1, 2) AS raw FROM {_PEOPLE})"),
+}
+
+
+@query(f"SELECT key AS id, token AS masked_id FROM {_MASKED}")
 def masked_id(spark, sf_dir):
     return masked_people(spark, sf_dir).select("id", "masked_id")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT key AS tokenid, '{name}' AS token_name, '{version}' AS token_version, '{family}' AS token_family, token AS token_hash FROM {_token_sql(rows, name, 'raw', 43)}" for name, (version, family, rows) in _TOKENS.items()))
 def deid_tokens(spark, sf_dir):
     return deid.build_tokens(masked_people(spark, sf_dir), SCHEMA, RECIPES, KEY, ["v1", "v2"], {"strict": True, "loose": True}, id_column="id")
 
@@ -425,9 +458,9 @@ def r8_identity(spark, sf_dir):
     return resolved(spark, sf_dir).select("tokenid", "detokenid")
 
 
-@query(f"SELECT tokenid, 'M' || tokenid AS detokenid FROM (SELECT 'T' || c_custkey AS tokenid FROM customer WHERE c_custkey % 29 = 0 OR c_custkey % 2 = 0) WHERE tokenid NOT IN (SELECT tokenid FROM {_CROSS}) AND (tokenid NOT IN (SELECT tokenid FROM {_RESOLVED} WHERE CAST(substr(tokenid, 2) AS INT) % 4 = 0) OR CAST(substr(tokenid, 2) AS INT) % 29 = 0)")
+@query(f"SELECT tokenid, 'M' || tokenid AS detokenid FROM (SELECT 'T' || c_custkey AS tokenid FROM customer) WHERE tokenid NOT IN (SELECT tokenid FROM {_CROSS}) AND (tokenid NOT IN (SELECT tokenid FROM {_RESOLVED} WHERE CAST(substr(tokenid, 2) AS INT) % 4 = 0) OR CAST(substr(tokenid, 2) AS INT) % 29 = 0)")
 def r9_missing(spark, sf_dir):
-    every = token_facts(spark, sf_dir).where("cast(substr(tokenid, 2) as int) % 2 = 0")
+    every = token_facts(spark, sf_dir)
     done = resolved(spark, sf_dir).where("cast(substr(tokenid, 2) as int) % 4 = 0")
     return identity.missing_tokens(every, done, unmergeable(spark, sf_dir), token_intervals(spark, sf_dir), F.concat(F.lit("M"), "tokenid"))
 
@@ -554,11 +587,18 @@ def text_checks(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", assertions.same_text(F.col("p_brand"), F.upper("p_brand")).alias("same"), assertions.contains(F.col("p_type"), F.lit("STEEL")).alias("steel"))
 
 
-@query()
+_PAIRS = "(SELECT p_partkey, lower(p_type) AS a, lower(p_brand || ' ' || p_name) AS b FROM part)"
+
+
+@query(
+    f"""WITH RECURSIVE pairs AS (SELECT DISTINCT a, b FROM {_PAIRS}), rows AS (
+    SELECT a, b, 0 AS i, (1::HUGEINT << len(a)) - 1 AS r FROM pairs UNION ALL
+    SELECT a, b, i + 1, ((r + u) | (r - u)) & ((1::HUGEINT << len(a)) - 1) FROM (SELECT *, r & coalesce(list_sum([1::HUGEINT << (k - 1) FOR k IN range(1, len(a) + 1) IF a[k] = b[i + 1]])::HUGEINT, 0::HUGEINT) AS u FROM rows WHERE i < len(b))
+) SELECT p_partkey, 2 * (len(a) - bit_count(r)) / CAST(len(a) + len(b) AS DOUBLE) AS ratio FROM {_PAIRS} JOIN rows USING (a, b) WHERE i = len(b)"""
+)
 def text_similarity(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    other = n.select(F.col("n_name").alias("other"), (F.col("n_nationkey") - 1).alias("n_nationkey"))
-    return n.join(other, "n_nationkey").select("n_name", "other", assertions.similarity(F.lower("n_name"), F.lower("other")).alias("ratio"))
+    other = F.lower(F.concat("p_brand", F.lit(" "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", assertions.similarity(F.lower("p_type"), other).alias("ratio"))
 
 
 @query("SELECT vec_id, CASE WHEN list_max([abs(x) FOR x IN embedding]) > 0.98 THEN 'clipped' WHEN sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]) / len(embedding)) < 0.01 THEN 'too_quiet' ELSE 'ok' END AS quality FROM embeddings")
@@ -687,17 +727,34 @@ def split_moves(spark, sf_dir):
     return sync.split_moves(df).groupBy("path", "op").agg(F.count("*").alias("n"))
 
 
-@query()
+_HITS = "hits AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+def _fixed_sql(limit: int, columns: str) -> str:
+    fresh = "h.t >= r.start + 86400000000"
+    return f"""WITH RECURSIVE {_HITS}, runs AS (SELECT user_id, i, event_id, t AS start, 1 AS n FROM hits WHERE i = 1 UNION ALL
+    SELECT h.user_id, h.i, h.event_id, CASE WHEN {fresh} THEN h.t ELSE r.start END, CASE WHEN {fresh} THEN 1 ELSE r.n + 1 END FROM runs r JOIN hits h ON h.user_id = r.user_id AND h.i = r.i + 1)
+    SELECT event_id, n <= {limit} AS {columns} FROM runs"""
+
+
+_LOG = "[x FOR x IN r.log IF x > h.t - 86400000000]"
+
+
+@query(_fixed_sql(2, "allowed, CAST(n AS INT) AS hits"))
 def rate_fixed(spark, sf_dir):
     return sync.fixed_window_limit(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86400, 2).select("event_id", "allowed", "hits")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_HITS}, runs AS (SELECT user_id, i, event_id, [t] AS log, true AS allowed, 1 AS n FROM hits WHERE i = 1 UNION ALL
+    SELECT user_id, i, event_id, CASE WHEN len(log) < 2 THEN list_append(log, t) ELSE log END, len(log) < 2, least(len(log) + 1, 2) FROM (SELECT h.user_id, h.i, h.event_id, h.t, {_LOG} AS log FROM runs r JOIN hits h ON h.user_id = r.user_id AND h.i = r.i + 1))
+    SELECT event_id, allowed, CAST(n AS INT) AS hits FROM runs"""
+)
 def rate_sliding(spark, sf_dir):
     return sync.sliding_log_limit(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86400, 2).select("event_id", "allowed", "hits")
 
 
-@query()
+@query(_fixed_sql(1, "fresh"))
 def idempotency(spark, sf_dir):
     return sync.idempotent(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "fresh")
 
@@ -716,12 +773,47 @@ def change_feed(spark, sf_dir):
     return sync.apply_changes(index, changes, "c_custkey", "at")
 
 
-@query("WITH RECURSIVE seen(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.href, s.depth + 1 FROM seen s JOIN (SELECT c_custkey AS url, c_custkey * 2 AS href FROM customer UNION ALL SELECT c_custkey, c_custkey * 3 FROM customer) e ON e.url = s.url WHERE s.depth < 4) SELECT url, min(depth) AS depth FROM seen GROUP BY url")
+_STRIPPED = "regexp_replace(%s, '#.*$', '')"
+_HOST = "regexp_extract(%s, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)"
+_LINKS = f"""(SELECT DISTINCT {_STRIPPED % "url"} AS url, {_STRIPPED % "h"} AS href FROM (SELECT url, CASE WHEN regexp_matches(h, '^/([^/]|$)') THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*') || h WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN h END AS h
+    FROM (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS h FROM pages)) WHERE lower({_HOST % "url"}) = lower({_HOST % "h"}))"""
+
+
+@query(f"SELECT url, href FROM {_LINKS}")
+def page_links(spark, sf_dir):
+    return sync.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH RECURSIVE links AS {_LINKS}, seen(url, depth) AS (SELECT DISTINCT {_STRIPPED % 'url'}, 0 FROM pages UNION SELECT l.href, s.depth + 1 FROM seen s JOIN links l ON l.url = s.url WHERE s.depth < 3) SELECT url, min(depth) AS depth FROM seen GROUP BY url")
 def crawl(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"))
-    edges = c.select("url", (F.col("url") * 2).alias("href")).union(c.select("url", F.col("url") * 3))
+    found = table(spark, sf_dir, "pages")
+    with_checkpoints(spark)
+    return sync.crawl(sync.page_links(found), found, 3)
+
+
+_ROUTES = "(SELECT c_custkey AS url, c_custkey * 2 AS href FROM customer UNION ALL SELECT c_custkey, c_custkey * 3 FROM customer)"
+
+
+@query(f"WITH RECURSIVE seen(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.href, s.depth + 1 FROM seen s JOIN {_ROUTES} e ON e.url = s.url WHERE s.depth < 4) SELECT 'http://a/' || url AS url, min(depth) AS depth FROM seen GROUP BY url")
+def crawl_deep(spark, sf_dir):
+    page = lambda k: F.concat(F.lit("http://a/"), k.cast("string"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    edges = c.select(F.concat(page(k), F.lit("#x")).alias("url"), page(k * 2).alias("href")).union(c.select(page(k), F.concat(page(k * 3), F.lit("#top")))).union(c.select(page(k), F.concat(F.lit("http://b/"), k.cast("string"))))
     with_checkpoints(spark)
-    return sync.crawl(edges, c.where("url = 1"), 4)
+    return sync.crawl(edges, c.where("c_custkey = 1").select(page(k).alias("url")), 4)
+
+
+@query("SELECT c_custkey, c_nationkey AS page FROM customer WHERE c_nationkey > 10")
+def feed_after(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("page"))
+    return sync.changes_after(c, c.where("page = 10").select("page").distinct(), "page")[0]
+
+
+@query("SELECT o_orderkey, n.id FROM orders o LEFT JOIN (SELECT c_acctbal, min(c_custkey) AS id FROM customer GROUP BY c_acctbal) n ON o.o_totalprice = n.c_acctbal")
+def reverse_lookup(spark, sf_dir):
+    index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("o_totalprice"))
+    return sync.by_value(index, "id", "o_totalprice", table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", "id")
 
 
 # generated data
@@ -904,16 +996,17 @@ def coverage_rates(spark, sf_dir):
     return rollups.coverage(reports).select("p_partkey", "total_coverage")
 
 
-@query("SELECT n_nationkey, n_name || '(a: int = ' || n_regionkey || ', *b, **c)' AS signature FROM nation")
+@query("SELECT c_custkey, c_name || '(a: int = ' || c_nationkey || ', *b, **c)' AS signature FROM customer")
 def usage_signature(spark, sf_dir):
     arg = lambda name, hint, default, kwarg, variadic: F.struct(F.lit(name).alias("name"), F.lit(hint).cast("string").alias("type_hint"), default.cast("string").alias("default"), F.lit(kwarg).alias("is_kwarg"), F.lit(variadic).alias("is_variadic"))
-    args = F.array(arg("a", "int", F.col("n_regionkey"), False, False), arg("b", None, F.lit(None), False, True), arg("c", None, F.lit(None), True, True))
-    return table(spark, sf_dir, "nation").select("n_nationkey", rollups.signature(F.col("n_name"), args).alias("signature"))
+    args = F.array(arg("a", "int", F.col("c_nationkey"), False, False), arg("b", None, F.lit(None), False, True), arg("c", None, F.lit(None), True, True))
+    return table(spark, sf_dir, "customer").select("c_custkey", rollups.signature(F.col("c_name"), args).alias("signature"))
 
 
-@query("SELECT n_nationkey, sha256(string_agg(n_name, '' ORDER BY n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)) AS contenthash FROM nation")
+@query("SELECT c_custkey, sha256(string_agg(c_name, '' ORDER BY c_custkey) OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)) AS contenthash FROM customer")
 def method_hashes(spark, sf_dir):
-    return rollups.cumulative_hashes(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name").select("n_nationkey", "contenthash")
+    c = table(spark, sf_dir, "customer").withColumn("file", F.floor(F.col("c_custkey") / 50))
+    return rollups.cumulative_hashes(c, "file", "c_custkey", "c_name").select("c_custkey", "contenthash")
 
 
 @query(f"SELECT rel_path, action FROM ({_DIFF}) WHERE action IN ('upload', 'update_remote')")
@@ -929,7 +1022,78 @@ def tree_paths(spark, sf_dir):
     return sync.paths(roots.union(leaves))
 
 
-@query("SELECT token_id, source_id FROM (SELECT c_custkey AS source_id, 't' || c_custkey AS token_id FROM customer) WHERE source_id % 2 = 0")
+@query("SELECT 't' || c_custkey AS token_id, c_custkey AS source_id FROM customer")
 def first_rows_per_key(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token_id"))
-    return dml.first_rows(c.union(c.select("source_id", F.lit("later"))).where("source_id % 2 = 0"), ["source_id"], F.col("token_id") == "later").select("token_id", "source_id")
+    return dml.first_rows(c.union(c.select("source_id", F.lit("later"))), ["source_id"], F.col("token_id") == "later").select("token_id", "source_id")
+
+
+# small expressions
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS code FROM documents")
+def collapsed_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.collapsed(F.col("text")).alias("code"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S') AS suffix FROM orders")
+def run_suffix(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.run_suffix(F.col("o_orderdate")).alias("suffix"))
+
+
+@query("SELECT event_id, printf('%.3fs', event_id / 8.0::DOUBLE) AS elapsed FROM events")
+def elapsed_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.elapsed(F.col("event_id") / 8).alias("elapsed"))
+
+
+@query("SELECT o_orderkey, round(o_orderkey * 12345678 / 1073741824.0::DOUBLE, 2) AS gb, round(o_custkey / nullif(o_orderkey - 1, 0)::DOUBLE * 100, 2) AS share FROM orders")
+def disk_usage(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.gigabytes(k * 12345678).alias("gb"), text.percent(F.col("o_custkey"), k - 1).alias("share"))
+
+
+@query(
+    """SELECT o_orderkey, 8 AS hours, CASE WHEN h IS NULL THEN 'task' ELSE 'holiday' END AS activity, CASE WHEN h IS NOT NULL THEN NULL WHEN isodow(d) = 3 THEN 'work from office' ELSE 'work from home' END AS mode, coalesce(h || ' - A Company Holiday', o_orderpriority) AS comment
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, CASE CAST(o_orderdate AS DATE) WHEN DATE '1995-12-25' THEN 'Christmas' WHEN DATE '1996-01-01' THEN 'New Year' END AS h FROM orders)"""
+)
+def timesheet(spark, sf_dir):
+    entry = text.timesheet_entry(F.to_date("o_orderdate"), {"1995-12-25": "Christmas", "1996-01-01": "New Year"}, F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(entry)))
+
+
+_RESULTS = f"(SELECT *, {_STATUS} AS s, ts + INTERVAL 3 SECOND AS done, CASE event_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'KeyError' END AS type, CASE WHEN event_id % 3 <> 2 THEN repeat('bad ' || event_type || ' ', 15) END AS m FROM events)"
+
+
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    type_ = F.when(F.col("event_id") % 3 == 0, "ValueError").when(F.col("event_id") % 3 == 1, "KeyError")
+    message = F.repeat(F.concat(F.lit("bad "), "event_type", F.lit(" ")), F.lit(15))
+    text_ = lambda c: F.col(c).cast("string")
+    return results(spark, sf_dir).select(
+        F.concat(F.lit("f"), text_("user_id")).alias("file_path"), (F.col("event_id") % 2 == 0).alias("git_repo"), F.lit("main").alias("branch"), F.concat(F.lit("m"), text_("user_id")).alias("module"), F.col("event_type").alias("class"), F.concat(F.lit("t"), text_("event_id")).alias("test"),
+        "status", F.when(type_.isNotNull(), F.struct(type_.alias("type"), message.alias("message"))).alias("exception"), F.col("ts").alias("start_time"), (F.col("ts") + F.expr("INTERVAL 3 SECOND")).alias("end_time"),
+    )
+
+
+@query(f"SELECT 'x86' AS platform, 'custom' AS runner, event_id % 2 = 0 AS git_repo, 'f' || user_id AS filepath, 'main' AS branch, 'm' || user_id AS module, event_type AS classname, 't' || event_id AS testname, s AS result, m AS error, ts AS started, done AS finished, 3.0::DOUBLE AS duration, 'me' AS username, false AS parallely, 1 AS threads, type AS exception FROM {_RESULTS}")
+def uploaded_results(spark, sf_dir):
+    return rollups.uploaded(run_results(spark, sf_dir), "x86", "me").withColumn("duration", F.round("duration", 6))
+
+
+@query(f"SELECT 't' || event_id AS name, 'm' || user_id AS module, s AS status, CASE WHEN length(m) > 100 THEN substr(m, 1, 100) || '...' ELSE m END AS message, '3.000s' AS elapsed FROM {_RESULTS}")
+def result_summary(spark, sf_dir):
+    return rollups.result_summary(run_results(spark, sf_dir)).select("summary.name", "summary.place.module", "summary.status", "summary.message", "summary.elapsed")
+
+
+@query("SELECT page_id, 'https://' || page_id || '/' AS url FROM pages UNION ALL SELECT page_id, url FROM pages")
+def sitemap_urls(spark, sf_dir):
+    from sparkloom.sources import files
+
+    loc = lambda c: F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc(F.concat(F.lit("https://"), F.col("page_id").cast("string"), F.lit("/"))), loc(F.col("url")), F.lit("</urlset>"))
+    return files.sitemap_locations(table(spark, sf_dir, "pages").withColumn("xml", xml), "xml", "page_id")
+
+
+@query("SELECT page_id, CASE WHEN lower(url) LIKE '%.txt' THEN 'txt' WHEN lower(url) LIKE '%sitemap.xml' THEN 'sitemap' ELSE 'page' END AS kind FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '/sitemap.xml' ELSE '' END AS url FROM pages)")
+def source_kinds(spark, sf_dir):
+    from sparkloom.sources import files
+
+    ending = F.when(F.col("page_id") % 3 == 0, ".TXT").when(F.col("page_id") % 3 == 1, "/sitemap.xml").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", files.source_kind(F.concat("url", ending)).alias("kind"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +85,87 @@ def write_text_table(df: DataFrame, path: str, kind: str = "csv", sep: str | Non
         raise ValueError(f"unknown file kind: {kind}")
 
 
+def convert(spark: SparkSession, source: str, kind: str, target: str) -> str:
+    """Writes the comma-separated table source as another kind, Parquet by snappy, and gives the folder that holds it:
+    target, or source for a kind that isn't known. The source stays until the caller removes it."""
+    if kind != "parquet" and kind not in SEPARATORS:
+        return source
+    write_text_table(read_text_table(spark, source), target, kind)
+    return target
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder; across file systems it is copied and then removed. The target must not be there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    of_old, of_new = old.getFileSystem(conf), new.getFileSystem(conf)
+    if of_new.exists(new):
+        raise FileExistsError(target)
+    of_new.mkdirs(new.getParent())
+    if of_old.getUri().equals(of_new.getUri()):
+        done = of_old.rename(old, new)
+    else:
+        done = hadoop.FileUtil.copy(of_old, old, of_new, new, True, conf)
+    if not done:
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def write_tokens(frames: Sequence[DataFrame], folder: str, prefix: str, suffix: str, kind: str = "csv") -> str | None:
+    """All frames as one pipe-delimited table, prefix_suffix.kind; nothing, and no path, if there are no frames."""
+    if not frames:
+        return None
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    path = f"{folder}/{prefix}_{suffix}.{kind}"
+    write_text_table(out, path, "csv", "|")
+    return path
+
+
+def write_masked(df: DataFrame, folder: str, prefix: str, suffix: str, kind: str = "csv") -> str | None:
+    """A masked table as write_tokens() writes it; nothing if it is empty."""
+    return write_tokens([df], folder, prefix, suffix, kind) if df.limit(1).count() else None
+
+
+#: Columns of the tables that a detokenizer reads from its master folder.
+MASTER = {
+    "donotmerge": "tokenid string, insertdate timestamp",
+    "detoken_crosswalk": "detokenid string, token_hash string, token_order int",
+    "token_crosswalk": "tokenid string, detokenid string, startdate timestamp, enddate timestamp",
+    "merge_history": "tokenid string, old_detokenid string, new_detokenid string, merge_dt timestamp",
+    "final_crosswalk": "detokenid string, id string",
+}
+
+
+def detokenizer_tables(spark: SparkSession, output: str, master: str, prefix: str, recipes: Sequence[tuple]) -> dict[str, DataFrame]:
+    """What a detokenizer works on: the latest token table under output whose name begins with prefix, the recipes
+    (name, version, family) and the tables of MASTER, empty where there is no file."""
+    latest = latest_table(spark, output, prefix)
+    if latest is None:
+        raise FileNotFoundError(f"no {prefix}* in {output}")
+    out = {"token": read_text_table(spark, latest, "|"), "tokencfg": spark.createDataFrame(list(recipes), "token_name string, token_version string, token_family string")}
+    for name, columns in MASTER.items():
+        out[name] = read_crosswalk(spark, f"{master}/{name}.csv", T.StructType.fromDDL(columns))
+    return out
+
+
+def latest_table(spark: SparkSession, folder: str, prefix: str) -> str | None:
+    """The file or folder of a table in folder that begins with prefix and was changed last; of equal times the last
+    by name."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix)]
+    return max(found)[1] if found else None
+
+
 def random_record(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(1)
 
 
-def sitemap_locations(pages: DataFrame, xml: str) -> DataFrame:
-    """A row per location of the sitemaps in a column, whatever their namespace."""
-    return pages.select(F.explode(F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))).alias("url"))
+def sitemap_locations(pages: DataFrame, xml: str, *keep: str) -> DataFrame:
+    """A row per location of the sitemaps in a column, whatever their namespace, with the columns to keep."""
+    return pages.select(*keep, F.explode(F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))).alias("url"))
 
 
 def source_kind(url):
@@ -127,6 +201,56 @@ class Snapshots:
         return version
 
 
+class SnapshotSet:
+    """Several tables kept as common versions: a version counts once all of its tables are written, so that a batch of
+    changes is seen whole or not at all."""
+
+    MARK = "_COMMITTED"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folders(self) -> list[int]:
+        root = self._fs_path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def versions(self) -> list[int]:
+        return [v for v in self._folders() if self._fs.exists(self._fs_path(f"{self.path}/v{v:08d}/{self.MARK}"))]
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        found = self.versions()
+        place = f"{self.path}/v{found[-1] if version is None else version:08d}/{name}" if found else None
+        return self.spark.read.parquet(place) if place and self._fs.exists(self._fs_path(place)) else None
+
+    def write(self, changes: Sequence[tuple[str, Callable[[Callable[[str], DataFrame | None]], DataFrame]]]) -> int:
+        """Runs (table, change) pairs in order as one version: a change is given a reader that sees the tables as the
+        changes before it left them, and returns the table's new rows. If one fails nothing of the batch counts."""
+        version = (self._folders() or [0])[-1] + 1
+        folder, done = f"{self.path}/v{version:08d}", {}
+
+        def current(name: str) -> DataFrame | None:
+            return self.spark.read.parquet(done[name]) if name in done else self.read(name)
+
+        try:
+            for turn, (name, change) in enumerate(changes):
+                place = f"{folder}/_turns/{turn}"
+                change(current).write.parquet(place)
+                done[name] = place
+            for name in {s.getPath().getName() for v in self.versions()[-1:] for s in self._fs.listStatus(self._fs_path(f"{self.path}/v{v:08d}"))} - {self.MARK} - set(done):
+                self.read(name).write.parquet(f"{folder}/{name}")
+            for name, place in done.items():
+                self._fs.rename(self._fs_path(place), self._fs_path(f"{folder}/{name}"))
+            self._fs.delete(self._fs_path(f"{folder}/_turns"), True)
+        except BaseException:
+            self._fs.delete(self._fs_path(folder), True)
+            raise
+        self._fs.create(self._fs_path(f"{folder}/{self.MARK}")).close()
+        return version
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

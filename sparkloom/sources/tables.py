@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
-from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,16 +19,39 @@ TESTCASES = "id long, filepath string, module string, class string, test_case st
 
 
 def connection(key: str, config: Mapping[str, Any], env: Mapping[str, str] = os.environ) -> dict[str, str]:
-    """Options of a JDBC source; the password is that of the environment's {key}_pass."""
+    """Options of a JDBC source; the password is that of the environment's {key}_pass, as it is, as it is no part of the
+    URL."""
     kind = config["type"]
     if kind not in URLS:
         raise ValueError(f"unsupported database: {kind}")
     options = {"url": URLS[kind].format(**{"host": "localhost", "port": 5432, **config})}
     if kind == "postgres":
-        options |= {"user": config["user"], "password": quote_plus(env[f"{key}_pass"])}
+        options |= {"user": config["user"], "password": env[f"{key}_pass"]}
     return options
 
 
+def probe(spark: SparkSession, options: Mapping[str, str]) -> str | None:
+    """Asks a database for SELECT 1; what went wrong, or None. SQLite's driver makes a file that isn't there."""
+    try:
+        spark.read.format("jdbc").options(**options).option("query", "SELECT 1 AS one").load().first()
+    except Exception as e:  # noqa: BLE001  told to the caller
+        return str(e).splitlines()[0][:500]
+    return None
+
+
+def sanitized(columns: Sequence[Mapping[str, Any]]) -> list[dict[str, Any]]:
+    """Columns of a database (name, type, and maybe default, identity, primary_key) as a database without sequences
+    takes them: no identity, no default by nextval of a sequence, and integer primary keys count up by themselves."""
+    out = []
+    for column in columns:
+        default = str(column.get("default") or "").lower()
+        kept = {k: v for k, v in column.items() if k != "identity" and not (k == "default" and "nextval" in default and "::regclass" in default)}
+        if kept.get("primary_key") and re.fullmatch(r"(?i)(small|big)?int(eger)?\d*|(small|big)?serial\d*|long", str(kept["type"])):
+            kept["autoincrement"] = True
+        out.append(kept)
+    return out
+
+
 def connections(databases: Mapping[str, Mapping[str, Any]], env: Mapping[str, str] = os.environ) -> dict[str, dict[str, str]]:
     return {f"{key}_conn": connection(key, config, env) for key, config in databases.items()}
 

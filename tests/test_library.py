@@ -1,6 +1,8 @@
 import datetime as dt
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import assertions, code, security, text
 from sparkloom.operators import deid, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
+from sparkloom.plans.builder import Query
 from sparkloom.sources import config, files, scripts, tables
 
 
@@ -237,8 +240,7 @@ def test_scripts(spark, tmp_path):
     results, stats = scripts.run(spark, [("s", script), ("bad", "SELECT * FROM no_such_table; SELECT 5 AS v")])
     assert [r.first()[0] for r in results if r.columns[0] in "xzv"] == ["a;b--c", 2, 5]
     assert rollups.script_statistics(stats, "ok", "ms").first()["failed"] == 1
-    assert scripts.normalize("SELECT NOW(), 'NOW()' FROM t WHERE a ILIKE 'x' -- NOW()", "sqlite") == "SELECT CURRENT_TIMESTAMP, 'NOW()' FROM t WHERE a LIKE 'x' -- NOW()"
-    assert scripts.normalize("x", "odd") == "x"
+    assert scripts.run(spark, [("s", "SELECT raise_error('x') AS v")])[1].first()["ok"] is False
     (tmp_path / "b.sql").write_text("SELECT 1")
     (tmp_path / "a.txt").write_bytes("SELECT 'é'".encode("latin-1"))
     assert [p.name for p in scripts.script_files(str(tmp_path))] == ["b.sql", "a.txt"]
@@ -247,8 +249,149 @@ def test_scripts(spark, tmp_path):
         scripts.script_files(str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize(
+    ("dialect", "sql", "want"),
+    [
+        ("sqlite", "SELECT NOW(),  'NOW()  s.t' FROM s.t\n WHERE t.a = TRUE -- NOW()", "SELECT CURRENT_TIMESTAMP, 'NOW()  s.t' FROM t WHERE a = 1"),
+        ("sqlite", 'INSERT INTO "s"."t" (id BIGSERIAL, ok BOOLEAN, x DOUBLE DEFAULT 1.5) VALUES (CURRENT_TIMESTAMP()) RETURNING id, a', 'INSERT INTO "t" (id INTEGER, ok INTEGER, x DOUBLE DEFAULT 1.5) VALUES (CURRENT_TIMESTAMP)'),
+        ("postgresql", "SELECT `a b`, CURRENT_TIMESTAMP() FROM t WHERE 1 = 1 AND x = '1=1'", "SELECT \"a b\", CURRENT_TIMESTAMP FROM t WHERE TRUE AND x = '1=1'"),
+        ("postgresql", "CREATE TABLE t (id INTEGER PRIMARY KEY AUTOINCREMENT)", "CREATE TABLE t (id INTEGER PRIMARY KEY GENERATED BY DEFAULT AS IDENTITY)"),
+        ("mysql", 'CREATE TABLE "t" (id SERIAL, at TIMESTAMP DEFAULT CURRENT_TIMESTAMP, ok INT DEFAULT false)', "CREATE TABLE `t` (id BIGINT AUTO_INCREMENT, at TIMESTAMP DEFAULT CURRENT_TIMESTAMP(), ok INT DEFAULT 0)"),
+        ("mariadb", "SELECT TRUE, 'TRUE', CURRENT_TIMESTAMP()", "SELECT 1, 'TRUE', CURRENT_TIMESTAMP()"),
+        ("odd", "SELECT  x", "SELECT x"),
+    ],
+)
+def test_dialects(dialect, sql, want):
+    assert scripts.normalize(sql, dialect) == want
+
+
+def test_columns_without_sequences():
+    columns = [{"name": "id", "type": "INTEGER", "primary_key": True, "identity": True, "default": "nextval('s'::regclass)"}, {"name": "k", "type": "VARCHAR(5)", "primary_key": True, "default": "'x'"}, {"name": "n", "type": "int8"}]
+    assert tables.sanitized(columns) == [{"name": "id", "type": "INTEGER", "primary_key": True, "autoincrement": True}, {"name": "k", "type": "VARCHAR(5)", "primary_key": True, "default": "'x'"}, {"name": "n", "type": "int8"}]
+
+
+def test_probe_tells_what_is_wrong(spark):
+    assert tables.probe(spark, {"url": "jdbc:nothing:x"})
+
+
+def test_limits_keep_odd_rows(spark):
+    """Ids that repeat under two keys, null ids, keys and times, and columns of any type stay as they are."""
+    rows = [("a", 1, 0.0), ("a", 2, 10.0), ("a", 3, 20.0), ("b", 1, 5.0), ("b", None, 6.0), (None, 9, 7.0), (None, 9, 8.0), ("a", 4, 500.0), ("c", 7, None)]
+    df = spark.createDataFrame([(k, i, t, [i]) for k, i, t in rows], "k string, id int, at double, more array<int>").withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).drop("at")
+    found = sync.fixed_window_limit(df, "k", "ts", "id", 60, 2)
+    assert found.columns == ["k", "id", "more", "ts", "allowed", "hits"] and found.count() == len(rows)
+    assert {(r["k"], r["id"], r["allowed"], r["hits"]) for r in found.collect()} == {("a", 1, True, 1), ("a", 2, True, 2), ("a", 3, False, 3), ("b", 1, True, 1), ("b", None, True, 2), (None, 9, True, 1), (None, 9, True, 2), ("a", 4, True, 1), ("c", 7, None, None)}
+    assert {(r["k"], r["id"]) for r in sync.idempotent(df, "k", "ts", "id").where("fresh").collect()} == {("a", 1), ("b", 1), (None, 9)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_limits_in_parts_are_those_of_whole_keys(spark, seed):
+    rng = random.Random(seed)
+    times = sorted(rng.choice([rng.uniform(0, 300), rng.uniform(5000, 5100), rng.uniform(0, 20_000)]) for _ in range(200))
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "k string, id int, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+    times = [int(t * 1_000_000) / 1e6 for t in times]
+    for limit, decide in ((sync.fixed_window_limit, sync._fixed), (sync.sliding_log_limit, sync._sliding)):
+        got = [(r["allowed"], r["hits"]) for r in limit(df, "k", "ts", "id", 60, 3).orderBy("id").collect()]
+        assert got == decide(times, 60, 3)
+
+
+def test_crawl_stays_on_its_host_and_knows_pages_without_fragments(spark):
+    with_checkpoints(spark)
+    edges = spark.createDataFrame([("http://a/1", "http://a/2#x"), ("http://a/1", "http://a/2#y"), ("http://a/2#z", "http://A/3"), ("http://a/1", "http://b/1"), ("http://a/3", None), ("http://A/3", "http://a/1#top")], "url string, href string")
+    start = spark.createDataFrame([("http://a/1#here",)], "url string")
+    assert {tuple(r) for r in sync.crawl(edges, start, 5).collect()} == {("http://a/1", 0), ("http://a/2", 1), ("http://A/3", 2)}
+    assert ("http://b/1", 1) in {tuple(r) for r in sync.crawl(edges, start, 5, internal=False).collect()}
+
+
+def test_change_feed_goes_on_where_it_stopped(spark):
+    feed = spark.createDataFrame([("a", 1), ("b", 2)], "id string, page int")
+    taken, state = sync.changes_after(feed, None, "page")
+    assert taken.count() == 0 and state.first()["page"] == 2
+    later = feed.union(spark.createDataFrame([("c", 3)], feed.schema))
+    taken, state = sync.changes_after(later, state, "page")
+    assert [r["id"] for r in taken.collect()] == ["c"] and state.first()["page"] == 3
+    assert sync.changes_after(later.limit(0), state, "page")[1].first()["page"] == 3
+
+
+def test_numbers_within_classes(spark):
+    rows = [(i, ["A: x", "B: y", "no colon", None][i % 4 if i % 3 else 0]) for i in range(200)]
+    found = rollups.failures_by_class(spark.createDataFrame(rows, "id int, m string"), "m", "id").collect()
+    count = {}
+    for r in sorted(found, key=lambda r: r["id"]):
+        count[r["failure_class"]] = count.get(r["failure_class"], 0) + 1
+        assert r["number"] == count[r["failure_class"]]
+    assert len(found) == 200 and len(count) == 4
+
+
+def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path):
+    tables_ = files.SnapshotSet(spark, str(tmp_path / "set"))
+    assert tables_.read("a") is None and tables_.versions() == []
+    assert tables_.write([("a", lambda read: spark.range(3).toDF("id")), ("b", lambda read: read("a").where("id > 0"))]) == 1
+    assert tables_.write([("a", lambda read: read("a").union(read("b"))), ("a", lambda read: read("a").where("id <> 2"))]) == 2
+    assert sorted(r["id"] for r in tables_.read("a").collect()) == [0, 1, 1] and tables_.read("b").count() == 2
+    with pytest.raises(ZeroDivisionError):
+        tables_.write([("a", lambda read: read("a").limit(0)), ("b", lambda read: spark.range(1 // 0))])
+    assert tables_.versions() == [1, 2] and tables_.read("a").count() == 3 and tables_.read("a", 1).count() == 3
+    assert tables_.write([("b", lambda read: read("b").limit(0))]) == 3 and tables_.read("b").count() == 0
+
+
+def test_sinks_and_what_a_detokenizer_reads(spark, tmp_path):
+    out, master = tmp_path / "out", tmp_path / "master"
+    master.mkdir()
+    frame = lambda *ids: spark.createDataFrame([(i, "t1", "h") for i in ids], "tokenid string, token_name string, token_hash string")
+    assert files.write_tokens([], str(out), "token", "1") is None and files.write_masked(frame().limit(0), str(out), "phi", "1") is None
+    files.write_tokens([frame("1")], str(out), "token", "1")
+    path = files.write_tokens([frame("007"), frame("2").withColumn("more", F.lit("x"))], str(out), "token", "2")
+    assert path.endswith("token_2.csv") and files.read_text_table(spark, path, "|").count() == 2
+    assert files.read_text_table(spark, files.write_masked(frame("1"), str(out), "phi", "9", "psv"), "|").count() == 1
+    (master / "token_crosswalk.csv").write_text("tokenid|detokenid|startdate|enddate\n007|D1|2024-01-02|\n")
+    found = files.detokenizer_tables(spark, str(out), str(master), "token", [("t1", "v1", "f")])
+    assert {r["tokenid"] for r in found["token"].collect()} == {"007", "2"} and found["merge_history"].count() == 0 and found["tokencfg"].count() == 1
+    row = found["token_crosswalk"].first()
+    assert row["startdate"].year == 2024 and row["enddate"] is None
+    with pytest.raises(FileNotFoundError):
+        files.detokenizer_tables(spark, str(out), str(master), "none", [])
+
+
+def test_conversion_and_moves(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,zip\n1,007\n")
+    source = str(tmp_path / "a.csv")
+    assert files.convert(spark, source, "odd", str(tmp_path / "x")) == source
+    for kind in ("parquet", "ptxt"):
+        target = files.convert(spark, source, kind, str(tmp_path / kind))
+        back = spark.read.parquet(target) if kind == "parquet" else files.read_text_table(spark, target, "|")
+        assert tuple(back.first()) == ("1", "007")
+    files.move(spark, source, str(tmp_path / "deep" / "b.csv"))
+    assert (tmp_path / "deep" / "b.csv").exists() and not (tmp_path / "a.csv").exists()
+    with pytest.raises(FileExistsError):
+        files.move(spark, str(tmp_path / "parquet"), str(tmp_path / "deep"))
+
+
+def test_parts_of_a_query_are_reset(spark):
+    q = Query(spark.range(5).toDF("id")).select("id").where("id", ">", 3).order_by("id", "DESC")
+    assert [r["id"] for r in q.reset("conditions").to_df().collect()] == [4, 3, 2, 1, 0] and q.to_df().count() == 1
+    assert q.reset().info()["order_by"] == [] and q.with_option("hint", 1).info()["options"] == {"hint": 1} and q.info()["options"] == {}
+    assert "Filter" in q.plan_text()
+    with pytest.raises(ValueError):
+        q.reset("source")
+
+
+def test_small_expressions(spark, tmp_path):
+    df = spark.sql("SELECT DATE'2024-06-05' AS wed, DATE'2024-12-25' AS feast, uuid() AS u")
+    entry = lambda c: tuple(df.select(text.timesheet_entry(F.col(c), {"2024-12-25": "Christmas"}, F.lit("work"))).first()[0])
+    assert entry("wed") == (8, "task", "work from office", "work") and entry("feast") == (8, "holiday", None, "Christmas - A Company Holiday")
+    assert df.select(text.timesheet_entry(F.col("feast"), {}, F.lit("w"))).first()[0]["activity"] == "task"
+    assert df.select(text.percent(F.lit(1), F.lit(0)).alias("p"), text.gigabytes(F.lit(1 << 30)).alias("g")).first() == (None, 1.0)
+    assert re.fullmatch("[0-9A-F-]{36}", df.select(text.new_id()).first()[0])
+    assert config.masked_parameters({"a": "x" * 21, "b": "x" * 20, "c": 10**30}) == {"a": "***", "b": "x" * 20, "c": 10**30}
+    assert config.preview("x" * 201) == "x" * 200 + "..." and config.preview("x") == "x"
+    (tmp_path / "c.yaml").write_text("a: [1, {b: '${X}'}]")
+    pytest.importorskip("yaml")
+    assert config.with_environment(config.load_yaml(str(tmp_path / "c.yaml")), {"X": "y"}) == {"a": [1, {"b": "y"}]}
+
+
 def test_catalog(spark):
-    assert tables.connections({"db": {"type": "postgres", "user": "u", "database": "d"}}, {"db_pass": "p@"})["db_conn"] == {"url": "jdbc:postgresql://localhost:5432/d", "user": "u", "password": "p%40"}
+    assert tables.connections({"db": {"type": "postgres", "user": "u", "database": "d"}}, {"db_pass": "p@"})["db_conn"] == {"url": "jdbc:postgresql://localhost:5432/d", "user": "u", "password": "p@"}
     with pytest.raises(ValueError):
         tables.connection("x", {"type": "odd"})
     frames = {"a": spark.range(3).toDF("id"), "b": spark.range(2).toDF("id")}
@@ -274,7 +417,10 @@ def test_configuration():
     assert config.with_environment({"a": ["${X}/b", 1]}, {"X": "y"}) == {"a": ["y/b", 1]}
     with pytest.raises(KeyError):
         config.with_environment("${NO}", {})
-    assert config.extract({"a": {"b": 1}}, ["a.b", "a.c"], strict=False) == {"a.b": 1}
+    assert config.extract({"a": {"b": 1}}, ["a.b", "a.c"], strict=False) == {"a": {"b": 1}}
+    nested = {"a": {"b": [1, {"c": 2}], "d": {}}, "e": {5: "${X}"}, "f": []}
+    assert config.extract(nested, ["a", "e.5"]) == {"a": nested["a"], "e": nested["e"]} and config.extract(nested, ["a.b.1.c"]) == {"a": {"b": [{"c": 2}]}}
+    assert config.with_environment(nested, {"X": "y"}) == nested | {"e": {5: "y"}} and config.with_environment((1, 2), {}) == [1, 2]
     with pytest.raises(KeyError):
         config.extract({}, ["a"])
     assert config.coerced("Yes", "bool") is True and config.coerced("a, b,", "list") == ["a", "b"]

@@ -1,5 +1,11 @@
 """Every query of the library runs, and is its SQL where it has one."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from sparkloom.plans.queries import ORACLES, QUERIES
@@ -25,6 +31,21 @@ def test_entry_module(spark):
     assert df.columns == ["r_name", "l_returnflag", "revenue", "line_count"] and df.count() > 0
 
 
+def test_entry_module_without_the_subpackage(tmp_path):
+    """With the folders of the training-data operators gone, and with their pipeline left or gone, the rest works."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ("with", "without"):
+        copy = tmp_path / name
+        shutil.copytree(root / "sparkloom", copy / "sparkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        if name == "with" and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", copy)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and not any(n.startswith('op1') or n == 'pipeline' for n in q); print(len(q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+        assert out.returncode == 0, out.stderr
+        assert int(out.stdout) == len(QUERIES)
+
+
 def _times(rows):
     out = {}
     for r in rows:
