@@ -2,6 +2,11 @@
 
 Each stage works on all that the one before it kept, written as Parquet and read again. All but the last return the
 columns of documents.
+
+Odd rows: null, empty and wordless texts fail the quality rules, so later stages never see them. Null languages and
+sources are groups of their own; a null language teaches nothing. Rows with a null id are judged as any other, and
+come into the mix by their text. Very long texts are read whole by every stage. Repeated rows are copies, of which one
+stays. Extra columns pass through; the last stage returns its own. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, langid, mixing, near, quality
 from sparkloom.llm.common import Scratch, documents
-from sparkloom.llm.queries import TOKENIZERS
+from sparkloom.llm.queries import byte_bpe
 
 #: Percent of two documents' distinct five-word shingles from which they are near-duplicates.
 SIMILAR = 80
@@ -22,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain."""
+    """Documents with a letter whose language is certain and of which that language's own texts are no better: what is
+    in a language that no label names, or in none, goes."""
     return langid.identify(docs)
 
 
@@ -38,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix: doc_id, lang, source, its token ids, and digests of these and of what they decode to."""
-    found = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True)
+    found = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), byte_bpe(), keep_ids=True)
     return found.select("doc_id", "lang", "source", "tokens.n_tokens", "tokens.ids", "tokens.ids_sha256", "tokens.decoded_sha256")
 
 
