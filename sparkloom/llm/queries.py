@@ -11,9 +11,6 @@ from sparkloom.llm import bpe, extract, langid, lm, mixing, near, quality, topk,
 from sparkloom.llm.common import documents, pages
 
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 def byte_bpe() -> str:
     """The public vocabulary file of byte-level BPE, which must lie at the same path on every executor."""
     import public_tokenizers
