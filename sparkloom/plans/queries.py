@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
+from sparkloom.sources import files, scripts
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -1084,8 +1086,6 @@ def result_summary(spark, sf_dir):
 
 @query("SELECT page_id, 'https://' || page_id || '/' AS url FROM pages UNION ALL SELECT page_id, url FROM pages")
 def sitemap_urls(spark, sf_dir):
-    from sparkloom.sources import files
-
     loc = lambda c: F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc(F.concat(F.lit("https://"), F.col("page_id").cast("string"), F.lit("/"))), loc(F.col("url")), F.lit("</urlset>"))
     return files.sitemap_locations(table(spark, sf_dir, "pages").withColumn("xml", xml), "xml", "page_id")
@@ -1093,7 +1093,146 @@ def sitemap_urls(spark, sf_dir):
 
 @query("SELECT page_id, CASE WHEN lower(url) LIKE '%.txt' THEN 'txt' WHEN lower(url) LIKE '%sitemap.xml' THEN 'sitemap' ELSE 'page' END AS kind FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '/sitemap.xml' ELSE '' END AS url FROM pages)")
 def source_kinds(spark, sf_dir):
-    from sparkloom.sources import files
-
     ending = F.when(F.col("page_id") % 3 == 0, ".TXT").when(F.col("page_id") % 3 == 1, "/sitemap.xml").otherwise("")
     return table(spark, sf_dir, "pages").select("page_id", files.source_kind(F.concat("url", ending)).alias("kind"))
+
+
+# files: written to the shared folder and read back
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder for checkpoints, which the driver and all executors share."""
+    with_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.concat(F.lit('q"|'), "c_name", F.lit(", x")).alias("c_name"))
+
+
+_TEXTS = "(SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, 'q\"|' || c_name || ', x' AS c_name FROM customer)"
+
+
+@query(f"SELECT c_custkey, segment, c_name FROM {_TEXTS}")
+def csv_round_trip(spark, sf_dir):
+    path = folder(spark, "csv")
+    files.write_text_table(customer_texts(spark, sf_dir), path)
+    return files.read_text_table(spark, path)
+
+
+@query(f"SELECT c_custkey, segment, c_name FROM {_TEXTS}")
+def psv_to_parquet(spark, sf_dir):
+    path = folder(spark, "convert")
+    files.write_text_table(customer_texts(spark, sf_dir), f"{path}/source")
+    return spark.read.parquet(files.convert(spark, f"{path}/source", "parquet", f"{path}/target"))
+
+
+@query(f"SELECT c_custkey, segment, NULL AS more FROM {_TEXTS} UNION ALL SELECT c_custkey, segment, c_name FROM {_TEXTS}")
+def directory_union(spark, sf_dir):
+    path, df = folder(spark, "union"), customer_texts(spark, sf_dir)
+    files.write_text_table(df.select("segment", "c_custkey"), f"{path}/a")
+    files.write_text_table(df.select(F.col("c_name").alias("more"), "c_custkey", "segment"), f"{path}/b")
+    return files.read_directory(spark, [f"{path}/a", f"{path}/b"], ["c_custkey", "segment"])
+
+
+@query("SELECT DISTINCT c_nationkey AS id, 'M' || c_nationkey AS masked_id FROM customer")
+def crosswalk_file(spark, sf_dir):
+    path, k = folder(spark, "crosswalk"), F.col("c_nationkey")
+    files.write_text_table(table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("odd").alias("more"), F.concat(F.lit("M"), k.cast("string")).alias("masked_id")), path, "psv")
+    return files.read_crosswalk(spark, path, spark.createDataFrame([], "id int, masked_id string").schema)
+
+
+@query(f"SELECT c_custkey AS tokenid, 'a' AS part FROM {_TEXTS} UNION ALL SELECT segment, 'b' FROM {_TEXTS}")
+def token_sink(spark, sf_dir):
+    df = customer_texts(spark, sf_dir)
+    frames = [df.select(F.col(c).cast("string").alias("tokenid"), F.lit(part).alias("part")) for c, part in (("c_custkey", "a"), ("segment", "b"))]
+    path = folder(spark, "tokens")
+    files.write_tokens(frames, path, "token", "1")
+    return files.read_text_table(spark, files.latest_table(spark, path, "token"), "|")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 1")
+def batch_of_changes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    store = files.SnapshotSet(spark, folder(spark, "batch"))
+    store.write([("t", lambda read: c)])
+    odd = Conditions().add(F.expr("c_custkey % 2 = 1"))
+    store.write([("new", lambda read: dml.update(read("t"), {"c_name": "new"}, odd).where("c_custkey % 2 = 1")), ("t", lambda read: read("t").where("c_custkey % 2 = 0").union(read("new")))])
+    return store.read("t")
+
+
+@query("SELECT n_name, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey + 1 FROM nation")
+def snapshot_versions(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    store = files.Snapshots(spark, folder(spark, "versions"))
+    store.write(n)
+    store.write(store.read().withColumn("n_regionkey", (F.col("n_regionkey") + 1).cast("int")))
+    return store.read(1).union(store.read())
+
+
+# other parts of the builder, of changes and of secrets
+@query("SELECT o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3")
+def table_alias(spark, sf_dir):
+    return Query(table(spark, sf_dir, "orders")).alias("o").select("o.o_orderkey", "o.o_totalprice").join(table(spark, sf_dir, "customer").alias("c"), "o.o_custkey = c.c_custkey").where("c.c_nationkey", "=", 3).remove_column("o.o_totalprice").to_df()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def reset_conditions(spark, sf_dir):
+    q = Query(table(spark, sf_dir, "orders")).select("o_orderkey", "o_totalprice").where("o_totalprice", ">", 1e9).group_by("o_orderkey")
+    return q.reset().where("o_orderstatus", "=", "F").to_df()
+
+
+@query("SELECT count(*) AS affected FROM orders WHERE o_totalprice > 200000")
+def affected_rows(spark, sf_dir):
+    n = dml.affected(table(spark, sf_dir, "orders"), Conditions().where("o_totalprice", ">", 200000.0))
+    return spark.createDataFrame([(n,)], "affected long")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def encrypted_round_trip(spark, sf_dir):
+    key = hashlib.sha256(KEY).digest()
+    return table(spark, sf_dir, "customer").select("c_custkey", security.encrypt(F.col("c_name"), key).alias("sealed")).select("c_custkey", security.decrypt(F.col("sealed"), key).alias("c_name"))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def password_round_trip(spark, sf_dir):
+    salt = hashlib.md5(KEY).digest()
+    sealed = table(spark, sf_dir, "customer").select("c_custkey", security.encrypt_with_password(F.col("c_name"), "secret", salt).alias("sealed"))
+    return sealed.select("c_custkey", security.decrypt_with_password(F.col("sealed"), "secret", salt).alias("c_name"))
+
+
+@query("SELECT count(*) AS ids, count(*) AS different, true AS upper_case FROM customer")
+def new_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").select(text.new_id().alias("id"))
+    return ids.agg(F.count("id").alias("ids"), F.count_distinct("id").alias("different"), F.bool_and(F.col("id").rlike("^[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}$")).alias("upper_case"))
+
+
+@query("SELECT p_partkey, p_type GLOB '*STEEL' AS steel, p_brand GLOB 'Brand#?1' AS first FROM part")
+def glob_names(spark, sf_dir):
+    match = lambda c, pattern: F.col(c).rlike(assertions.glob_regex(pattern))
+    return table(spark, sf_dir, "part").select("p_partkey", match("p_type", "*STEEL").alias("steel"), match("p_brand", "Brand#?1").alias("first"))
+
+
+@query(f"SELECT tokenid, detokenid, 'tokens' AS part FROM {_CROSS} UNION ALL SELECT 'T' || c_custkey, 'M' || c_custkey, 'tokens' FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT NULL, 'M' || c_custkey, 'hashes' FROM customer WHERE c_custkey % 3 <> 0")
+def r13_missing_rows(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    missing = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("T"), k).alias("tokenid"), F.concat(F.lit("M"), k).alias("detokenid"))
+    tokens, hashes = identity.insert_missing(token_intervals(spark, sf_dir), spark.createDataFrame([], "detokenid string, token_hash string, token_order int"), missing, now())
+    return tokens.select("tokenid", "detokenid", F.lit("tokens").alias("part")).union(hashes.select(F.lit(None).cast("string"), "detokenid", F.lit("hashes")))
+
+
+@query("SELECT 'T' || c_custkey AS tokenid, CAST(NULL AS TIMESTAMP) AS create_date, NULL::VARCHAR AS alt_tokenid, NULL::VARCHAR AS detokenid FROM customer")
+def r1_columns(spark, sf_dir):
+    return identity.token_rows(token_facts(spark, sf_dir)).select("tokenid", "create_date", "alt_tokenid", "detokenid")
+
+
+@query("SELECT * FROM (VALUES (1, 'CREATE TABLE t (id INTEGER, ok INTEGER)'), (2, 'INSERT INTO t VALUES (1, 1, ''s.t; TRUE'')'), (3, 'SELECT CURRENT_TIMESTAMP FROM t')) AS v(number, statement)")
+def script_statements(spark, sf_dir):
+    script = "CREATE TABLE s.t (id BIGSERIAL, ok BOOLEAN); -- a; comment\nINSERT INTO s.t VALUES (1, TRUE, 's.t; TRUE') RETURNING id;;\nSELECT NOW() FROM s.t"
+    rows = [(i, scripts.normalize(sql, "sqlite")) for i, sql in enumerate(scripts.statements(script), 1)]
+    return spark.createDataFrame(rows, "number int, statement string")
+
+
+@query("SELECT 's' AS script, number, ok FROM (VALUES (1, true), (2, false), (3, true)) AS v(number, ok)")
+def script_runs(spark, sf_dir):
+    script = f"SELECT count(*) FROM parquet.`{sf_dir}/nation.parquet`; SELECT raise_error(n_name) FROM parquet.`{sf_dir}/nation.parquet`; SELECT 'a;b'"
+    return scripts.run(spark, [("s", script)])[1].select("script", "number", "ok")
