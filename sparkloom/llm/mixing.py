@@ -6,7 +6,7 @@ summed by source and the hash's top byte; only the bucket that the budget ends i
 on until it holds a single hash. That last group goes in if that brings the source nearer to its budget. A budget
 beyond the source's size takes the whole source as often as it fits, and the rest by threshold.
 
-Null texts have size 0. Null sources are a source of their own. A document with a null id is hashed by its text.
+Sources are given their targets in one task, a slim row per source. Null texts have size 0. Null sources are a source of their own. A document with a null id is hashed by its text.
 Rows equal in id (or, without one, in text) share a hash and go in together. An empty table has no sources.
 """
 
