@@ -15,8 +15,9 @@ it has at most SMALL members. The members of all larger ones are divided by rare
 order of rarity over these members, the first n - ceil(n * similarity) + 1 shingles are its prefix, and two similar
 sets share a shingle of both prefixes. So copies of one template, which share all but a few shingles that no other
 has, fall apart into small groups, whatever the size of the bucket; groups of several components are compared, small
-ones as candidates, larger ones in blocks of bounded bytes, where sketches choose the pairs whose sets are compared
-at once in numpy. A group emits no more links than join its components. So no link between different components of
+ones as candidates, larger ones in blocks of two sides. A block first compares sketches alone, which tell the members
+that have a candidate in another component; only these meet again with their sets, in blocks of bounded bytes, which are
+compared at once in numpy and emit no more links than join their components. So no link between different components of
 classes that meet is lost, and no group emits all of its pairs.
 
 Sets and classes are known by 64-bit hashes: of n different ones some two are taken for one with probability
@@ -140,19 +141,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(members: pa.Table, percent: int) -> pa.Table:
-    """Of the members (node, of, sketch, shingles) of two sides: links enough to join all components of `of` that any
-    link joins. Sketches choose the pairs across components; of members that have one, intersections are counted by
-    matrix products over the shingles that several members share."""
-    flips = members.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
-    of = members.column("of").to_numpy()
-    near = np.zeros((len(members), len(members)), bool)
-    for i in range(len(members)):
-        near[i] = (np.bitwise_count(flips[i] ^ flips).sum(1) <= most_bits(percent)) & (of[i] != of)
-    keep = near.any(1)
-    members, near = members.filter(pa.array(keep)), near[np.ix_(keep, keep)]
+    """Of the members (node, of, shingles) of two sides: links enough to join all components of `of` that any link
+    joins. Intersections are counted by matrix products over the shingles that several members share."""
     node, of = members.column("node").to_numpy(), members.column("of").to_numpy()
-    if not len(node):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     lists = members.column("shingles").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     names, column, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -169,7 +160,7 @@ def _joined(members: pa.Table, percent: int) -> pa.Table:
         part[row[a:z], column[a:z] - start] = 1
         both += part @ part.T
     total = sizes[:, None] + sizes[None, :] - both
-    x, y = np.nonzero(np.triu((100 * both >= percent * total) & near, 1))
+    x, y = np.nonzero(np.triu((100 * both >= percent * total) & (of[:, None] != of[None, :]), 1))
     root = {k: k for k in of.tolist()}
 
     def top(k: int) -> int:
@@ -186,6 +177,14 @@ def _joined(members: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
 
+def _near(members: pa.Table, percent: int) -> pa.Table:
+    """The members (key, i, j, node, of, sketch) of two sides whose sketch is near that of another component's."""
+    flips = members.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
+    of = members.column("of").to_numpy()
+    keep = [bool(((of != of[i]) & (np.bitwise_count(flips[i] ^ flips).sum(1) <= most_bits(percent))).any()) for i in range(len(members))]
+    return members.drop_columns(["sketch"]).filter(pa.array(keep, pa.bool_()))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node and component, the least node that it is linked with, of all ends of edges (a, b). Every turn a node
     takes the least label of its neighbours and then that label's own, so that turns grow with the logarithm of a
@@ -344,13 +343,22 @@ class Linker:
         last = F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
         met = crowded.join(small(main, 60), "key").where("outer > 0").withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), last))})
         met = self.scratch.write(met.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "of"), f"sides_{turn}")
-        sets = self.sets(crowded.select("node")).dropDuplicates(["node"]).join(self.classes.select("node", "sketch"), "node")
         percent = self.percent
 
+        def near(block: pa.Table) -> pa.Table:
+            return _near(block, percent)
+
         def joined(block: pa.Table) -> pa.Table:
             return _joined(block, percent)
 
-        return sets.join(small(met, 80), "node").groupBy("key", "i", "j").applyInArrow(joined, "a long, b long")
+        block, sketches = ["key", "i", "j"], self.classes.select("node", "sketch")
+        found = sketches.join(small(met, 80), "node").select(*block, "node", "of", "sketch").groupBy(*block).applyInArrow(near, "key long, i int, j int, node long, of long")
+        found = self.scratch.write(found, f"near_{turn}")
+        # members of one template meet by many shingles; of blocks with the same members one is enough
+        same = found.groupBy(*block).agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("n")).groupBy("same", "n").agg(F.min(F.struct(*block)).alias("one"))
+        once = self.scratch.write(found.join(small(same.select("one.*"), 60), block), f"blocks_{turn}")
+        sets = self.sets(once.select("node")).dropDuplicates(["node"])
+        return sets.join(small(once, 80), "node").groupBy(*block).applyInArrow(joined, "a long, b long")
 
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, node, component and component_id of each row. Rows of one id with different

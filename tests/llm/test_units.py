@@ -79,9 +79,11 @@ def test_sketches_let_similar_sets_pass(percent):
 
 def test_blocks_join_across_components_alone():
     sets = [np.arange(100), np.arange(5, 100), np.arange(1000, 1100), np.arange(1001, 1100), np.arange(0, 100, 2)]
-    sketches = [near.sketch(near.samples(near.mixed(s.astype(np.uint64), s.astype(np.uint64)))) for s in sets]
-    table = pa.table({"node": [1, 2, 3, 4, 5], "of": [1, 2, 3, 3, 5], "sketch": pa.array(sketches, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    table = pa.table({"node": [1, 2, 3, 4, 5], "of": [1, 2, 3, 3, 5], "shingles": pa.array(sets, pa.list_(pa.int64()))})
     assert near._joined(table, 85).to_pylist() == [{"a": 1, "b": 2}]
+    sketches = [near.sketch(near.samples(near.mixed(s.astype(np.uint64), s.astype(np.uint64)))) for s in sets]
+    block = pa.table({"key": [7] * 5, "i": [0] * 5, "j": [1] * 5, "node": [1, 2, 3, 4, 5], "of": [1, 2, 3, 3, 5], "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+    assert near._near(block, 85).column("node").to_pylist() == [1, 2]
 
 
 def test_a_crowded_bucket_is_tested_in_blocks(spark, monkeypatch):
