@@ -132,13 +132,23 @@ def test_weights_are_learned_and_decide(monkeypatch):
 
     weights = _learned([page("article")[0] for _ in range(60)])
     assert weights.places["name zub"] < extract.OUTSIDE and weights.words["text p 2"] > 1 > weights.words["link li 0"]
-    flipped = extract.Weights(*({k: -v if kind == "places" else 3.1 - v if kind == "words" else -1.52 - v for k, v in getattr(weights, kind).items()} for kind in weights._fields))
+    flipped = extract.Weights(*({k: -v if kind == "places" else 3.1 - v if kind == "words" else -0.42 - v for k, v in getattr(weights, kind).items()} for kind in weights._fields))
     for element in ("article", "div", "section"):
         html, want = page(element)
         assert extract.extract(html, weights) == want
         assert extract.extract(html, extract.usual()) != want != extract.extract(html, flipped)
 
 
+def test_a_list_can_end_a_text():
+    """Of lists the labelled pages know menus alone."""
+    menu = "<nav><ul><li><a href='/'>one</a></li><li><a href='/'>two</a></li></ul></nav>"
+    weights = _learned([f"{menu}<article><p>{'some words ' * 20}</p></article><footer>the end</footer>"] * 100)
+    assert weights.tags["li"] == -0.4
+    page = f"{menu}<article><p>{'some words ' * 20}</p><ul><li>first</li><li>second item</li></ul></article><footer>the end</footer>"
+    for html in (page, page.replace("article>", "div>")):
+        assert extract.extract(html, weights) == ("some words " * 20).strip() + "\nfirst\nsecond item"
+
+
 def test_the_scan_finds_the_best_run():
     """Against all runs, of random items and weights."""
     rng = random.Random(5)
