@@ -41,7 +41,7 @@ from sparkloom.llm.tokens import mixed, words_of
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Bytes of text in a block, and of text for each shard of the key space.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 BUCKETS = 16
 #: Steps by which held-out estimates are told apart, per power of two; with BUCKETS it bounds what the driver gets.
 STEPS = 4
@@ -207,6 +207,7 @@ def _requests(batches: Iterator[pa.RecordBatch], bits: int, width: int, shared)
                 shards, starts = np.unique(shard, return_index=True)
                 spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
                 yield rows(number, kind, shards.tolist(), [pack_sorted(keys[s:e]) for s, e in spans], [pack(counts[s:e]) for s, e in spans])
+            del b, keys, where, counts, often, at, shard, learn  # before the next block is opened
     for kind, sums in enumerate(own):
         parts = [sums[i : i + SLICE] for i in range(0, len(sums), SLICE)]
         yield rows(None, kind + 2, list(range(len(parts))), [None] * len(parts), list(map(pack, parts)))
