@@ -316,7 +316,7 @@ def fit(pages: DataFrame, most: int = LABELLED) -> Weights:
     n = pages.count()
     if not n:
         return usual()
-    sample = pages.where(F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))).select("html")
+    sample = pages.where(F.pmod(F.xxhash64(*(c for c in ("page_id", "url", "html") if c in pages.columns)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))).select("html")
     sums = sample.mapInArrow(_counts, "kind string, name string, inside boolean, n long").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
     rows = sums.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "name").limit(NAMED).collect()
     return weigh({(r["kind"], r["name"]): (r["a"], r["b"]) for r in rows}) if rows else usual()
