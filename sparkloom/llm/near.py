@@ -222,6 +222,7 @@ class Linker:
         self.links: DataFrame | None = None
         self.of: DataFrame | None = None  # node, component
         self.turn = 0
+        self.repeats: bool | None = None  # whether an id occurs twice with one text
 
     def crowds(self) -> DataFrame:
         """key, band number, node, members and leader of the buckets with several members."""
@@ -259,6 +260,12 @@ class Linker:
         texts = self.docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "text").join(small(wanted, 40), ["id", "no_id", "text_key"], "left_semi")
         return self.scratch.write(texts.select("text").mapInArrow(_sets, "node long, shingles array<long>"), f"sets_{self.turn}")
 
+    def once(self, sets: DataFrame) -> DataFrame:
+        """sets with each node once; they are shuffled for that only if rows of the table repeat."""
+        if self.repeats is None:
+            self.repeats = bool(self.signed.where("node is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
+        return sets.dropDuplicates(["node"]) if self.repeats else sets
+
     def add(self, links: DataFrame) -> None:
         """Keeps confirmed links (a, b) and finds the components anew."""
         self.turn += 1
@@ -311,19 +318,21 @@ class Linker:
         self.turn += 1
         turn = self.turn
         members = self.scratch.write(crowds.where(F.col("members") > SMALL).select("node", "of").distinct(), f"crowded_{turn}")
-        sets = self.sets(members.select("node")).dropDuplicates(["node"])
-        sets = self.scratch.write(sets.join(small(members, 40), "node").select("node", "of", "shingles"), f"crowded_sets_{turn}")
-        shingles = sets.select("node", "of", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+        shingles = self.once(self.sets(members.select("node"))).select("node", F.explode("shingles").alias("key"))
         often = self.scratch.write(shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), f"often_{turn}")
         # shingles that no other member has come first in a prefix, and meet nobody
-        shared = shingles.join(small(often, 40), "key").groupBy("node", "of", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+        shared = shingles.join(small(often, 40), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+        shared = shared.join(small(members, 40), "node").join(self.classes.select("node", F.col("n_shingles").alias("n")), "node")
         rest = (F.size("shared") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
         prefixes = shared.where(rest > 0).select("node", "of", F.explode(F.slice("shared", F.lit(1), rest)).alias("s")).select("s.key", "node", "of")
         prefixes = self.scratch.write(prefixes, f"prefixes_{turn}")
+        self.scratch.drop(f"often_{turn}")
         same = F.bit_xor(F.xxhash64("node"))
         groups = prefixes.groupBy("key").agg(F.count("*").alias("members"), F.min("of").alias("low"), F.max("of").alias("high"), same.alias("same")).where("low <> high")
         groups = self.scratch.write(groups.groupBy("same", "members").agg(F.min("key").alias("key")).select("key", "members"), f"groups_{turn}")
-        return self.scratch.write(prefixes.join(small(groups, 40), "key"), f"divided_{turn}")
+        found = self.scratch.write(prefixes.join(small(groups, 40), "key"), f"divided_{turn}")
+        self.scratch.drop(f"prefixes_{turn}", f"groups_{turn}")
+        return found
 
     def compared(self, crowded: DataFrame) -> DataFrame:
         """Links across the components of groups (key, node, of), as many as join them. Members outside a group's
@@ -357,8 +366,7 @@ class Linker:
         # members of one template meet by many shingles; of blocks with the same members one is enough
         same = found.groupBy(*block).agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("n")).groupBy("same", "n").agg(F.min(F.struct(*block)).alias("one"))
         once = self.scratch.write(found.join(small(same.select("one.*"), 60), block), f"blocks_{turn}")
-        sets = self.sets(once.select("node")).dropDuplicates(["node"])
-        return sets.join(small(once, 80), "node").groupBy(*block).applyInArrow(joined, "a long, b long")
+        return self.once(self.sets(once.select("node"))).join(small(once, 80), "node").groupBy(*block).applyInArrow(joined, "a long, b long")
 
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, node, component and component_id of each row. Rows of one id with different
