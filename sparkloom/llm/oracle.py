@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from sparkloom.llm import mixing, near, quality, warc
+from sparkloom.llm import codes, mixing, near, quality, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -81,6 +81,35 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+
+def _assigned(books: str) -> str:
+    """Of each part its nearest entry of the codebooks and the squared distance."""
+    near = f"SELECT vec_id, label, p, x, {{'d': CAST(list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)]) AS BIGINT), 'e': e}} AS near FROM parts JOIN {books} USING (p)"
+    return f"SELECT vec_id, label, p, x, least.d AS d, least.e AS e FROM (SELECT vec_id, label, p, x, min(near) AS least FROM ({near}) GROUP BY vec_id, label, p, x)"
+
+
+def _moved(books: str, assigned: str) -> str:
+    means = f"SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM {assigned}) GROUP BY p, e, i"
+    return f"SELECT p, e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS c FROM ({means}) GROUP BY p, e) m USING (p, e)"
+
+
+OP12 = f"""
+WITH kept AS (
+    SELECT vec_id, label, [CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, p, v[p * len(v) // {codes.PARTS} + 1:(p + 1) * len(v) // {codes.PARTS}] AS x FROM (SELECT *, unnest(range({codes.PARTS})) AS p FROM kept)
+), books_0 AS MATERIALIZED (
+    SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < {codes.ENTRIES}
+), {"".join(f"near_{r} AS MATERIALIZED ({_assigned(f'books_{r}')}), books_{r + 1} AS MATERIALIZED ({_moved(f'books_{r}', f'near_{r}')}), " for r in range(codes.ROUNDS))} last AS (
+    {_assigned(f"books_{codes.ROUNDS}")}
+), coded AS (
+    SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books_{codes.ROUNDS}) AS codebooks_sha256
+FROM coded
+"""
+
 _STEP = "CASE " + " ".join(f"WHEN v >= {1 << (b - 1)} THEN {1 << (b - 5)}" for b in range(11, 5, -1)) + " ELSE 1 END"
 _LEVEL = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEVELS.items()) + " END"
 _QUANTILES = f"min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle, min(CASE WHEN below * 100 >= total * {_LEVEL} THEN value END) AS high, max(total) AS texts"
@@ -126,4 +155,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_warc": OP3, "op5_near": OP5, "op7_topk": OP7, "op8_quality": OP8}
+    return {"op1_mixing": OP1, "op3_warc": OP3, "op5_near": OP5, "op7_topk": OP7, "op8_quality": OP8, "op12_codes": OP12}
