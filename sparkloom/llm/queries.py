@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, codes, extract, langid, lm, mixing, near, quality, topk, warc, weak
+from sparkloom.llm import bpe, codes, extract, langid, lm, mixing, near, quality, runs, topk, warc, weak
 from sparkloom.llm.common import documents, pages
 
 
@@ -69,5 +69,11 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", runs.with_cycles(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find(docs)
+    return found.select("doc_id", *runs.summarised(found))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_weak_labels, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid, op12_codes)}
+    return {f.__name__: f for f in (op1_mixing, op2_weak_labels, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid, op12_codes, op13_runs)}
