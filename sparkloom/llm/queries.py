@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, codes, extract, langid, lm, mixing, near, quality, runs, topk, warc, weak
+from sparkloom.llm import bpe, codes, extract, langid, lm, mixing, near, pii, quality, runs, topk, warc, weak
 from sparkloom.llm.common import documents, pages
 
 
@@ -65,6 +65,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *pii.summarised())
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -76,4 +80,4 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_weak_labels, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid, op12_codes, op13_runs)}
+    return {f.__name__: f for f in (op1_mixing, op2_weak_labels, op3_warc, op4_extract, op5_near, op6_bpe, op7_topk, op8_quality, op9_lm, op10_langid, op11_private, op12_codes, op13_runs)}
