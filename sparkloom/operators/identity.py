@@ -6,15 +6,26 @@ repeated. A table of tokens has tokenid, token_name, token_hash and what the ste
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.dml import diff_null_safe, first_rows, last_wins
-from sparkloom.operators.numbering import numbered
+from sparkloom.operators.numbering import numbered, with_checkpoints
+from sparkloom.sources.versions import Change, Reader, SnapshotSet
 
 NO_ORDER = 999_999
 
+#: The tables that outlast a run.
+STATE = {
+    "token_crosswalk": "tokenid string, detokenid string, startdate timestamp, enddate timestamp",
+    "detoken_crosswalk": "detokenid string, token_hash string, token_order int",
+    "merge_history": "tokenid string, old_detokenid string, new_detokenid string, merge_dt timestamp",
+    "final_crosswalk": "detokenid string, id long",
+}
+
 
 def token_rows(tokens: DataFrame) -> DataFrame:
     """Step 1: the columns that the process works on, with typed empty ones for what is found later."""
@@ -132,3 +143,36 @@ def person_ids(final: DataFrame, crosswalk: DataFrame) -> DataFrame:
     last = final.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
     rows = numbered(new, F.col("first").asc_nulls_last(), F.col("detokenid").asc())
     return final.select("detokenid", "id").unionByName(rows.join(F.broadcast(last)).select("detokenid", (F.col("__last") + F.col("number")).cast("long").alias("id")))
+
+
+def run(tokens: DataFrame, state: Mapping[str, DataFrame], do_not_merge: DataFrame, now: Column, new_id: Column, missing_id: Column) -> dict[str, DataFrame]:
+    """Steps 1 to 16 over a load of tokens: the tables of STATE after it. new_id and missing_id make the ids of
+    resolved and of missing tokens; they are made once, as what they are given to is written before it is read again."""
+    with_checkpoints(tokens.sparkSession)
+    crosswalk = state["token_crosswalk"]
+    rows = without_unmergeable(without_invalid(with_order(token_rows(tokens))), do_not_merge)
+    rows = with_create_date(rows, crosswalk, now)
+    found = with_identity(best_rows(with_alternative(rows)), crosswalk, new_id).checkpoint()
+    missing = missing_tokens(rows, found, do_not_merge, crosswalk, missing_id).checkpoint()
+    mapping = new_mapping(found)
+    intervals, hashes = insert_missing(upsert_tokens(crosswalk, mapping, now), upsert_hashes(state["detoken_crosswalk"], mapping), missing, now)
+    intervals = close_intervals(intervals, now).checkpoint()
+    return {"token_crosswalk": intervals, "detoken_crosswalk": hashes, "merge_history": merge_history(state["merge_history"], intervals), "final_crosswalk": person_ids(state["final_crosswalk"], intervals)}
+
+
+def load(store: SnapshotSet, tokens: DataFrame, do_not_merge: DataFrame, now: Column, new_id: Column | None = None, missing_id: Column | None = None) -> int:
+    """Step 17: run() from the newest version of the state in store, kept as its next version, whose number is
+    returned. All tables count together; if another load was quicker the run is made again from what it left."""
+    new_id, missing_id = (F.expr("uuid()") if c is None else c for c in (new_id, missing_id))
+    after: dict[str, DataFrame] = {}
+    first, *others = STATE
+
+    def made(read: Reader) -> DataFrame:
+        state = {}
+        for name, columns in STATE.items():
+            kept = read(name)
+            state[name] = tokens.sparkSession.createDataFrame([], columns) if kept is None else kept
+        after.update(run(tokens, state, do_not_merge, now, new_id, missing_id))
+        return after[first]
+
+    return store.write([Change(first, made), *[Change(name, lambda _, name=name: after[name]) for name in others]])

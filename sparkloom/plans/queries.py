@@ -13,7 +13,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
-from sparkloom.sources import files, scripts
+from sparkloom.sources import files, scripts, versions
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -516,6 +516,63 @@ def r16_person_ids(spark, sf_dir):
     return identity.person_ids(final, rows)
 
 
+def _load_sql(n: int, load: str, now: str) -> str:
+    """The state tables of number n, made of those of number n - 1 by a load of tokens."""
+    p = n - 1
+    valid = "token_hash IS NOT NULL AND lower(token_hash) <> 'missing token'"
+    return f"""clean_{n} AS (SELECT tokenid, token_order, CASE WHEN upper(token_hash) NOT LIKE '%XXX%' THEN token_hash END AS token_hash, coalesce(startdate, TIMESTAMP '{now}') AS create_date
+        FROM (SELECT * FROM {_ORDERED} WHERE {load}) LEFT JOIN (SELECT tokenid, max(startdate) AS startdate FROM tokens_{p} GROUP BY tokenid) USING (tokenid) WHERE tokenid NOT IN (SELECT tokenid FROM unmergeable)),
+    alt_{n} AS (SELECT c.*, CASE WHEN first_id <> tokenid AND first_order IS NOT DISTINCT FROM token_order AND {valid.replace("token_hash", "c.token_hash")} THEN first_id END AS alt_tokenid FROM clean_{n} c
+        LEFT JOIN (SELECT token_hash, tokenid AS first_id, token_order AS first_order FROM (SELECT *, row_number() OVER (PARTITION BY token_hash ORDER BY create_date, tokenid DESC) AS i FROM clean_{n} WHERE {valid}) WHERE i = 1) f ON c.token_hash = f.token_hash),
+    known_{n} AS (SELECT tokenid, arg_max(detokenid, startdate) AS detokenid FROM tokens_{p} WHERE enddate IS NULL GROUP BY tokenid),
+    step_{n} AS (SELECT b.*, coalesce(a.detokenid, o.detokenid, CASE WHEN b.alt_tokenid IS NULL THEN 'N{n}' || b.tokenid END) AS detokenid FROM alt_{n} b LEFT JOIN known_{n} a ON a.tokenid = b.alt_tokenid LEFT JOIN known_{n} o ON o.tokenid = b.tokenid),
+    found_{n} AS MATERIALIZED (SELECT s.tokenid, s.token_hash, s.token_order, coalesce(s.detokenid, t.detokenid) AS detokenid FROM step_{n} s LEFT JOIN step_{n} t ON t.tokenid = s.alt_tokenid),
+    missing_{n} AS (SELECT tokenid, 'M{n}' || tokenid AS detokenid FROM unmergeable WHERE tokenid NOT IN (SELECT tokenid FROM tokens_{p})),
+    pairs_{n} AS (SELECT DISTINCT tokenid, detokenid FROM found_{n} WHERE detokenid IS NOT NULL AND (tokenid, detokenid) NOT IN (SELECT (tokenid, detokenid) FROM tokens_{p}) UNION ALL SELECT * FROM missing_{n}),
+    open_{n} AS (SELECT * FROM tokens_{p} UNION ALL SELECT *, TIMESTAMP '{now}', NULL FROM pairs_{n}),
+    tokens_{n} AS MATERIALIZED (SELECT tokenid, detokenid, startdate, CASE WHEN enddate IS NULL AND row_number() OVER (PARTITION BY tokenid ORDER BY startdate DESC, detokenid DESC) > 1 THEN TIMESTAMP '{now}' ELSE enddate END AS enddate FROM open_{n}),
+    hashes_{n} AS MATERIALIZED (SELECT * FROM hashes_{p} UNION ALL (SELECT detokenid, token_hash, token_order FROM found_{n} WHERE detokenid IS NOT NULL UNION SELECT detokenid, NULL, NULL FROM missing_{n} EXCEPT SELECT * FROM hashes_{p})),
+    ended_{n} AS (SELECT tokenid, old_detokenid, new_detokenid, merge_dt FROM history_{p} UNION ALL SELECT tokenid, detokenid, NULL, enddate FROM tokens_{n} WHERE enddate IS NOT NULL AND (tokenid, detokenid) NOT IN (SELECT (tokenid, old_detokenid) FROM history_{p})),
+    history_{n} AS MATERIALIZED (SELECT e.tokenid, e.old_detokenid, coalesce(c.detokenid, e.new_detokenid) AS new_detokenid, e.merge_dt FROM ended_{n} e LEFT JOIN (SELECT tokenid, detokenid FROM tokens_{n} WHERE enddate IS NULL) c USING (tokenid)),
+    persons_{n} AS MATERIALIZED (SELECT * FROM persons_{p} UNION ALL SELECT detokenid, (SELECT coalesce(max(id), 0) FROM persons_{p}) + row_number() OVER (ORDER BY first NULLS LAST, detokenid) FROM (SELECT detokenid, min(startdate) AS first FROM tokens_{n} GROUP BY detokenid) WHERE detokenid NOT IN (SELECT detokenid FROM persons_{p}))"""
+
+
+_LOADS = [("CAST(substr(tokenid, 2) AS INT) % 2 = 0", "2024-01-01 00:00:00"), ("true", NOW)]
+_STATE_OF = " UNION ALL ".join(
+    f"""SELECT {v} AS version, 'tokens' AS part, tokenid, detokenid, NULL::VARCHAR AS other, startdate AS began, enddate AS ended, NULL::BIGINT AS number FROM tokens_{v}
+    UNION ALL SELECT {v}, 'history', tokenid, old_detokenid, new_detokenid, merge_dt, NULL, NULL FROM history_{v} UNION ALL SELECT {v}, 'persons', NULL, detokenid, NULL, NULL, NULL, id FROM persons_{v} UNION ALL SELECT {v}, 'hashes', NULL, detokenid, token_hash, NULL, NULL, token_order FROM hashes_{v}"""
+    for v in range(1, len(_LOADS) + 2)
+)
+
+
+@query(
+    f"""WITH unmergeable AS (SELECT 'T' || c_custkey AS tokenid FROM customer WHERE c_custkey % 29 = 0), tokens_1 AS (SELECT * FROM {_CROSS}),
+    hashes_1 AS (SELECT NULL::VARCHAR AS detokenid, NULL::VARCHAR AS token_hash, NULL::INT AS token_order WHERE false), history_1 AS (SELECT NULL::VARCHAR AS tokenid, NULL::VARCHAR AS old_detokenid, NULL::VARCHAR AS new_detokenid, NULL::TIMESTAMP AS merge_dt WHERE false), persons_1 AS (SELECT NULL::VARCHAR AS detokenid, NULL::BIGINT AS id WHERE false),
+    {", ".join(_load_sql(n, *load) for n, load in enumerate(_LOADS, 2))} {_STATE_OF}"""
+)
+def detoken_runs(spark, sf_dir):
+    """Two loads of tokens over an old crosswalk, the second with more tokens, each kept as a version of all state
+    tables; what each version holds."""
+    store = versions.SnapshotSet(spark, folder(spark, "detoken"))
+    store.write([(name, lambda _, name=name, columns=columns: token_intervals(spark, sf_dir) if name == "token_crosswalk" else spark.createDataFrame([], columns)) for name, columns in identity.STATE.items()])
+    for n, (load, at) in enumerate(_LOADS, 2):
+        tokens = token_facts(spark, sf_dir).where(load)
+        identity.load(store, tokens, unmergeable(spark, sf_dir), F.lit(at).cast("timestamp"), F.concat(F.lit(f"N{n}"), "tokenid"), F.concat(F.lit(f"M{n}"), "tokenid"))
+    out = None
+    for v in store.versions():
+        none = lambda kind: F.lit(None).cast(kind)
+        parts = {
+            "tokens": ("token_crosswalk", "tokenid", "detokenid", none("string"), "startdate", "enddate", none("long")),
+            "history": ("merge_history", "tokenid", "old_detokenid", "new_detokenid", "merge_dt", none("timestamp"), none("long")),
+            "persons": ("final_crosswalk", none("string"), "detokenid", none("string"), none("timestamp"), none("timestamp"), "id"),
+            "hashes": ("detoken_crosswalk", none("string"), "detokenid", "token_hash", none("timestamp"), none("timestamp"), F.col("token_order").cast("long")),
+        }
+        for part, (name, *columns) in parts.items():
+            rows = store.read(name, v).select(F.lit(v).alias("version"), F.lit(part).alias("part"), *[(F.col(c) if isinstance(c, str) else c).alias(a) for c, a in zip(columns, ("tokenid", "detokenid", "other", "began", "ended", "number"), strict=True)])
+            out = rows if out is None else out.union(rows)
+    return out
+
+
 # masking and text
 _SECRET = "'user=u' || c_custkey || ';Password=p' || c_custkey || ';db=x'"
 
@@ -1153,7 +1210,7 @@ def token_sink(spark, sf_dir):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 1")
 def batch_of_changes(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    store = files.SnapshotSet(spark, folder(spark, "batch"))
+    store = versions.SnapshotSet(spark, folder(spark, "batch"))
     store.write([("t", lambda read: c)])
     odd = Conditions().add(F.expr("c_custkey % 2 = 1"))
     store.write([("new", lambda read: dml.update(read("t"), {"c_name": "new"}, odd).where("c_custkey % 2 = 1")), ("t", lambda read: read("t").where("c_custkey % 2 = 0").union(read("new")))])
@@ -1163,7 +1220,7 @@ def batch_of_changes(spark, sf_dir):
 @query("SELECT n_name, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey + 1 FROM nation")
 def snapshot_versions(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
-    store = files.Snapshots(spark, folder(spark, "versions"))
+    store = versions.Snapshots(spark, folder(spark, "versions"))
     store.write(n)
     store.write(store.read().withColumn("n_regionkey", (F.col("n_regionkey") + 1).cast("int")))
     return store.read(1).union(store.read())

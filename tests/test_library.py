@@ -11,7 +11,7 @@ from sparkloom.functions import assertions, code, security, text
 from sparkloom.operators import deid, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Query
-from sparkloom.sources import config, files, scripts, tables
+from sparkloom.sources import config, files, scripts, tables, versions
 
 
 def column(spark, values, c, kind="string"):
@@ -223,17 +223,6 @@ def test_files(spark, tmp_path):
     assert [r["url"] for r in files.sitemap_locations(xml, "x").collect()] == ["http://a/", "http://b/"]
 
 
-def test_snapshots(spark, tmp_path):
-    t = files.Snapshots(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    assert t.write(spark.range(3).toDF("id")) == 1
-    old = t.read()
-    assert t.write(old.union(spark.range(1).toDF("id"))) == 2
-    assert old.count() == 3 and t.read().count() == 4 and t.read(1).count() == 3
-    (tmp_path / "t" / "v00000009").mkdir()
-    assert t.versions() == [1, 2]
-
-
 def test_scripts(spark, tmp_path):
     script = "-- head; er\nSELECT 'a;b--c' AS x; /* no; */ SELECT \"it''s\" AS y;;\nSELECT 1 + 1 AS z"
     assert scripts.statements(script) == ["SELECT 'a;b--c' AS x", "SELECT \"it''s\" AS y", "SELECT 1 + 1 AS z"]
@@ -324,7 +313,7 @@ def test_numbers_within_classes(spark):
 
 
 def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path):
-    tables_ = files.SnapshotSet(spark, str(tmp_path / "set"))
+    tables_ = versions.SnapshotSet(spark, str(tmp_path / "set"))
     assert tables_.read("a") is None and tables_.versions() == []
     assert tables_.write([("a", lambda read: spark.range(3).toDF("id")), ("b", lambda read: read("a").where("id > 0"))]) == 1
     assert tables_.write([("a", lambda read: read("a").union(read("b"))), ("a", lambda read: read("a").where("id <> 2"))]) == 2
