@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.functions.text import without_fragment
+from sparkloom.operators import limits
 from sparkloom.operators.dml import first_rows
 
 MODES = {"upload": ("upload", "update_remote"), "download": ("download", "update_local"), "manual": (), "auto": ("upload", "download", "update_local", "update_remote", "local_conflict", "remote_conflict", "refresh", "forget")}
@@ -60,65 +56,23 @@ def debounce(events: DataFrame, key: str = "path", ts: str = "ts", op: str = "op
     return out.drop("w")
 
 
-def fixed_window_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10) -> DataFrame:
+def fixed_window_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10, parts: int | None = None) -> DataFrame:
     """requests with allowed and hits: a window begins with the first hit and ends seconds later; hits beyond limit
-    are refused. A key's requests follow one another, so they are handled in order, by time and order; a pause of
-    seconds ends whatever a window could hold, so that a task holds the rows between two pauses only. Requests without
-    a time are neither allowed nor counted (null)."""
-    return _limited(requests, key, ts, order, seconds, lambda t: _fixed(t, seconds, limit))
+    are refused. A key's requests follow one another by time and order; a frequent key's are handled in several parts.
+    Requests without a time are neither allowed nor counted (null)."""
+    return limits.limited(requests, key, ts, order, limits.FixedWindow(round(seconds * 1e6), limit), parts)
 
 
-def sliding_log_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10) -> DataFrame:
+def sliding_log_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10, parts: int | None = None) -> DataFrame:
     """requests with allowed and hits: refused if limit accepted hits lie within the last seconds; refused ones don't
-    count. Rows are held as by fixed_window_limit()."""
-    return _limited(requests, key, ts, order, seconds, lambda t: _sliding(t, seconds, limit))
-
-
-def _fixed(times: list[float], seconds: float, limit: int) -> list[tuple[bool, int]]:
-    out, start, n = [], None, 0
-    for t in times:
-        if start is None or t >= start + seconds:
-            start, n = t, 0
-        n += 1
-        out.append((n <= limit, n))
-    return out
-
-
-def _sliding(times: list[float], seconds: float, limit: int) -> list[tuple[bool, int]]:
-    out, log, head = [], [], 0
-    for t in times:
-        while head < len(log) and log[head] <= t - seconds:
-            head += 1
-        ok = len(log) - head < limit
-        out.append((ok, len(log) - head + ok))
-        if ok:
-            log.append(t)
-    return out
-
-
-def _limited(requests: DataFrame, key: str, ts: str, order: str, seconds: float, decide: Callable[[list[float]], list[tuple[bool, int]]]) -> DataFrame:
-    """requests with what decide says of each; key, time and order go along, so repeated or null ones stay rows of
-    their own."""
-    timed = requests.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    of_key = W.partitionBy(key).orderBy("__t", order)
-    pause = F.coalesce(F.col("__t") - F.lag("__t").over(of_key) >= seconds, F.lit(False)).cast("long")
-    parts = timed.withColumn("__pause", pause).withColumn("__part", F.sum("__pause").over(of_key.rowsBetween(W.unboundedPreceding, 0))).drop("__pause")
-
-    def group(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("__t", "ascending"), (order, "ascending")])
-        times = [t for t in rows.column("__t").to_pylist() if t is not None]  # those without a time come last
-        found = decide(times) + [(None, None)] * (len(rows) - len(times))
-        rows = rows.drop_columns(["__t", "__part"])
-        return rows.append_column("allowed", pa.array([f[0] for f in found], pa.bool_())).append_column("hits", pa.array([f[1] for f in found], pa.int32()))
-
-    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("hits", T.IntegerType())])
-    return parts.groupBy(key, "__part").applyInArrow(group, schema)
-
-
-def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int = 24) -> DataFrame:
+    count. Parts are as those of fixed_window_limit()."""
+    return limits.limited(requests, key, ts, order, limits.SlidingLog(round(seconds * 1e6), limit), parts)
+
+
+def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int = 24, parts: int | None = None) -> DataFrame:
     """requests with `fresh`, false for one that repeats another of the key less than hours before. A repeat doesn't
     extend the time: it runs from the request that was fresh."""
-    return _limited(requests, key, ts, order, hours * 3600, lambda t: _fixed(t, hours * 3600, 1)).withColumnRenamed("allowed", "fresh").drop("hits")
+    return fixed_window_limit(requests, key, ts, order, hours * 3600, 1, parts).withColumnRenamed("allowed", "fresh").drop("hits")
 
 
 def first_in_day(requests: DataFrame, key: Column, ts: str, order: str) -> DataFrame:

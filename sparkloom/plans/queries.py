@@ -813,6 +813,17 @@ def rate_sliding(spark, sf_dir):
     return sync.sliding_log_limit(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86400, 2).select("event_id", "allowed", "hits")
 
 
+@query(
+    """WITH RECURSIVE hits AS (SELECT l_returnflag AS k, l_orderkey * 10 + l_linenumber AS id, CAST(l_shipdate AS TIMESTAMP) AS t FROM lineitem),
+    windows(k, start) AS (SELECT k, min(t) FROM hits GROUP BY k UNION ALL SELECT w.k, min(h.t) FROM windows w JOIN hits h ON h.k = w.k AND h.t >= w.start + INTERVAL 7 DAY GROUP BY w.k, w.start)
+    SELECT id, n <= 100 AS allowed, CAST(n AS INT) AS hits FROM (SELECT h.id, row_number() OVER (PARTITION BY h.k, w.start ORDER BY h.t, h.id) AS n FROM hits h ASOF JOIN (SELECT DISTINCT k, start FROM windows) w ON h.k = w.k AND h.t >= w.start)"""
+)
+def rate_hot_keys(spark, sf_dir):
+    """Three keys, of which one has half of all requests; each key's are handled in several parts."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return sync.fixed_window_limit(li, "k", "ts", "id", 7 * 86400, 100, 16).select("id", "allowed", "hits")
+
+
 @query(_fixed_sql(1, "fresh"))
 def idempotency(spark, sf_dir):
     return sync.idempotent(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "fresh")

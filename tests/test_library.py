@@ -273,17 +273,6 @@ def test_limits_keep_odd_rows(spark):
     assert {(r["k"], r["id"]) for r in sync.idempotent(df, "k", "ts", "id").where("fresh").collect()} == {("a", 1), ("b", 1), (None, 9)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_limits_in_parts_are_those_of_whole_keys(spark, seed):
-    rng = random.Random(seed)
-    times = sorted(rng.choice([rng.uniform(0, 300), rng.uniform(5000, 5100), rng.uniform(0, 20_000)]) for _ in range(200))
-    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "k string, id int, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
-    times = [int(t * 1_000_000) / 1e6 for t in times]
-    for limit, decide in ((sync.fixed_window_limit, sync._fixed), (sync.sliding_log_limit, sync._sliding)):
-        got = [(r["allowed"], r["hits"]) for r in limit(df, "k", "ts", "id", 60, 3).orderBy("id").collect()]
-        assert got == decide(times, 60, 3)
-
-
 def test_crawl_stays_on_its_host_and_knows_pages_without_fragments(spark):
     with_checkpoints(spark)
     edges = spark.createDataFrame([("http://a/1", "http://a/2#x"), ("http://a/1", "http://a/2#y"), ("http://a/2#z", "http://A/3"), ("http://a/1", "http://b/1"), ("http://a/3", None), ("http://A/3", "http://a/1#top")], "url string, href string")
