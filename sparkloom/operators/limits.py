@@ -1,4 +1,5 @@
-"""Limits on a key's requests that are decided in order of time, also where one key has most of the requests.
+"""What is decided about a key's requests in order of time, also where one key has most of the requests: limits, and
+answers that are given once.
 
 Requests are dealt out by ranges of key and time, so that a frequent key spans several parts; each part is sorted and
 passed through in order, a batch at a time. What a part's first requests get depends on the state in which the part
@@ -9,8 +10,8 @@ handled in between, and only then does a second pass over all parts decide, each
 * A fixed window's part is a function of the entry state: by when the entering window ends, the window that is open at
   the part's end. It has as many steps at most as the part has requests in its first window. Functions of parts that
   follow one another are composed by doubling, in rounds that grow with the logarithm of their number.
-* A sliding log's parts are run from the state that the part before is found to leave, again where that was another
-  than thought, until all agree. Logs soon forget where they began; at worst that takes a round per part.
+* Parts of a sliding log, or of answers, are run from the state that the part before is found to leave, again where that was another
+  than thought, until all agree. They soon forget where they began; at worst that takes a round per part.
 
 What reaches the driver is a state per part.
 """
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.operators.numbering import with_checkpoints
 
@@ -37,6 +39,8 @@ class FixedWindow:
     """Begins with a key's first request and ends span later; requests beyond limit are refused but counted. A state
     is the window's begin and the requests in it."""
 
+    fields, more = "allowed boolean, hits int", ()
+
     def __init__(self, span: int, limit: int):
         self.span, self.limit = span, limit
 
@@ -91,6 +95,8 @@ def _merged(steps: np.ndarray) -> np.ndarray:
 class SlidingLog:
     """A request is refused if limit accepted ones lie within the span before it; a state is the log of those."""
 
+    fields, more = "allowed boolean, hits int", ()
+
     def __init__(self, span: int, limit: int):
         self.span, self.limit = span, limit
 
@@ -107,7 +113,36 @@ class SlidingLog:
         return allowed, hits, log[head:]
 
 
-Machine = FixedWindow | SlidingLog
+class Answers:
+    """A key's first request starts work; until it is completed others are refused, then they are given its answer.
+    span after the start, or after the completion if there was one, the key is forgotten. A state is whether the work
+    is completed, when it is forgotten and the id of the completion. more: columns that tell completions from requests
+    (1 or 0) and their ids."""
+
+    fields = "outcome string, answer long"
+    OUTCOMES = ("started", "refused", "answered", "completed")
+
+    def __init__(self, span: int, is_completion: str, id_: str):
+        self.span, self.more = span, (is_completion, id_)
+
+    def run(self, t: np.ndarray, state: State, ends: np.ndarray, ids: np.ndarray) -> tuple[list, list, State]:
+        outcome, answer = [], []
+        for at, end, i in zip(t.tolist(), ends.tolist(), ids.tolist(), strict=True):
+            if state and at >= state[1]:
+                state = None
+            if end:
+                state = [1, at + self.span, i]
+                outcome.append(3)
+            elif not state:
+                state = [0, at + self.span, 0]
+                outcome.append(0)
+            else:
+                outcome.append(1 + state[0])
+            answer.append(i if end else state[2] if state[0] else None)
+        return [self.OUTCOMES[o] for o in outcome], answer, state
+
+
+Machine = FixedWindow | SlidingLog | Answers
 
 
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[Any, int, int]]:
@@ -119,8 +154,14 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[Any, int, int]]:
             yield keys[a], a, b
 
 
-def _times(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("__t").to_numpy()
+def _read(batch: pa.RecordBatch, machine: Machine) -> list[np.ndarray]:
+    """What the machine reads of a batch: the times and its further columns."""
+    return [batch.column(c).to_numpy() for c in ("__t", *machine.more)]
+
+
+def _run(machine: Machine, state: State, read: list[np.ndarray], rows: slice = slice(None)) -> tuple[Any, Any, State]:
+    t, *more = (c[rows] for c in read)
+    return machine.run(t, state, *more)
 
 
 def _left(ranges: DataFrame, machine: Machine) -> list[Any]:
@@ -130,31 +171,41 @@ def _left(ranges: DataFrame, machine: Machine) -> list[Any]:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = first = key = state = None
         for batch in batches:
+            read = _read(batch, machine)
             for k, a, b in _segments(batch):
                 if part is None:
                     part, first = batch.column("__part")[0].as_py(), k
-                state = machine.run(_times(batch)[a:b], state if k == key else None)[2]
+                state = _run(machine, state if k == key else None, read, slice(a, b))[2]
                 key = k
         if part is not None:
             yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": key, "state": state}], pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("state", pa.list_(pa.int64()))]))
 
-    return ranges.select("__key", "__part", "__t").mapInArrow(step, "part int, first string, last string, state array<long>").orderBy("part").collect()
+    return ranges.select("__key", "__part", "__t", *machine.more).mapInArrow(step, "part int, first string, last string, state array<long>").orderBy("part").collect()
 
 
-def _blocks(ranges: DataFrame, parts: list[int]) -> DataFrame:
-    """The times of the given parts, a row each."""
-    rows = ranges.select("__part", "__t").where(F.col("__part").isin(parts))
+def _blocks(ranges: DataFrame, machine: Machine, parts: list[int]) -> DataFrame:
+    """What the machine reads of the given parts: a row per part, an array per column."""
+    names = ("__t", *machine.more)
+    rows = ranges.select("__part", *names).where(F.col("__part").isin(parts))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
             if batch.num_rows:
                 part = batch.column("__part")[0].as_py()
-                held.append(_times(batch))
+                held.append(_read(batch, machine))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate(held)], pa.list_(pa.int64()))], ["part", "times"])
+            arrays = [pa.array([np.concatenate(c)], pa.list_(pa.int64())) for c in zip(*held, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *arrays], ["part", *names])
+
+    return rows.mapInArrow(step, ", ".join(["part int", *[f"`{c}` array<long>" for c in names]])).checkpoint()
 
-    return rows.mapInArrow(step, "part int, times array<long>").checkpoint()
+
+def _each(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The parts of blocks."""
+    for batch in batches:
+        for i, part in enumerate(batch.column("part").to_pylist()):
+            yield part, [batch.column(c)[i].values.to_numpy() for c in ("__t", *machine.more)]
 
 
 FUNCTION = "part int, upto long, begin long, requests long"
@@ -168,12 +219,10 @@ def _by_functions(ranges: DataFrame, machine: FixedWindow, entries: dict[int, St
         return pa.RecordBatch.from_arrays(columns, ["part", "upto", "begin", "requests"])
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, times in zip(batch.column("part").to_pylist(), batch.column("times"), strict=True):
-                t = times.values.to_numpy()
-                yield rows(part, machine.constant(machine.run(t, entries[part])[2]) if part in entries else machine.function(t))
+        for part, (t,) in _each(batches, machine):
+            yield rows(part, machine.constant(machine.run(t, entries[part])[2]) if part in entries else machine.function(t))
 
-    table = _blocks(ranges, [p for r in runs for p in r]).mapInArrow(functions, FUNCTION).checkpoint()
+    table = _blocks(ranges, machine, [p for r in runs for p in r]).mapInArrow(functions, FUNCTION).checkpoint()
     place = {p: (i, r) for r in runs for i, p in enumerate(r)}
 
     def compose(group: pa.Table) -> pa.Table:
@@ -195,7 +244,7 @@ def _by_functions(ranges: DataFrame, machine: FixedWindow, entries: dict[int, St
 
 def _by_trial(ranges: DataFrame, machine: Machine, entries: dict[int, State], runs: list[list[int]]) -> dict[int, State]:
     """The states that the parts of runs leave, found by running them until each has entered as the one before left."""
-    blocks = _blocks(ranges, [p for r in runs for p in r])
+    blocks = _blocks(ranges, machine, [p for r in runs for p in r])
     tried: dict[int, State] = {}
     left: dict[int, State] = {}
     while True:
@@ -205,10 +254,9 @@ def _by_trial(ranges: DataFrame, machine: Machine, entries: dict[int, State], ru
             return left
 
         def step(batches: Iterator[pa.RecordBatch], again: dict[int, State] = again) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, times in zip(batch.column("part").to_pylist(), batch.column("times"), strict=True):
-                    state = machine.run(times.values.to_numpy(), again[part])[2]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([state], pa.list_(pa.int64()))], ["part", "state"])
+            for part, read in _each(batches, machine):
+                state = _run(machine, again[part], read)[2]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([state], pa.list_(pa.int64()))], ["part", "state"])
 
         found = blocks.where(F.col("part").isin(list(again))).mapInArrow(step, "part int, state array<long>").collect()
         left |= {r["part"]: r["state"] for r in found}
@@ -244,28 +292,28 @@ def dealt(requests: DataFrame, key: str, ts: str, order: str, parts: int | None
     return ranges.sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()).checkpoint()
 
 
-def limited(requests: DataFrame, key: str, ts: str, order: str, machine: Machine, parts: int | None = None) -> DataFrame:
-    """requests with allowed and hits by the machine's rules, requests of a time by order. Those without a time are
-    neither allowed nor counted (null). Repeated rows are requests of their own; null keys are one key."""
+def decided(requests: DataFrame, key: str, ts: str, order: str, machine: Machine, parts: int | None = None) -> DataFrame:
+    """requests with the fields of what the machine decides, requests of a time by order. Those without a time are not
+    looked at, their fields are null. Repeated rows are requests of their own; null keys are one key."""
     ranges = dealt(requests, key, ts, order, parts)
     entries = entry_states(ranges, machine)
-    columns = requests.columns
+    columns, made = requests.columns, T.StructType.fromDDL(machine.fields)
+    kinds = [to_arrow_type(f.dataType) for f in made]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = state = None
         first = True
         for batch in batches:
-            allowed, hits = [], []
+            read, found = _read(batch, machine), []
             for k, a, b in _segments(batch):
                 if k != key:
                     state = entries.get(batch.column("__part")[0].as_py()) if first else None
-                ok, n, state = machine.run(_times(batch)[a:b], state)
-                allowed.append(ok)
-                hits.append(n)
+                *fields, state = _run(machine, state, read, slice(a, b))
+                found.append(fields)
                 key, first = k, False
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.concatenate(allowed)), pa.array(np.concatenate(hits).astype(np.int32))], [*columns, "allowed", "hits"])
+            if found:
+                fields = [pa.chunked_array([pa.array(x).cast(kind) for x in each]).combine_chunks() for each, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *fields], [*columns, *made.names])
 
-    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("hits", T.IntegerType())])
-    timeless = requests.where(F.col(ts).cast("timestamp").isNull()).withColumns({"allowed": F.lit(None).cast("boolean"), "hits": F.lit(None).cast("int")})
-    return ranges.mapInArrow(step, schema).unionByName(timeless)
+    timeless = requests.where(F.col(ts).cast("timestamp").isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in made})
+    return ranges.mapInArrow(step, T.StructType([*requests.schema.fields, *made.fields])).unionByName(timeless)

@@ -60,13 +60,13 @@ def fixed_window_limit(requests: DataFrame, key: str, ts: str, order: str, secon
     """requests with allowed and hits: a window begins with the first hit and ends seconds later; hits beyond limit
     are refused. A key's requests follow one another by time and order; a frequent key's are handled in several parts.
     Requests without a time are neither allowed nor counted (null)."""
-    return limits.limited(requests, key, ts, order, limits.FixedWindow(round(seconds * 1e6), limit), parts)
+    return limits.decided(requests, key, ts, order, limits.FixedWindow(round(seconds * 1e6), limit), parts)
 
 
 def sliding_log_limit(requests: DataFrame, key: str, ts: str, order: str, seconds: float = 60, limit: int = 10, parts: int | None = None) -> DataFrame:
     """requests with allowed and hits: refused if limit accepted hits lie within the last seconds; refused ones don't
     count. Parts are as those of fixed_window_limit()."""
-    return limits.limited(requests, key, ts, order, limits.SlidingLog(round(seconds * 1e6), limit), parts)
+    return limits.decided(requests, key, ts, order, limits.SlidingLog(round(seconds * 1e6), limit), parts)
 
 
 def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int = 24, parts: int | None = None) -> DataFrame:
@@ -75,6 +75,20 @@ def idempotent(requests: DataFrame, key: str, ts: str, order: str, hours: int =
     return fixed_window_limit(requests, key, ts, order, hours * 3600, 1, parts).withColumnRenamed("allowed", "fresh").drop("hits")
 
 
+def answered(events: DataFrame, key: str, ts: str, order: str, response: str, is_completion: Column, hours: int = 24, parts: int | None = None) -> DataFrame:
+    """events, requests and completions of the work that a key's first request starts, with an outcome: started;
+    refused, while the work goes on; answered, with the response of the completion as `answer`; completed. A key is
+    forgotten hours after it was started, or completed, whichever was last, so that the next request starts anew.
+    Requests with a null key guard nothing: all are started. order is a number that no other event of the key has."""
+    is_completion = F.coalesce(is_completion, F.lit(False))
+    marked = events.withColumn("__end", is_completion.cast("long"))
+    found = limits.decided(marked.where(F.col(key).isNotNull()), key, ts, order, limits.Answers(round(hours * 3.6e9), "__end", order), parts).withColumnRenamed("answer", "__answer")
+    given = marked.where(is_completion & F.col(key).isNotNull()).select(F.col(key).alias("__of"), F.col(order).alias("__id"), F.col(response).alias("answer"))
+    found = found.join(given, (F.col(key) == F.col("__of")) & (F.col("__answer") == F.col("__id")), "left").drop("__of", "__id", "__answer", "__end")
+    free = marked.where(F.col(key).isNull()).drop("__end").withColumns({"outcome": F.when(is_completion, "completed").otherwise("started"), "answer": F.lit(None).cast(events.schema[response].dataType)})
+    return found.unionByName(free)
+
+
 def first_in_day(requests: DataFrame, key: Column, ts: str, order: str) -> DataFrame:
     """The first request per key and calendar day, without state."""
     days = requests.withColumns({"__key": key, "__day": F.to_date(ts)})

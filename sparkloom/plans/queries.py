@@ -829,6 +829,19 @@ def idempotency(spark, sf_dir):
     return sync.idempotent(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "fresh")
 
 
+@query(
+    f"""WITH RECURSIVE {_HITS}, kinds AS (SELECT event_id, event_type = 'purchase' AS ended, 'r' || event_id AS response FROM events),
+    runs AS (SELECT user_id, i, event_id, CASE WHEN ended THEN 'completed' ELSE 'started' END AS outcome, ended AS done, t + 86400000000 AS until, CASE WHEN ended THEN response END AS answer FROM hits JOIN kinds USING (event_id) WHERE i = 1
+    UNION ALL SELECT user_id, i, event_id, CASE WHEN ended THEN 'completed' WHEN t >= until THEN 'started' WHEN done THEN 'answered' ELSE 'refused' END, CASE WHEN ended THEN true WHEN t >= until THEN false ELSE done END,
+        CASE WHEN ended OR t >= until THEN t + 86400000000 ELSE until END, CASE WHEN ended THEN response WHEN t >= until THEN NULL ELSE answer END
+    FROM (SELECT h.*, k.ended, k.response, r.done, r.until, r.answer FROM runs r JOIN hits h ON h.user_id = r.user_id AND h.i = r.i + 1 JOIN kinds k ON k.event_id = h.event_id))
+    SELECT event_id, outcome, answer FROM runs"""
+)
+def idempotent_answers(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response"))
+    return sync.answered(events, "user_id", "ts", "event_id", "response", F.col("event_type") == "purchase").select("event_id", "outcome", "answer")
+
+
 @query("SELECT user_id, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def first_in_day(spark, sf_dir):
     return sync.first_in_day(table(spark, sf_dir, "events"), F.col("user_id"), "ts", "event_id").select("user_id", F.to_date("ts").alias("day"), "event_id")

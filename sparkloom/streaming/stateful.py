@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -47,3 +48,58 @@ def rate_limited(requests: DataFrame, key: str, ts: str, id_: str, seconds: floa
 
     slim = requests.select(key, id_, ts).withWatermark(ts, f"{seconds} seconds")
     return slim.groupBy(key).applyInPandasWithState(step, f"`{id_}` {kinds[id_]}, `{key}` {kinds[key]}, allowed boolean", "start double, n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Answers(StatefulProcessor):
+    """A key's state: whether its work is completed, the response, and when the key is forgotten, for which a timer
+    is set."""
+
+    def __init__(self, key: str, ts: str, id_: str, is_completion: str, response: str, ttl_ms: int):
+        self.key, self.ts, self.id, self.ends, self.response, self.ttl = key, ts, id_, is_completion, response, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "done boolean, response string, until long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else None
+        before = state and state[2]
+        pdf = pd.concat(list(rows)).sort_values([self.ts, self.id])
+        out = []
+        for at, i, ends, response in zip(pdf[self.ts].astype("datetime64[ms]").astype("int64"), pdf[self.id], pdf[self.ends], pdf[self.response], strict=True):
+            if state and at >= state[2]:
+                state = None
+            if ends:
+                state, outcome = (True, response, at + self.ttl), "completed"
+            elif not state:
+                state, outcome = (False, None, at + self.ttl), "started"
+            else:
+                outcome = "answered" if state[0] else "refused"
+            out.append((i, key[0], outcome, state[1]))
+        if state and state[2] != before:
+            self.state.update((bool(state[0]), state[1], int(state[2])))
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(int(state[2]))
+        yield pd.DataFrame(out, columns=["id", "key", "outcome", "answer"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else None
+        out = []
+        if state and state[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            if not state[0]:
+                out.append((None, key[0], "abandoned", None))
+        yield pd.DataFrame(out, columns=["id", "key", "outcome", "answer"]).astype({"id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def answered(events: DataFrame, key: str, ts: str, id_: str, is_completion: str, response: str, late: str = "10 minutes", hours: float = 24) -> DataFrame:
+    """Requests and completions as the batch form handles them: id, key, outcome and answer of each event, and a row
+    without id, abandoned, for work that was not completed when its key is forgotten. Needs RocksDB as the session's
+    state store; a key's state is one row, which a timer removes when the watermark passes its time."""
+    slim = events.select(key, ts, id_, is_completion, response).where(F.col(key).isNotNull()).withWatermark(ts, late)
+    fields = f"id {events.schema[id_].dataType.simpleString()}, key {events.schema[key].dataType.simpleString()}, outcome string, answer {events.schema[response].dataType.simpleString()}"
+    return slim.groupBy(key).transformWithStateInPandas(_Answers(key, ts, id_, is_completion, response, int(hours * 3_600_000)), fields, "append", "EventTime")

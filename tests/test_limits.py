@@ -94,3 +94,39 @@ def test_functions_of_parts_are_composed():
 def test_no_requests(spark):
     df = requests(spark, {"a": [1.0]}).limit(0)
     assert sync.fixed_window_limit(df, "k", "ts", "id").collect() == [] and sync.idempotent(df, "k", "ts", "id").columns == ["k", "id", "ts", "fresh"]
+
+
+def answers(events, span):
+    """(outcome, answer) of (time, completes, response) in order."""
+    out, state = [], None
+    for t, ends, response in events:
+        if state and t >= state[1]:
+            state = None
+        if ends:
+            state = (response, t + span, True)
+            out.append(("completed", response))
+        elif not state:
+            state = (None, t + span, False)
+            out.append(("started", None))
+        else:
+            out.append(("answered", state[0]) if state[2] else ("refused", None))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_answers_of_a_hot_key_in_many_parts(spark, seed):
+    rng = random.Random(seed)
+    keys = {"hot": sorted(rng.randrange(0, 400) for _ in range(300))} | {f"k{i}": sorted(rng.randrange(0, 400) for _ in range(rng.randrange(1, 9))) for i in range(30)}
+    rows, want = [], {}
+    for k, times in keys.items():
+        events = [(t, rng.random() < 0.05, rng.choice([None, "r", f"r{i}"])) for i, t in enumerate(times)]
+        for t, ends, response in events:
+            rows.append((k, len(rows), t * 3600 * 10**6, ends or rng.choice([False, None]), response))
+        want |= dict(zip(range(len(rows) - len(events), len(rows)), answers(events, 24), strict=True))
+    rows += [(None, len(rows), 0, False, None), (None, len(rows) + 1, 1, True, "x"), ("hot", len(rows) + 2, None, False, None)]
+    want |= {len(rows) - 3: ("started", None), len(rows) - 2: ("completed", None), len(rows) - 1: (None, None)}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, id long, t long, done boolean, response string").withColumn("ts", F.timestamp_micros("t"))
+    found = sync.answered(df, "k", "ts", "id", "response", F.col("done"), parts=8)
+    assert found.columns == [*df.columns, "outcome", "answer"]
+    assert {r["id"]: (r["outcome"], r["answer"]) for r in found.collect()} == want
