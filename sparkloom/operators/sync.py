@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import without_fragment
 from sparkloom.operators import limits
@@ -105,13 +106,13 @@ def apply_changes(index: DataFrame, changes: DataFrame, key: str, order: str) ->
 
 def changes_after(feed: DataFrame, state: DataFrame | None, page: str) -> tuple[DataFrame, DataFrame]:
     """Of a feed's changes, in pages numbered by page, those after the page that state (page) holds, and the state
-    to keep once they are applied. Without a state nothing is taken: the first call only notes where the feed stands."""
-    last = feed.agg(F.max(page).alias("page"))
-    if state is None:
-        return feed.where(F.lit(False)), last
-    stand = state.agg(F.max("page").alias("__stand"))  # a row
-    taken = feed.join(F.broadcast(stand), F.col(page) > F.col("__stand")).drop("__stand")
-    return taken, last.union(state.select("page")).agg(F.max("page").alias("page"))
+    to keep once they are applied. Without a state nothing is taken: the first call only notes where the feed stands.
+    The feed's end is read first and bounds what is taken, so that a page that comes meanwhile is left for next time."""
+    end = feed.agg(F.max(page)).first()[0]
+    stand = None if state is None else state.agg(F.max("page")).first()[0]
+    after = F.lit(False) if state is None or end is None else (F.col(page) <= end) & (F.lit(True) if stand is None else F.col(page) > stand)
+    kept = [x for x in (end, stand) if x is not None]
+    return feed.where(after), feed.sparkSession.createDataFrame([(max(kept, default=None),)], T.StructType([T.StructField("page", feed.schema[page].dataType)]))
 
 
 def by_value(index: DataFrame, key: str, value: str, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
-from sparkloom.sources import files, scripts, versions
+from sparkloom.sources import feed, files, scripts, versions
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -1178,6 +1178,43 @@ def source_kinds(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.source_kind(F.concat("url", ending)).alias("kind"))
 
 
+# feeds that are handed out by pages
+def _pages(rows: DataFrame, path: str, numbers: range) -> None:
+    """rows of each page number to a folder of its own."""
+    for n in numbers:
+        rows.where(F.col("number") == n).drop("number").write.parquet(f"{path}/{n:08d}")
+
+
+def _taken(spark: SparkSession, path: str, into: str, checkpoint: str) -> None:
+    """Runs a stream of the feed's pages into a table until it has taken all that are there."""
+    q = spark.readStream.format("paged").option("path", path).load().writeStream.format("parquet").option("path", into).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+@query("SELECT o_orderkey, o_totalprice, printf('%08d', CAST(o_orderkey % 8 AS INT)) AS page FROM orders WHERE o_orderkey % 8 >= 3")
+def feed_stream(spark, sf_dir):
+    """A stream that first sees a feed of three pages, takes those that come then, stops, and takes the rest later."""
+    feed.register(spark)
+    at = folder(spark, "feed")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 8).alias("number"))
+    _pages(rows, f"{at}/pages", range(0, 3))
+    for more in (range(3, 3), range(3, 6), range(6, 8)):
+        _pages(rows, f"{at}/pages", more)
+        _taken(spark, f"{at}/pages", f"{at}/taken", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/taken")
+
+
+@query("SELECT c_custkey, c_name, printf('%08d', CAST(c_nationkey % 5 AS INT)) AS page FROM customer")
+def paged_listing(spark, sf_dir):
+    feed.register(spark)
+    at = folder(spark, "listing")
+    _pages(table(spark, sf_dir, "customer").select("c_custkey", "c_name", (F.col("c_nationkey") % 5).alias("number")), at, range(5))
+    return spark.read.format("paged").option("path", at).load()
+
+
 # files: written to the shared folder and read back
 def folder(spark: SparkSession, name: str) -> str:
     """A new place in the folder for checkpoints, which the driver and all executors share."""
