@@ -13,7 +13,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
-from sparkloom.sources import feed, files, scripts, versions
+from sparkloom.sources import feed, files, ingest, scripts, versions
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -1252,6 +1252,20 @@ def directory_union(spark, sf_dir):
     return files.read_directory(spark, [f"{path}/a", f"{path}/b"], ["c_custkey", "segment"])
 
 
+@query(f"SELECT c_custkey, segment, c_name AS more, 1 AS batch FROM {_TEXTS} UNION ALL SELECT c_custkey, segment, NULL, 0 FROM {_TEXTS} UNION ALL SELECT NULL, 'lacks the columns [''segment'']', NULL, 0")
+def ingested_files(spark, sf_dir):
+    """Tables with other orders of columns, a bad one and one with a further column, dropped in turn."""
+    path, df, required = folder(spark, "ingest"), customer_texts(spark, sf_dir), ["c_custkey", "segment"]
+    files.write_text_table(df.select("segment", "c_custkey"), f"{path}/in/a")
+    files.write_text_table(df.limit(1).select("c_custkey", "c_name").coalesce(1), f"{path}/in/bad")
+    ingest.ingest(spark, f"{path}/in", f"{path}/out", required, f"{path}/archive")
+    files.write_text_table(df.select(F.col("c_name").alias("more"), "c_custkey", "segment"), f"{path}/in/b")
+    ingest.ingest(spark, f"{path}/in", f"{path}/out", required, f"{path}/archive")
+    rows, apart = ingest.ingested(spark, f"{path}/out", required)
+    rows = rows.select(*required, F.get_json_object("rescued", "$.more").alias("more"), "batch")
+    return rows.unionByName(apart.select(F.lit(None).cast("string").alias("c_custkey"), F.col("reason").alias("segment"), F.lit(None).cast("string").alias("more"), "batch"))
+
+
 @query("SELECT DISTINCT c_nationkey AS id, 'M' || c_nationkey AS masked_id FROM customer")
 def crosswalk_file(spark, sf_dir):
     path, k = folder(spark, "crosswalk"), F.col("c_nationkey")
