@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sparkloom.functions.text import without_fragment
 from sparkloom.operators import limits
 from sparkloom.operators.dml import first_rows
+from sparkloom.operators.numbering import with_checkpoints
 
 MODES = {"upload": ("upload", "update_remote"), "download": ("download", "update_local"), "manual": (), "auto": ("upload", "download", "update_local", "update_remote", "local_conflict", "remote_conflict", "refresh", "forget")}
 
@@ -152,17 +153,38 @@ def crawl(edges: DataFrame, start: DataFrame, depth: int, internal: bool = True)
     return seen
 
 
+def _above(nodes: DataFrame, step: Column, first: Column, name: str) -> tuple[DataFrame, int]:
+    """id, top and name of nodes (id, parent and what first needs) that lead up to one without a parent, by pointer
+    doubling: each turn a node's pointer goes on to where the one it points to points, so that turns grow with the
+    logarithm of the depth. name is first at the start and step of what both hold, `upper` and `lower`, then. Also the
+    number of turns. Nodes in circles, below them or below an unknown id are left out; a turn is written, so that a
+    lost executor repeats it alone."""
+    with_checkpoints(nodes.sparkSession)
+    is_root = F.col("parent").isNull()
+    state = nodes.select("id", F.when(is_root, F.col("id")).otherwise(F.col("parent")).alias("top"), first.alias(name), is_root.alias("done")).checkpoint()
+    most, turns = state.count().bit_length() + 1, 0
+    while turns < most and state.where("not done").limit(1).count():
+        upper = state.select(F.col("id").alias("top"), F.col("top").alias("__top"), F.col(name).alias("upper"), F.col("done").alias("__done"))
+        lower = state.where("not done").select("id", "top", F.col(name).alias("lower"))
+        state = state.where("done").unionByName(lower.join(upper, "top").select("id", F.col("__top").alias("top"), step.alias(name), F.col("__done").alias("done"))).checkpoint()
+        turns += 1
+    return state.where("done").drop("done"), turns
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """id, root and depth of every node (id, parent) that leads up to one without a parent, whose depth is 0; ids must
+    not repeat."""
+    found, _ = _above(nodes, F.col("upper") + F.col("lower"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long"), "depth")
+    return found.select("id", F.col("top").alias("root"), "depth")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """id and path of every node (id, name, parent): the names from the root, joined by slashes; nodes whose parents
-    form a circle or lead nowhere are left out. Goes on until a level is empty; more levels than nodes mean that an id
-    repeats in a circle, which is an error."""
-    out = nodes.where("parent is null").select("id", F.col("name").alias("path"))
-    level, most, depth = out, nodes.count(), 0
-    while True:
-        level = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("__base")), "parent").select("id", F.concat_ws("/", "__base", "name").alias("path")).checkpoint()
-        if not level.limit(1).count():
-            return out
-        depth += 1
-        if depth > most:
-            raise ValueError("an id has several parents, which form a circle")
-        out = out.unionByName(level)
+    form a circle or lead nowhere are left out. Rows that repeat count once; an id with several names or parents is an
+    error. Depths are found first, so that no path is made of a circle."""
+    nodes = nodes.select("id", "name", "parent").distinct()
+    if nodes.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError("an id has several names or parents")
+    sound = nodes.join(depths(nodes).select("id"), "id", "left_semi")
+    found, _ = _above(sound, F.concat_ws("/", "upper", "lower"), F.coalesce("name", F.lit("")), "path")
+    return found.select("id", "path")

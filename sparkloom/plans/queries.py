@@ -1097,12 +1097,28 @@ def upload_only(spark, sf_dir):
     return sync.permitted(index_actions(spark, sf_dir), "upload").select("rel_path", "action")
 
 
-@query("SELECT n_nationkey + 100 AS id, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name FROM region")
+@query(
+    """SELECT 'o' || o_orderkey AS id, r_name || '/' || n_name || '/' || c_name || '/' || o_orderkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'c' || c_custkey, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region"""
+)
 def tree_paths(spark, sf_dir):
-    roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("parent"))
-    leaves = table(spark, sf_dir, "nation").select(F.col("n_nationkey") + 100, "n_name", "n_regionkey")
-    with_checkpoints(spark)
-    return sync.paths(roots.union(leaves))
+    """Orders below customers below nations below regions."""
+    level = lambda tbl, key, name, parent: table(spark, sf_dir, tbl).select(key.alias("id"), F.col(name).cast("string").alias("name"), parent.alias("parent"))
+    of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    roots = level("region", of("r", "r_regionkey"), "r_name", F.lit(None).cast("string"))
+    nations = level("nation", of("n", "n_nationkey"), "n_name", of("r", "n_regionkey"))
+    customers = level("customer", of("c", "c_custkey"), "c_name", of("n", "c_nationkey"))
+    orders = level("orders", of("o", "o_orderkey"), "o_orderkey", of("c", "o_custkey"))
+    return sync.paths(roots.union(nations).union(customers).union(orders))
+
+
+@query("SELECT o_orderkey AS id, min(o_orderkey) OVER () AS root, row_number() OVER (ORDER BY o_orderkey) - 1 AS depth FROM orders")
+def chain_depths(spark, sf_dir):
+    """One chain of all orders, each below the one before it."""
+    rows = numbered(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"))
+    before = rows.select((F.col("number") + 1).alias("number"), F.col("o_orderkey").alias("parent"))
+    return sync.depths(rows.join(before, "number", "left").select(F.col("o_orderkey").alias("id"), "parent"))
 
 
 @query("SELECT 't' || c_custkey AS token_id, c_custkey AS source_id FROM customer")

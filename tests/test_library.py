@@ -281,6 +281,20 @@ def test_crawl_stays_on_its_host_and_knows_pages_without_fragments(spark):
     assert ("http://b/1", 1) in {tuple(r) for r in sync.crawl(edges, start, 5, internal=False).collect()}
 
 
+def test_paths_take_turns_by_the_logarithm_of_the_depth(spark):
+    """A chain of 10,000 nodes, circles, nodes below these and below an unknown id."""
+    rows = [(i, i - 1 if i else None) for i in range(10_000)] + [(20_000, 20_001), (20_001, 20_000), (20_002, 20_001), (30_000, 99_999), (30_001, 30_000), (40_000, 40_000), (50_000, None)]
+    nodes = spark.createDataFrame(rows, "id int, parent int")
+    found = {r["id"]: (r["root"], r["depth"]) for r in sync.depths(nodes).collect()}
+    assert found == {i: (0, i) for i in range(10_000)} | {50_000: (50_000, 0)}
+    few = nodes.where("id < 200 or id >= 20000").withColumn("name", F.concat(F.lit("n"), "id"))
+    found = {r["id"]: r["path"] for r in sync.paths(few.union(few)).collect()}
+    assert found == {i: "/".join(f"n{j}" for j in range(i + 1)) for i in range(200)} | {50_000: "n50000"}
+    _, turns = sync._above(nodes, F.col("upper") + F.col("lower"), F.lit(1), "depth")
+    assert turns <= 15
+    assert sync.depths(nodes.limit(0)).collect() == []
+
+
 def test_change_feed_goes_on_where_it_stopped(spark):
     feed = spark.createDataFrame([("a", 1), ("b", 2)], "id string, page int")
     taken, state = sync.changes_after(feed, None, "page")
