@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import slug
 
@@ -55,17 +56,47 @@ def transpose_table(df: DataFrame, key: str, names: Sequence[Any]) -> DataFrame:
     return long.groupBy("field").pivot(key, list(names)).agg(F.first("value"))
 
 
-def profile(df: DataFrame) -> DataFrame:
+def sketches(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per group of by and column: its type, rows, nulls, a HyperLogLog sketch of its values and, of numbers, a KLL
+    sketch of their distribution. One pass over df, whose rows are shrunk to sketches before they are shuffled."""
+    names = [c for c in df.columns if c not in by]
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    plain = {f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType, T.BinaryType))}
+    text = lambda c: F.col(c) if c in plain else F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
+    own = lambda i, c: [F.count_if(F.col(c).isNull()).alias(f"__nulls{i}"), F.hll_sketch_agg(F.when(F.col(c).isNotNull(), text(c))).alias(f"__values{i}"), *([F.kll_sketch_agg_double(F.col(c).cast("double")).alias(f"__numbers{i}")] if c in numeric else [])]
+    one = df.groupBy(*by).agg(F.count("*").alias("__rows"), *[a for i, c in enumerate(names) for a in own(i, c)])
+    kinds = dict(df.dtypes)
+    of = lambda i, c: F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.col("__rows").alias("rows"), F.col(f"__nulls{i}").alias("nulls"), F.col(f"__values{i}").alias("values"), (F.col(f"__numbers{i}") if c in numeric else F.lit(None).cast("binary")).alias("numbers"))
+    return one.select(*by, F.inline(F.array(*[of(i, c) for i, c in enumerate(names)])))
+
+
+def merged(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What sketches() gives of the parts of a table, of several days for instance, as one of all of it."""
+    return parts.groupBy(*by, "column", "type").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("values").alias("values"), F.when(F.count("numbers") > 0, F.kll_merge_agg_double("numbers")).alias("numbers"))
+
+
+def described(sketched: DataFrame, ranks: Sequence[float] = (0.0, 0.5, 1.0)) -> DataFrame:
+    """What sketches say of each column: rows, nulls, about how many distinct values, of numbers the values at about
+    ranks (null if there are none), and an issue if all or some are null."""
+    seen = (F.col("rows") > F.col("nulls")) & F.col("numbers").isNotNull()
+    at = F.when(seen, F.array(*[F.kll_sketch_get_quantile_double("numbers", F.lit(r)) for r in ranks]))
+    issue = F.when((F.col("rows") > 0) & (F.col("nulls") == F.col("rows")), "all null").when(F.col("nulls") > 0, "some null").otherwise("none")
+    others = [c for c in sketched.columns if c not in ("values", "numbers")]
+    return sketched.select(*others, F.hll_sketch_estimate("values").alias("distinct"), at.alias("quantiles"), issue.alias("issue"))
+
+
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """A row per column: its name, type, count of rows, nulls and distinct values, and an issue if all or some are
-    null. One pass aggregates all columns."""
-    aggregates = [F.count("*").alias("rows")]
+    null. Distinct values are estimated in one pass, true to a few percent, and exactly where they are few; if exact
+    they are counted, column by column, so that no row is copied for each column."""
+    found = described(sketches(df)).select("column", "type", "rows", "nulls", "distinct", "issue")
+    if not exact:
+        return found
+    counts = None
     for c in df.columns:
-        aggregates += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.count_distinct(c).alias(f"{c}__distinct")]
-    one = df.agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("rows"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__distinct").alias("distinct")) for c, t in df.dtypes])
-    out = one.select(F.inline(rows))
-    issue = F.when((F.col("rows") > 0) & (F.col("nulls") == F.col("rows")), "all null").when(F.col("nulls") > 0, "some null").otherwise("none")
-    return out.withColumn("issue", issue)
+        one = df.select(c).where(F.col(c).isNotNull()).groupBy(c).count().agg(F.count("*").alias("__distinct")).select(F.lit(c).alias("column"), "__distinct")
+        counts = one if counts is None else counts.union(one)
+    return found.join(F.broadcast(counts), "column").withColumn("distinct", F.col("__distinct")).drop("__distinct")
 
 
 def batches(df: DataFrame, size: int = 1000) -> Iterator[list[dict[str, Any]]]:

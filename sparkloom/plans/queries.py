@@ -685,6 +685,20 @@ def transpose(spark, sf_dir):
     return reshape.transpose_table(df, "o_orderstatus", ["F", "O"]).select("field", F.col("F").alias("f"), F.col("O").alias("o"))
 
 
+@query("SELECT c AS \"column\", count(*) AS rows, 0 AS nulls, true AS near, true AS low, true AS middle FROM lineitem, (VALUES ('l_orderkey'), ('l_extendedprice'), ('l_partkey')) v(c) GROUP BY c")
+def merged_profile(spark, sf_dir):
+    """Sketches by return flag, merged, held against exact counts and ranks."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_extendedprice", "l_partkey")
+    found = reshape.described(reshape.merged(reshape.sketches(li, ["l_returnflag"])))
+    exact = reshape.profile(li.drop("l_returnflag"), exact=True).select("column", F.col("distinct").alias("true_distinct"))
+    columns = ("l_orderkey", "l_extendedprice", "l_partkey")
+    long = li.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])))
+    below = long.join(F.broadcast(found.select("column", "quantiles")), "column").groupBy("column").agg(F.avg((F.col("x") <= F.col("quantiles")[1]).cast("double")).alias("rank"), F.min("x").alias("least"))
+    rows = found.join(exact, "column").join(below, "column")
+    near = F.abs(F.col("distinct") - F.col("true_distinct")) <= 0.05 * F.col("true_distinct")
+    return rows.select("column", "rows", "nulls", near.alias("near"), (F.col("quantiles")[0] == F.col("least")).alias("low"), (F.abs(F.col("rank") - 0.5) < 0.05).alias("middle"))
+
+
 @query("SELECT 'p_brand' AS \"column\", 'string' AS type, count(*) AS rows, count(*) FILTER (p_brand IS NULL) AS nulls, count(DISTINCT p_brand) AS \"distinct\", 'none' AS issue FROM part UNION ALL SELECT 'size', 'int', count(*), count(*) FILTER (p_size = 1), count(DISTINCT nullif(p_size, 1)), CASE WHEN count(*) FILTER (p_size = 1) > 0 THEN 'some null' ELSE 'none' END FROM part")
 def table_profile(spark, sf_dir):
     return reshape.profile(table(spark, sf_dir, "part").select("p_brand", F.nullif("p_size", F.lit(1)).alias("size")))

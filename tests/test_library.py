@@ -428,3 +428,21 @@ def test_exports(spark, tmp_path):
     assert files.html_table(df.where("n = 1")) == "<table><tr><th>n</th><th>t</th></tr><tr><td>1</td><td>&lt;a&gt;</td></tr></table>"
     assert column(spark, [["2024-01-01 - New - Year", "odd"]], text.dated_names, "array<string>") == [{"2024-01-01": "New - Year"}]
     assert tables.ddl("x", tables.SITE_PAGES).startswith("CREATE TABLE IF NOT EXISTS x (id long")
+
+
+def test_profiles_merge_and_copy_no_rows(spark):
+    rows = [(i, i % 7 or None, "x" if i % 2 else "y", [i % 3], None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b int, `c d` string, e array<int>, f double").withColumn("part", F.col("a") % 4)
+    plan = reshape.profile(df.drop("part"))._jdf.queryExecution().toString() + reshape.profile(df.drop("part"), exact=True)._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+    want = {"a": (1000, 0, 1000, "none"), "b": (1000, 143, 6, "some null"), "c d": (1000, 0, 2, "none"), "e": (1000, 0, 3, "none"), "f": (1000, 1000, 0, "all null")}
+    exact = {r["column"]: (r["rows"], r["nulls"], r["distinct"], r["issue"]) for r in reshape.profile(df.drop("part"), exact=True).collect()}
+    assert exact == want
+    found = {r["column"]: r for r in reshape.described(reshape.merged(reshape.sketches(df, ["part"]))).collect()}
+    whole = {r["column"]: r for r in reshape.described(reshape.sketches(df.drop("part"))).collect()}
+    for c, (n, nulls, distinct, issue) in want.items():
+        for r in (found[c], whole[c]):
+            assert (r["rows"], r["nulls"], r["issue"]) == (n, nulls, issue) and abs(r["distinct"] - distinct) <= 0.05 * distinct
+    assert found["a"]["quantiles"][0] == 0 and found["a"]["quantiles"][2] == 999 and abs(found["a"]["quantiles"][1] - 500) < 50
+    assert found["f"]["quantiles"] is None and found["c d"]["quantiles"] is None
+    assert {r["column"]: (r["rows"], r["distinct"], r["issue"]) for r in reshape.profile(df.limit(0).select("a", "f")).collect()} == {"a": (0, 0, "none"), "f": (0, 0, "none")}
