@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import elapsed, exception_class
 from sparkloom.operators.numbering import numbered
@@ -72,7 +74,11 @@ def with_run_id(results: DataFrame, run_id: str, ts: str, id_: str) -> DataFrame
 
 def catalog_summary(tests: DataFrame, file: str, class_: str, method: str, tags: str) -> DataFrame:
     """Counts of files, classes and tests, and the sorted union of tags."""
-    return tests.agg(F.count_distinct(file).alias("files"), F.count_distinct(file, class_).alias("classes"), F.count(method).alias("tests"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(tags)))).alias("tags"))
+    one = tests.groupBy(file, class_).agg(F.count(method).alias("tests"))
+    of_file = one.groupBy(file).agg(F.count_if(F.col(class_).isNotNull()).alias("classes"), F.sum("tests").alias("tests"))
+    counts = of_file.agg(F.count(file).alias("files"), F.coalesce(F.sum(F.when(F.col(file).isNotNull(), F.col("classes"))), F.lit(0)).alias("classes"), F.coalesce(F.sum("tests"), F.lit(0)).alias("tests"))
+    names = tests.select(F.explode(tags).alias("tag")).where("tag is not null").distinct().agg(F.array_sort(F.collect_list("tag")).alias("tags"))  # rows meet once they are different tags
+    return counts.join(F.broadcast(names))
 
 
 def with_tags(tests: DataFrame, tags: Column, wanted: Sequence[str]) -> DataFrame:
@@ -121,6 +127,25 @@ def signature(name: Column, args: Column) -> Column:
 
 
 def cumulative_hashes(methods: DataFrame, file: str, order: str, source: str) -> DataFrame:
-    """methods with the SHA-256 of all sources of the file up to and with their own."""
-    upto = F.array_join(F.collect_list(F.col(source)).over(W.partitionBy(file).orderBy(order).rowsBetween(W.unboundedPreceding, 0)), "")
-    return methods.withColumn("contenthash", F.sha2(upto.cast("binary"), 256))
+    """methods with the SHA-256 of all sources of the file up to and with their own; null sources add nothing. A file's
+    rows pass a task in order, which holds the hash's state and no rows."""
+    columns, keys = methods.columns, key_text(F.col(file))
+    rows = methods.withColumn("__file", keys).repartition("__file").sortWithinPartitions("__file", order, source)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = state = None
+        for batch in batches:
+            found = []
+            for f, text in zip(batch.column("__file").to_pylist(), batch.column(source).to_pylist(), strict=True):
+                if f != last:
+                    last, state = f, hashlib.sha256()
+                state.update((text or "").encode())
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.string())], [*columns, "contenthash"])
+
+    return rows.mapInArrow(step, T.StructType([*methods.schema.fields, T.StructField("contenthash", T.StringType())]))
+
+
+def key_text(key: Column) -> Column:
+    """A string that differs between null and every value."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))

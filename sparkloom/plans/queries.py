@@ -1100,10 +1100,9 @@ def usage_signature(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", rollups.signature(F.col("c_name"), args).alias("signature"))
 
 
-@query("SELECT c_custkey, sha256(string_agg(c_name, '' ORDER BY c_custkey) OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)) AS contenthash FROM customer")
+@query("SELECT doc_id, sha256(string_agg(coalesce(text, ''), '' ORDER BY doc_id) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) AS contenthash FROM documents")
 def method_hashes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("file", F.floor(F.col("c_custkey") / 50))
-    return rollups.cumulative_hashes(c, "file", "c_custkey", "c_name").select("c_custkey", "contenthash")
+    return rollups.cumulative_hashes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text").select("doc_id", "contenthash")
 
 
 @query(f"SELECT rel_path, action FROM ({_DIFF}) WHERE action IN ('upload', 'update_remote')")
