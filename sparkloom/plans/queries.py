@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
-from sparkloom.sources import feed, files, ingest, scripts, versions
+from sparkloom.sources import feed, files, ingest, scripts, transfer, versions
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -1295,6 +1296,28 @@ def ingested_files(spark, sf_dir):
     return rows.unionByName(apart.select(F.lit(None).cast("string").alias("c_custkey"), F.col("reason").alias("segment"), F.lit(None).cast("string").alias("more"), "batch"))
 
 
+@query(
+    """WITH keys AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+    starts AS (SELECT i, CASE WHEN i = 0 THEN (SELECT min(o_orderkey) FROM orders) ELSE (SELECT o_orderkey FROM keys WHERE place = i * n // 12) END AS start FROM range(12) r(i))
+    SELECT CAST(i AS INT) AS range, count(o_orderkey) AS rows, true AS same FROM starts JOIN (SELECT o.o_orderkey, max(s.i) AS part FROM orders o JOIN starts s ON o.o_orderkey >= s.start GROUP BY o.o_orderkey) ON part = i GROUP BY i UNION ALL SELECT 12, 0, true"""
+)
+def transfer_checks(spark, sf_dir):
+    """A copy of orders in 12 ranges, cut off in its second job, and gone on with; a check per range."""
+    orders, at, asked = table(spark, sf_dir, "orders"), folder(spark, "transfer"), []
+
+    def breaks_off(predicate: str) -> DataFrame:
+        asked.append(predicate)
+        if len(asked) > 7:
+            raise ConnectionError("the source went away")
+        return orders.where(predicate)
+
+    copy = transfer.Transfer(spark, at, "o_orderkey", 12, 6, 10_000_000)
+    with contextlib.suppress(ConnectionError):
+        copy.run(breaks_off)
+    copy.run(transfer.of_frame(orders))
+    return copy.verify().select("range", "rows", "same")
+
+
 @query("SELECT DISTINCT c_nationkey AS id, 'M' || c_nationkey AS masked_id FROM customer")
 def crosswalk_file(spark, sf_dir):
     path, k = folder(spark, "crosswalk"), F.col("c_nationkey")
