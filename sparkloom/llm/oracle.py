@@ -112,18 +112,6 @@ FROM coded
 
 _STEP = "CASE " + " ".join(f"WHEN v >= {1 << (b - 1)} THEN {1 << (b - 5)}" for b in range(11, 5, -1)) + " ELSE 1 END"
 _LEVEL = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEVELS.items()) + " END"
-_QUANTILES = f"min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle, min(CASE WHEN below * 100 >= total * {_LEVEL} THEN value END) AS high, max(total) AS texts"
-
-
-def _quantiles(keys: str) -> str:
-    by = f"{keys}, rate" if keys else "rate"
-    return f"SELECT {by}, {_QUANTILES} FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY value) AS below, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, value, sum(n) AS n FROM sketch GROUP BY {by}, value)) GROUP BY {by}"
-
-
-def _pick(c: str) -> str:
-    return f"CASE WHEN e.texts >= {quality.LEAST_GROUP} THEN e.{c} WHEN l.texts >= {quality.LEAST_GROUP} THEN l.{c} ELSE a.{c} END"
-
-
 OP8 = f"""
 WITH texts AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{WORD}')] AS lines FROM documents
@@ -139,15 +127,24 @@ WITH texts AS (
 ), measured AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
 ), long AS (
-    {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rate, {a} <= {quality.FEW[k]} AS few, CASE WHEN {b} = 0 THEN 0 ELSE {a} * 1000 // {b} END AS v FROM measured" for k, (a, b) in quality.RATES.items())}
+    {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rate, {a} AS counted, {b} AS among, CASE WHEN {b} = 0 THEN 0 ELSE {a} * 1000 // {b} END AS v FROM measured" for k, (a, b) in quality.RATES.items())}
 ), sketch AS (
     SELECT lang, source, rate, v - v % {_STEP} AS value, count(*) AS n FROM long WHERE NOT base_failed GROUP BY 1, 2, 3, 4
-), each AS ({_quantiles("lang, source")}), by_lang AS ({_quantiles("lang")}), of_all AS ({_quantiles("")}),
-cutoffs AS (
-    SELECT e.lang, e.source, e.rate, {_pick("high")} + {quality.SPREAD} * ({_pick("high")} - {_pick("middle")}) AS cut
-    FROM each e JOIN by_lang l ON e.rate = l.rate AND e.lang IS NOT DISTINCT FROM l.lang JOIN of_all a ON e.rate = a.rate
+), of_all AS (
+    SELECT rate, value, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rate) AS texts FROM sketch GROUP BY rate, value
+), of_lang AS (
+    SELECT lang, rate, value, sum(n) AS n FROM sketch GROUP BY lang, rate, value
+), weighed AS (
+    SELECT g.lang, g.source, g.rate, a.value, CAST(floor({quality.UNIT} * (coalesce(s.n, 0) + {quality.PRIOR} * ((coalesce(l.n, 0) + {quality.PRIOR} * a.n / a.texts) / (t.texts + {quality.PRIOR})))) AS BIGINT) AS weight
+    FROM (SELECT DISTINCT lang, source, rate FROM sketch) g JOIN of_all a ON g.rate = a.rate JOIN (SELECT lang, rate, sum(n) AS texts FROM of_lang GROUP BY lang, rate) t ON t.rate = g.rate AND t.lang IS NOT DISTINCT FROM g.lang
+    LEFT JOIN of_lang l ON l.rate = g.rate AND l.lang IS NOT DISTINCT FROM g.lang AND l.value = a.value LEFT JOIN sketch s ON s.rate = g.rate AND s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.value = a.value
+), ranked AS (
+    SELECT *, sum(weight) OVER (PARTITION BY lang, source, rate ORDER BY value) AS below, sum(weight) OVER (PARTITION BY lang, source, rate) AS total FROM weighed
+), cutoffs AS (
+    SELECT lang, source, rate, high + {quality.SPREAD} * (high - middle) AS cut
+    FROM (SELECT lang, source, rate, min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle, min(CASE WHEN below * 100 >= total * {_LEVEL} THEN value END) AS high FROM ranked GROUP BY lang, source, rate)
 ), verdicts AS (
-    SELECT long.doc_id, bool_and(v <= cut OR few) AS fine
+    SELECT long.doc_id, bool_and(counted <= (sqrt(among * (cut + 1) / 1000) + {quality.SPREAD} / 2) * (sqrt(among * (cut + 1) / 1000) + {quality.SPREAD} / 2)) AS fine
     FROM long LEFT JOIN cutoffs c ON long.rate = c.rate AND long.lang IS NOT DISTINCT FROM c.lang AND long.source IS NOT DISTINCT FROM c.source GROUP BY long.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, false) AS kept FROM measured JOIN verdicts USING (doc_id)

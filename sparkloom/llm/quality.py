@@ -3,11 +3,13 @@
 Every text's rates (symbols, repeated lines, repeated words, by the thousand) are sketched per language and source:
 a sketch counts values rounded down to five significant bits, so that it holds each quantile to within one part in
 sixteen, its size is bounded, and sketches of parts of a group add up to the group's. A group's cutoff for a rate is
-an upper quantile of its sketch plus SPREAD times the distance between that quantile and the median. No fixed number
-bounds a cutoff from below or above: what is usual in a group passes there, and a rule drops at most the share of a
-group that lies above the rule's quantile (LEVELS). A text with only a FEW of what a rule counts is never dropped for
-it, as a few make a high rate of a short text. Groups of fewer than LEAST_GROUP texts take the sketch of their
-language, and languages of fewer that of all texts. Cutoffs are joined to the texts and applied.
+an upper quantile of its sketch plus SPREAD times the distance between that quantile and the median; what is usual in a
+group passes there. Small groups lean on their language, and small languages on all texts: into each sketch that of the
+wider group is mixed, with the weight of PRIOR texts in all. As rates are held by the thousand, a text at
+the cutoff may have up to cutoff + 1 by the thousand of its length; a text is dropped if it has more than a text of
+that rate would by chance, SPREAD standard deviations above (of square roots of counts, whose deviation is 1/2 at any
+rate). So a few in a short text are no evidence, by its length and its group's rate alone. Cutoffs are joined to the
+texts and applied.
 
 Only DataFrame functions are used. Null texts have no words and fail; null languages and sources are groups of
 their own. Long texts are measured whole; repeated rows count each time. An empty table has no cutoffs.
@@ -22,13 +24,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import WORD, Scratch, key_of, small
 
 SYMBOLS = "#*$%&|<>"
-#: Of each rate: what is counted, and among how many; the percentile that its cutoff starts from; and how many of what
-#: is counted are never too many.
+#: Of each rate: what is counted, and among how many; and the percentile that its cutoff starts from.
 RATES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
 LEVELS = {"symbols": 85, "lines": 95, "repeats": 95}
-FEW = {"symbols": 3, "lines": 3, "repeats": 12}
 SPREAD = 3
-LEAST_GROUP = 100
+#: Texts that the wider group's sketch counts as, and the parts that a text is weighed in.
+PRIOR, UNIT = 50, 1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -89,25 +90,27 @@ def sketch(measured: DataFrame, lang: Column, source: Column, prefix: str = "")
 
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
-    """Of every language and source in sketches: the cutoff of each rate, from its own sketch if that holds enough
-    texts, else from its language's, else from that of all."""
+    """Of every language and source in sketches: the cutoff of each rate, from its own sketch with its language's
+    mixed in, into which that of all is mixed. A group has a row for each value of a sketch, of which there are few."""
 
     level = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("rate"))
 
-    def quantiles(keys: list[str]) -> DataFrame:
-        merged = sketches.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
-        group = W.partitionBy(*keys, "rate")
-        below = F.sum("n").over(group.orderBy("value"))
-        ranked = merged.withColumns({"below": below, "total": F.sum("n").over(group)})
-        at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("value")))
-        return ranked.groupBy(*keys, "rate").agg(at(50).alias("middle"), at(level).alias("high"), F.max("total").alias("texts"))
-
-    each = quantiles(["lang_key", "source_key"])
-    by_lang = quantiles(["lang_key"]).select("lang_key", "rate", *(F.col(c).alias(f"l_{c}") for c in ("middle", "high", "texts")))
-    of_all = quantiles([]).select("rate", *(F.col(c).alias(f"a_{c}") for c in ("middle", "high")))
-    joined = each.join(by_lang, ["lang_key", "rate"]).join(F.broadcast(of_all), "rate")  # of_all: a row per rate
-    pick = lambda c: F.when(F.col("texts") >= LEAST_GROUP, F.col(c)).when(F.col("l_texts") >= LEAST_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    named = joined.select("lang_key", "source_key", "rate", (pick("high") + SPREAD * (pick("high") - pick("middle"))).cast("long").alias("cut"))
+    def counted(keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        of_value = sketches.groupBy(*keys, "rate", "value").agg(F.sum("n").alias(f"{name}_n"))
+        return of_value, of_value.groupBy(*keys, "rate").agg(F.sum(f"{name}_n").alias(f"{name}_texts"))
+
+    of_all, all_texts = counted([], "a")
+    of_lang, lang_texts = counted(["lang_key"], "l")
+    group = ["lang_key", "source_key", "rate"]
+    values = sketches.select(*group).distinct().join(F.broadcast(of_all.join(all_texts, "rate")), "rate")  # a row per value
+    values = values.join(lang_texts, ["lang_key", "rate"]).join(of_lang, ["lang_key", "rate", "value"], "left").join(sketches, [*group, "value"], "left")
+    wider = (F.coalesce("l_n", F.lit(0)) + PRIOR * F.col("a_n") / F.col("a_texts")) / (F.col("l_texts") + PRIOR)
+    weighed = values.withColumn("weight", F.floor(UNIT * (F.coalesce("n", F.lit(0)) + PRIOR * wider)))
+    of_group = W.partitionBy(*group)
+    ranked = weighed.withColumns({"below": F.sum("weight").over(of_group.orderBy("value")), "total": F.sum("weight").over(of_group)})
+    at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("value")))
+    found = ranked.groupBy(*group).agg(at(50).alias("middle"), at(level).alias("high"))
+    named = found.withColumn("cut", F.col("high") + SPREAD * (F.col("high") - F.col("middle")))
     return named.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"__cut_{k}") for k in RATES])
 
 
@@ -117,8 +120,9 @@ def judge(measured: DataFrame, lang: Column, source: Column, prefix: str, scratc
     cuts = scratch.write(cutoffs(sketch(measured, lang, source, prefix)), "cutoffs").withColumnsRenamed({"lang_key": "__lang_key", "source_key": "__source_key"})
     joined = measured.withColumns({"__lang_key": key_of(lang), "__source_key": key_of(source)}).join(small(cuts), ["__lang_key", "__source_key"], "left")
     fine = F.lit(True)
-    for k, v in rates(prefix).items():
-        fine = fine & ((v <= F.col(f"__cut_{k}")) | (F.col(f"{prefix}{RATES[k][0]}") <= FEW[k]))
+    for k, (counted, of) in RATES.items():
+        most = F.sqrt(F.col(f"{prefix}{of}") * (F.col(f"__cut_{k}") + 1) / 1000) + SPREAD / 2
+        fine = fine & (F.col(f"{prefix}{counted}") <= most * most)
     drop = ["__lang_key", "__source_key", *(f"__cut_{k}" for k in RATES)]
     return joined.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(fine, F.lit(False))).drop(*drop)
 

@@ -194,10 +194,31 @@ def test_cutoffs_follow_their_group(spark, monkeypatch):
     assert {r["doc_id"]: r["kept"] for r in quality.annotate(docs).collect()} != kept
 
 
-def test_a_few_symbols_drop_no_text(spark):
-    data = [(i, symbolic(0, i, 60), "en", "a") for i in range(120)] + [(500, symbolic(0, 5, 60) + "###", "en", "a"), (501, symbolic(0, 5, 60) + "####", "en", "a")]
+def test_few_are_judged_by_a_texts_length(spark):
+    """By chance a text of a rate below one in a thousand has some; what is too many for a short one isn't for a long."""
+    data = [(i, symbolic(0, i, 60), "en", "a") for i in range(120)]
+    data += [(500, symbolic(0, 5, 60) + "#" * 4, "en", "a"), (501, symbolic(0, 5, 60) + "#" * 6, "en", "a"), (502, symbolic(0, 5, 600) + "#" * 6, "en", "a"), (503, symbolic(0, 5, 600) + "#" * 14, "en", "a")]
     kept = {r["doc_id"]: r["kept"] for r in quality.annotate(frame(spark, data)).collect()}
-    assert kept[500] and not kept[501]
+    assert [kept[i] for i in (500, 501, 502, 503)] == [True, False, True, False]
+
+
+def test_symbols_that_most_texts_of_either_source_lack(spark):
+    """Rare in one source, usual in a part of another: zeros in most texts of both don't make their cutoffs alike."""
+    data = [(i, symbolic(0 if i % 10 else 3, i), "en", "prose") for i in range(200)] + [(1000 + i, symbolic(0 if i % 5 < 3 else 60 + i % 9, i), "en", "code") for i in range(200)]
+    data += [(5000, symbolic(50, 3), "en", "prose"), (5001, symbolic(50, 3), "en", "code")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.annotate(frame(spark, data)).collect()}
+    assert not kept[5000] and kept[5001] and all(k for i, k in kept.items() if i < 5000)
+
+
+def test_small_groups_lean_on_wider_ones(spark):
+    """A source of a few texts is judged by its language's sketch, one of many by its own; between them the own texts
+    count for what they are, without a size at which this changes."""
+    cuts = {}
+    for n in (1, 4, 60, 200):
+        data = [(i, symbolic(0, i), "en", "prose") for i in range(300)] + [(1000 + i, symbolic(100, i), "en", "code") for i in range(n)]
+        measured = quality.measure(frame(spark, data))
+        cuts[n] = {r["source_key"]: r["__cut_symbols"] for r in quality.cutoffs(quality.sketch(measured, measured["lang"], measured["source"])).collect()}["=code"]
+    assert cuts[1] == 0 and cuts[4] == 0 and cuts[60] > 80 and cuts[200] > 80
 
 
 def test_language(spark):

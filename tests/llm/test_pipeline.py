@@ -1,5 +1,6 @@
 """The pipeline's stages one after the other against a brute-force version of each on the same input."""
 
+import math
 from collections import Counter, defaultdict
 
 from tokenizers import Tokenizer
@@ -19,7 +20,7 @@ def brute_kept(data):
         lines = sum(bool(words(x)) for x in (t or "").split("\n"))
         share = lambda a, b: a * 1000 // b if b else 0
         counts = {"symbols": symbols, "lines": dup, "repeats": repeated}
-        measured.append(((d, t), lang, source, failed, {"symbols": share(symbols, chars), "lines": share(dup, lines), "repeats": share(repeated, n)}, counts))
+        measured.append(((d, t), lang, source, failed, {"symbols": share(symbols, chars), "lines": share(dup, lines), "repeats": share(repeated, n)}, counts, {"symbols": chars, "lines": lines, "repeats": n}))
 
     def down(v):
         step = max(0, v.bit_length() - 5)
@@ -27,12 +28,15 @@ def brute_kept(data):
 
     def cutoff(rate, lang, source):
         passing = [(m[1], m[2], down(m[4][rate])) for m in measured if not m[3]]
-        groups = [[v for a, b, v in passing if (a, b) == (lang, source)], [v for a, _, v in passing if a == lang], [v for *_, v in passing]]
-        values = sorted(next((g for g in groups[:2] if len(g) >= quality.LEAST_GROUP), groups[2]))
-        at = lambda q: next(v for i, v in enumerate(values, 1) if i * 100 >= len(values) * q)
+        groups = [[v for *_, v in passing], [v for a, _, v in passing if a == lang], [v for a, b, v in passing if (a, b) == (lang, source)]]
+        everywhere, of_lang, own = map(Counter, groups)
+        wider = lambda v: (of_lang[v] + quality.PRIOR * everywhere[v] / len(groups[0])) / (len(groups[1]) + quality.PRIOR)
+        weight = {v: int(quality.UNIT * (own[v] + quality.PRIOR * wider(v))) for v in sorted(everywhere)}
+        at = lambda q: next(v for v in weight if sum(w for x, w in weight.items() if x <= v) * 100 >= sum(weight.values()) * q)
         return at(quality.LEVELS[rate]) + quality.SPREAD * (at(quality.LEVELS[rate]) - at(50))
 
-    fine = lambda m: all(m[5][r] <= quality.FEW[r] or v <= cutoff(r, m[1], m[2]) for r, v in m[4].items())
+    most = lambda r, m: (math.sqrt(m[6][r] * (cutoff(r, m[1], m[2]) + 1) / 1000) + quality.SPREAD / 2) ** 2
+    fine = lambda m: all(k <= most(r, m) for r, k in m[5].items())
     return Counter(m[0] for m in measured if not m[3] and fine(m))
 
 
