@@ -1,14 +1,17 @@
 """Main text of web pages as a maximum-scoring subsequence, by weights learned from labelled pages.
 
 A page is a sequence of words, which score above zero by how they stand, and of tags, which score below. A linear scan
-finds the contiguous run of highest total score, which is the content region; its text is returned block by block.
+finds the contiguous run of highest total score, which is the content region. A second one leaves out of the run the
+places in it, such as an advert between paragraphs, whose own total is below zero. What is left is returned block by
+block.
 
 All weights are log odds learned from labelled pages, those that mark their content by an article or main element: of
 words by their kind of block, links and length of their run; of tags by name; and of places, the names of sections,
-classes, ids and roles that words stand in. A place whose weight is under OUTSIDE (a menu, an advert) neither scores
-nor is returned. Names that usually mean such places have a prior, which pages can outweigh. The label is used for
-learning alone; labelled and other pages are scored alike. Where that leaves a page with hardly a word, the place that
-holds the most text was named misleadingly and counts as any other.
+classes, ids and roles that words stand in. The tag that opens a place costs CHARGE times its weight, if that is below
+zero, for each word in it, or what a place around it costs, if that is more. Names that usually mean places beside the
+content have a prior, which pages can outweigh; those that mean much else too have it only where the words beside them
+are such names or parts of a layout. The label is used for learning alone; labelled and other pages are scored alike.
+Where the run holds no word but headings, the place that holds the most text was named misleadingly and costs nothing.
 
 Scripts, styles, controls of forms and hidden elements are dropped outright. Character references are decoded; white
 space inside a block becomes one space; blocks are trimmed and joined by one newline. Null, empty or wordless pages
@@ -42,7 +45,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SPACED = frozenset("br td th".split())
 CONTENT = frozenset(("article", "main"))
 FRAMES = ("nav", "header", "footer", "form")
-CONTROLS = frozenset("button label datalist".split())
+CONTROLS = frozenset("button datalist".split())
 #: Elements, roles and words of class and id that usually mean a place beside the content.
 PLACES = frozenset("nav footer aside form header dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -50,12 +53,16 @@ NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner
     cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall
     sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar pagination pager
-    comment comments disqus reply replies respond discussion share sharing social related recommended recommendations
+    comment comments disqus reply replies respond feedback share sharing social related recommended recommendations
     widget widgets login search skip copyright disclaimer hidden""".split()
 )
-PRIOR, OUTSIDE = -2.5, -1.5
-#: Words of a page's text under which a misnamed place is looked for, and the least that it holds.
-HARDLY, MUCH = 10, 100
+#: Of NAMES, those that mean such a place only beside other names of it or parts of a layout.
+LOOSE = frozenset("related recommended recommendations share sharing social header widget widgets notice notices notification hidden search promotion banner alert copyright disclaimer skip subscription advertising".split())
+LAYOUT = frozenset(
+    """area articles bar block bottom box button buttons col column container content count group icon icons image inner item items
+    left link links list main media module outer page panel post posts right row section site slot thread title top unit wrap wrapper zone""".split()
+) - {"image"}
+PRIOR, CHARGE = -2.5, 2.0
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Of NAMES, those that the id of a part of a text may be made from.
@@ -102,6 +109,8 @@ def names_of(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
             # what an element has, as in has-sidebar, isn't what it is; a section's id may be made from its heading
             whole = tag == "article" or name == "id" and tag == "section"
             words = set(value.split() if whole else re.split(r"[^a-z0-9]+", HAS.sub("", value))) - {""}
+            if not whole:
+                words -= {w for part in value.split() for own in [re.split(r"[^a-z0-9]+", part)] for w in own if w in LOOSE and not all(x in NAMES or x in LAYOUT or x.isdigit() or not x for x in own)}
             names |= {f"name {w}" for w in (words - TOPICS if name == "id" and tag == "section" else words)}
         elif name == "role":
             names.add(f"role {value}")
@@ -160,6 +169,7 @@ def items(page: str) -> tuple[list[Item], list[Node]]:
                     close(depth)
             if tag not in VOID and not attributes.endswith("/"):
                 names, dropped = names_of(tag, attributes)
+                dropped |= tag == "label" and opened["form"] > 0
                 if tag == "header" and (opened["article"] or opened["main"] or opened["section"]):  # that of a text
                     names = tuple(n for n in names if n not in ("tag header", "name header"))
                 stack.append((tag, node))
@@ -237,54 +247,71 @@ def count(page: str) -> Counter:
     return out
 
 
-def outside(nodes: list[Node], weights: Weights, spared: frozenset[int] = frozenset()) -> list[int]:
-    """Of each node: the nearest node around it, or itself, that is no place of content; -1 if there is none. Those
-    that are spared count as content, unless they are dropped outright."""
-    out: list[int] = []
+def _upward(nodes: list[Node], at: int) -> Iterator[int]:
+    """A node and those around it, but for the page."""
+    while at:
+        yield at
+        at = nodes[at].parent
+
+
+def cost(node: Node, weights: Weights) -> float:
+    """What a place costs for a word in it, by its own names."""
+    return CHARGE * min(0.0, min((weights.places.get(name, prior(name)) for name in node.names), default=0.0))
+
+
+def charges(nodes: list[Node], weights: Weights, spared: frozenset[int] = frozenset()) -> list[float]:
+    """What each node costs for a word in it; those that are spared cost no more than what is around them."""
+    out: list[float] = []
     for at, n in enumerate(nodes):
-        weight = min((weights.places.get(name, prior(name)) for name in n.names), default=0.0)
-        own = n.dropped or weight < OUTSIDE and at not in spared
-        out.append(at if own else out[n.parent] if at else -1)
+        own = 0.0 if at in spared else cost(n, weights)
+        out.append(min(own, out[n.parent]) if at else own)
     return out
 
 
-def region(found: list[Item], beside: list[int], weights: Weights) -> list[Item]:
-    """The run of items with the highest score, without those beside the content."""
+def score(item: Item, charge: list[float], weights: Weights) -> float:
+    if item.text is None:
+        return weights.tags.get(item.tag, -0.2)
+    return item.words * (word_weight(item, weights) + charge[item.node])
+
+
+def region(found: list[Item], nodes: list[Node], charge: list[float], weights: Weights) -> list[Item]:
+    """The run of items with the highest score, without the text of places in it that score below zero."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for at, i in enumerate(found):
-        if beside[i.node] >= 0:
-            continue
-        if i.text is None:
-            score = weights.tags.get(i.tag, -0.2)
-        elif i.words:
-            score = word_weight(i, weights) * i.words
-        else:
-            continue
         if total <= 0:
             total, start = 0.0, at
-        total += score
+        total += 0.0 if nodes[i.node].dropped else score(i, charge, weights)
         if total > best:
             best, span = total, (start, at + 1)
-    return [i for i in found[slice(*span)] if i.text is None or beside[i.node] < 0]
+    run = found[slice(*span)]
+    totals = [0.0] * len(nodes)
+    for i in run:
+        totals[i.node] += score(i, charge, weights)
+    for at in range(len(nodes) - 1, 0, -1):
+        totals[nodes[at].parent] += totals[at]
+    out = [False] * len(nodes)
+    for at, n in enumerate(nodes):
+        out[at] = n.dropped or at > 0 and (out[n.parent] or charge[at] < charge[n.parent] and totals[at] < 0)
+    return [i for i in run if i.text is None or not out[i.node]]
 
 
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found, nodes = items(page)
-    beside = outside(nodes, weights)
-    content = region(found, beside, weights)
-    if sum(i.words for i in content) < HARDLY:
+    charge = charges(nodes, weights)
+    content = region(found, nodes, charge, weights)
+    if not any(i.words and i.tag not in HEADINGS for i in content):
+        around: list[int] = []  # of each node: the nearest place with a cost, itself included
+        for at, n in enumerate(nodes):
+            around.append(at if cost(n, weights) < 0 else around[n.parent] if at else 0)
         held: Counter = Counter()
         for i in found:
-            if i.words and not i.linked and beside[i.node] >= 0 and not nodes[i.node].dropped:
-                held[beside[i.node]] += i.words
-        place, words = max(held.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
-        if words >= MUCH:
-            spared = [place]
-            while (above := beside[nodes[spared[-1]].parent]) >= 0:
-                spared.append(above)
-            content = region(found, outside(nodes, weights, frozenset(spared)), weights)
+            if i.words and not i.linked and around[i.node] and not nodes[i.node].dropped:
+                held[around[i.node]] += i.words
+        if held:
+            place = min(held, key=lambda a: (-held[a], a))
+            content = region(found, nodes, charges(nodes, weights, frozenset(_upward(nodes, place))), weights)
     blocks: list[str] = []
     held_: list[str] = []
     for i in content:

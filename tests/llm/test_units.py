@@ -192,5 +192,5 @@ def test_weak_labels_find_labelled_quality(spark):
 def test_names():
     names = list(queries())
     assert [n for n in names if n.startswith("op")] == names and set(oracle_sql()) <= set(names)
-    assert [n.split("_")[0] for n in names] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+    assert [n.split("_")[0] for n in names] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"]
     assert len(corpus_pipeline.STAGES) == 5
