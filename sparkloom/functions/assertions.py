@@ -138,8 +138,16 @@ def text_diff(a: Column, b: Column, context: int = 3) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A file name pattern with * and ? as an anchored regex."""
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    """A file name pattern as an anchored regex: * for any text, ? for a character, [a-z] for one of a set and [!a-z]
+    for one of no set. A bracket that isn't closed stands for itself."""
+    parts = re.findall(r"\*|\?|\[!?\]?[^\]]*\]|.", pattern, re.S)
+    each = lambda p: ".*" if p == "*" else "." if p == "?" else _set(p[1:-1]) if len(p) > 2 and p[0] == "[" else re.escape(p)
+    return "(?s)^" + "".join(map(each, parts)) + "$"
+
+
+def _set(inside: str) -> str:
+    negated, inside = inside.startswith("!"), inside.removeprefix("!")
+    return f"[{'^' if negated else ''}{re.sub(r'([][^&~|])', lambda m: chr(92) + m[0], inside.replace(chr(92), chr(92) * 2))}]"
 
 
 def audio_quality(samples: Column, rate: int) -> Column:

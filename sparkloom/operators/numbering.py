@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ def with_checkpoints(spark: SparkSession) -> None:
             if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
+            atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
 
 

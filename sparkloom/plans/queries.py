@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import hashlib
 import uuid
@@ -14,7 +15,7 @@ from sparkloom.functions import assertions, security, text
 from sparkloom.operators import deid, dml, generate, identity, reshape, rollups, sync
 from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.plans.builder import Conditions, Query, literal, predicate, similar_to_regex
-from sparkloom.sources import feed, files, ingest, scripts, transfer, versions
+from sparkloom.sources import feed, files, ingest, scripts, tables, transfer, versions
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -915,22 +916,62 @@ def reverse_lookup(spark, sf_dir):
 
 
 # generated data
+def _unit(key: str, seed: int, number: int | str = 0) -> str:
+    return f"((CAST('0x' || substr(md5({key} || '-{seed}-' || {number}), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52):.1f})"
+
+
+def _of_order(number: int = 0) -> str:
+    return _unit("o_orderkey", 7, number)
+
+
+_NORMAL = f"sqrt(-2 * ln({_of_order()})) * cos(2 * pi() * {_of_order(1)})"
+_ERLANG = lambda *numbers: "(0.0" + "".join(f" - ln({_of_order(i)})" for i in numbers) + ")"
+_STEPPED = lambda steps: f"CAST(len([s FOR s IN [{', '.join(map(repr, steps))}] IF {_of_order()} > s]) AS DOUBLE)"
+_DRAWN = {
+    "uniform": f"{_of_order()} * 100.0",
+    "normal": _NORMAL,
+    "exponential": f"-ln({_of_order()})",
+    "poisson": _STEPPED(generate.poisson_steps(5.0)),
+    "binomial": _STEPPED(generate.binomial_steps(10, 0.5)),
+    "gamma": f"{_ERLANG(0, 1)} * 2.0",
+    "beta": f"{_ERLANG(0, 1)} / ({_ERLANG(0, 1)} + {_ERLANG(*range(2, 7))})",
+    "pareto": f"pow({_of_order()}, -0.5) - 1",
+    "weibull": f"pow(-ln({_of_order()}), 1.0)",
+    "lognormal": f"exp({_NORMAL})",
+}
+
+
 def _generated(name: str) -> Run:
-    return lambda spark, sf_dir: spark.range(10_000).select(generate.distribution(name, 7).alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"))
+    return lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.round(generate.distribution(name, 7, "o_orderkey"), 6).alias("x"))
 
 
-for _name in generate.DISTRIBUTIONS:
+for _name, _sql in _DRAWN.items():
     QUERIES[f"gen_{_name}"] = _generated(_name)
+    ORACLES[f"gen_{_name}"] = f"SELECT o_orderkey, round({_sql}, 6) AS x FROM orders"
 
+_PART = lambda seed, number=0: _unit("p_partkey", seed, number)
 
-@query()
+
+@query(
+    f"""SELECT p_partkey, CAST(trunc({_PART(3)} * 100) AS INT) AS int4_1, CAST(trunc({_PART(4)} * 100) AS INT) AS int4_2, CAST(trunc({_PART(5)} * 100) AS INT) AS int4_3,
+    array_to_string([substr('{generate.ALPHABET.replace("'", "''")}', CAST(floor({_PART(6, "i")} * {len(generate.ALPHABET)}) AS INT) + 1, 1) FOR i IN range(1, 11)], '') AS varchar_1,
+    DATE '2020-01-01' + CAST(trunc({_PART(7)} * 100) AS INT) AS date_1, regexp_replace(md5(p_partkey || '-8'), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS uuid_1 FROM part"""
+)
 def gen_table(spark, sf_dir):
-    return generate.table(spark, 6, 10_001, "int4:2;varchar(10):1;date:1,uuid:1", seed=3)
+    made = generate.with_columns(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 6, "int4:2,int4;varchar(10):1;date:1,uuid:1", seed=3)
+    return made.withColumnRenamed("varchar(10)_1", "varchar_1")
+
+
+_CUSTOMER = lambda seed, number=0: _unit("c_custkey", seed, number)
 
 
-@query()
+@query(
+    f"""SELECT c_custkey, ['Ada', 'Ben', 'Chloe', 'Dan', 'Eve', 'Finn'][CAST(floor({_CUSTOMER(5)} * 6) AS INT) + 1] AS first_name, ['Hill', 'Lake', 'Moor', 'Reed', 'Wood'][CAST(floor({_CUSTOMER(6)} * 5) AS INT) + 1] AS last_name,
+    DATE '1940-01-01' + CAST(floor({_CUSTOMER(7)} * (DATE '2005-12-31' - DATE '1940-01-01' + 1)) AS INT) AS birth_date, round({_CUSTOMER(8)} * 60 + 140, 2) AS height_cm, round({_CUSTOMER(9)} * 70 + 45, 2) AS weight_kg,
+    {" || ".join("'-'" if c == "-" else f"CAST(floor({_CUSTOMER(10, i)} * 10) AS INT)" for i, c in enumerate("###-###-####"))} AS phone FROM customer"""
+)
 def gen_profile(spark, sf_dir):
-    return generate.profiles(spark, "personal", 1000, 5)
+    return generate.with_profile(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "personal", 5)
 
 
 # functions over columns: text
@@ -956,10 +997,10 @@ def rough_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(ascii_).cast("int").alias("n"))
 
 
-@query("SELECT n_nationkey, replace(replace('Dear {{name}} of {{region}}, {{name}}!', '{{name}}', n_name), '{{region}}', CAST(n_regionkey AS VARCHAR)) AS letter FROM nation")
+@query("SELECT c_custkey, replace(replace('Dear {{name}} of {{region}}, {{name}}!', '{{name}}', c_name), '{{region}}', n_name) AS letter FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def filled_template(spark, sf_dir):
-    letter = text.fill_template(F.lit("Dear {{name}} of {{region}}, {{name}}!"), {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")})
-    return table(spark, sf_dir, "nation").select("n_nationkey", letter.alias("letter"))
+    letter = text.fill_template(F.lit("Dear {{name}} of {{region}}, {{name}}!"), {"name": F.col("c_name"), "region": F.col("n_name")})
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", letter.alias("letter"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
@@ -1040,10 +1081,9 @@ def text_predicates(spark, sf_dir):
     )
 
 
-@query("SELECT n_nationkey, CASE WHEN greatest(length(n_name), length(r_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)) END AS share FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT p_partkey, CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) END AS share FROM part")
 def edit_share(spark, sf_dir):
-    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select("n_nationkey", assertions.levenshtein_share(F.col("n_name"), F.col("r_name")).alias("share"))
+    return table(spark, sf_dir, "part").select("p_partkey", assertions.levenshtein_share(F.col("p_name"), F.col("p_type")).alias("share"))
 
 
 @query("SELECT o_orderkey, o_totalprice > 100000 AS above, o_totalprice < 100000 AS below, o_totalprice >= 50000 AS least, o_totalprice <= 50000 AS most, abs(o_totalprice - 100000) > greatest(1e-9 * greatest(abs(o_totalprice), 100000), 10) AS other FROM orders")
@@ -1249,7 +1289,9 @@ def paged_listing(spark, sf_dir):
 def folder(spark: SparkSession, name: str) -> str:
     """A new place in the folder for checkpoints, which the driver and all executors share."""
     with_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(files.removed_quietly, spark, path)
+    return path
 
 
 def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1270,8 +1312,53 @@ def csv_round_trip(spark, sf_dir):
 @query(f"SELECT c_custkey, segment, c_name FROM {_TEXTS}")
 def psv_to_parquet(spark, sf_dir):
     path = folder(spark, "convert")
-    files.write_text_table(customer_texts(spark, sf_dir), f"{path}/source")
-    return spark.read.parquet(files.convert(spark, f"{path}/source", "parquet", f"{path}/target"))
+    files.write_text_table(customer_texts(spark, sf_dir), f"{path}/source", "psv")
+    tabs = files.convert(spark, f"{path}/source", "tsv", f"{path}/tabs", "psv")
+    return spark.read.parquet(files.convert(spark, tabs, "parquet", f"{path}/target", "tsv"))
+
+
+@query("SELECT c_custkey, c_name, kind FROM customer, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) v(kind)")
+def loaded_by_ending(spark, sf_dir):
+    """A table written as files of four kinds, each read by the reader of its ending."""
+    c, path, out = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), folder(spark, "endings"), None
+    files.write_text_table(c, f"{path}/t.csv")
+    c.write.json(f"{path}/t.json")
+    c.write.orc(f"{path}/t.orc")
+    c.write.parquet(f"{path}/t.parquet")
+    for kind in ("csv", "json", "orc", "parquet"):
+        rows = files.load(spark, f"{path}/t.{kind}").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.lit(kind).alias("kind"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"SELECT c_custkey, segment, 'a' AS part FROM {_TEXTS} UNION ALL SELECT c_custkey, NULL, 'b' FROM {_TEXTS}")
+def merged_files(spark, sf_dir):
+    """All tables of a folder as one, columns by name."""
+    path, df = folder(spark, "merge"), customer_texts(spark, sf_dir)
+    files.write_text_table(df.select("segment", "c_custkey", F.lit("a").alias("part")), f"{path}/a")
+    files.write_text_table(df.select(F.lit("b").alias("part"), "c_custkey"), f"{path}/b")
+    return files.merged_tables(spark, path).select("c_custkey", "segment", "part")
+
+
+@query("SELECT c_custkey, CAST(c_mktsegment IS NOT NULL AS INT) AS has_segment FROM customer")
+def masked_sink(spark, sf_dir):
+    """A masked table as it is written, and none of an empty one."""
+    path = folder(spark, "masked")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").isNotNull().cast("int").alias("has_segment"))
+    if files.write_masked(rows.limit(0), path, "none", "1") is not None:
+        raise AssertionError("an empty table was written")
+    return files.read_text_table(spark, files.write_masked(rows, path, "phi", "1"), "|").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("has_segment").cast("int").alias("has_segment"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def migrated_table(spark, sf_dir):
+    """A table copied into a schema of the catalog, where it has to be made first."""
+    name = f"m{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE SCHEMA {name} LOCATION '{folder(spark, name)}'")
+    done = tables.migrate(spark, {"orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")}, name, "s__").first()
+    if done["action"] != "created":
+        raise AssertionError(done["detail"])
+    return spark.table(f"{name}.s__orders")
 
 
 @query(f"SELECT c_custkey, segment, NULL AS more FROM {_TEXTS} UNION ALL SELECT c_custkey, segment, c_name FROM {_TEXTS}")
@@ -1344,12 +1431,12 @@ def batch_of_changes(spark, sf_dir):
     return store.read("t")
 
 
-@query("SELECT n_name, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey + 1 FROM nation")
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders")
 def snapshot_versions(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     store = versions.Snapshots(spark, folder(spark, "versions"))
-    store.write(n)
-    store.write(store.read().withColumn("n_regionkey", (F.col("n_regionkey") + 1).cast("int")))
+    store.write(o)
+    store.write(store.read().withColumn("o_custkey", F.col("o_custkey") + 1))
     return store.read(1).union(store.read())
 
 
@@ -1390,10 +1477,10 @@ def new_ids(spark, sf_dir):
     return ids.agg(F.count("id").alias("ids"), F.count_distinct("id").alias("different"), F.bool_and(F.col("id").rlike("^[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}$")).alias("upper_case"))
 
 
-@query("SELECT p_partkey, p_type GLOB '*STEEL' AS steel, p_brand GLOB 'Brand#?1' AS first FROM part")
+@query("SELECT p_partkey, p_type GLOB '*STEEL' AS steel, p_brand GLOB 'Brand#?1' AS first, regexp_matches(p_brand, '^Brand#[1-3][^1-3]$') AS among FROM part")
 def glob_names(spark, sf_dir):
     match = lambda c, pattern: F.col(c).rlike(assertions.glob_regex(pattern))
-    return table(spark, sf_dir, "part").select("p_partkey", match("p_type", "*STEEL").alias("steel"), match("p_brand", "Brand#?1").alias("first"))
+    return table(spark, sf_dir, "part").select("p_partkey", match("p_type", "*STEEL").alias("steel"), match("p_brand", "Brand#?1").alias("first"), match("p_brand", "Brand#[1-3][!1-3]").alias("among"))
 
 
 @query(f"SELECT tokenid, detokenid, 'tokens' AS part FROM {_CROSS} UNION ALL SELECT 'T' || c_custkey, 'M' || c_custkey, 'tokens' FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT NULL, 'M' || c_custkey, 'hashes' FROM customer WHERE c_custkey % 3 <> 0")
@@ -1409,11 +1496,15 @@ def r1_columns(spark, sf_dir):
     return identity.token_rows(token_facts(spark, sf_dir)).select("tokenid", "create_date", "alt_tokenid", "detokenid")
 
 
-@query("SELECT * FROM (VALUES (1, 'CREATE TABLE t (id INTEGER, ok INTEGER)'), (2, 'INSERT INTO t VALUES (1, 1, ''s.t; TRUE'')'), (3, 'SELECT CURRENT_TIMESTAMP FROM t')) AS v(number, statement)")
+@query(
+    """SELECT o_orderkey, 0 AS number, 'CREATE TABLE t' || o_orderkey || ' (id INTEGER, ok INTEGER)' AS statement FROM orders UNION ALL SELECT o_orderkey, 1, 'INSERT INTO t' || o_orderkey || ' VALUES (' || o_orderkey || ', 1, ''s.t; TRUE'')' FROM orders
+    UNION ALL SELECT o_orderkey, 2, 'SELECT CURRENT_TIMESTAMP FROM t' || o_orderkey FROM orders"""
+)
 def script_statements(spark, sf_dir):
-    script = "CREATE TABLE s.t (id BIGSERIAL, ok BOOLEAN); -- a; comment\nINSERT INTO s.t VALUES (1, TRUE, 's.t; TRUE') RETURNING id;;\nSELECT NOW() FROM s.t"
-    rows = [(i, scripts.normalize(sql, "sqlite")) for i, sql in enumerate(scripts.statements(script), 1)]
-    return spark.createDataFrame(rows, "number int, statement string")
+    """A script per order, split and rewritten for another dialect."""
+    script = "CREATE TABLE s.t{k} (id BIGSERIAL, ok BOOLEAN); -- a; comment\nINSERT INTO s.t{k} VALUES ({k}, TRUE, 's.t; TRUE') RETURNING id;;\nSELECT NOW() FROM s.t{k}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(F.lit(script), F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("script"))
+    return o.select("o_orderkey", F.posexplode(scripts.normalized_statements(F.col("script"), "sqlite")).alias("number", "statement"))
 
 
 @query("SELECT 's' AS script, number, ok FROM (VALUES (1, true), (2, false), (3, true)) AS v(number, ok)")

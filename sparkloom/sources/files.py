@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def removed_quietly(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the process ends; the session may have been stopped before."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_crosswalk(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Distinct rows of a pipe-delimited file, its declared columns only; an empty table if there is no such file."""
     if not exists(spark, path):
@@ -85,15 +94,46 @@ def write_text_table(df: DataFrame, path: str, kind: str = "csv", sep: str | Non
         raise ValueError(f"unknown file kind: {kind}")
 
 
-def convert(spark: SparkSession, source: str, kind: str, target: str) -> str:
-    """Writes the comma-separated table source as another kind, Parquet by snappy, and gives the folder that holds it:
-    target, or source for a kind that isn't known. The source stays until the caller removes it."""
+def convert(spark: SparkSession, source: str, kind: str, target: str, source_kind: str = "csv") -> str:
+    """Writes the table source, of one of SEPARATORS' kinds or Parquet, as another kind, Parquet by snappy, and gives
+    the folder that holds it: target, or source for a kind that isn't known. The source stays until the caller removes
+    it."""
     if kind != "parquet" and kind not in SEPARATORS:
         return source
-    write_text_table(read_text_table(spark, source), target, kind)
+    rows = spark.read.parquet(source) if source_kind == "parquet" else read_text_table(spark, source, SEPARATORS[source_kind])
+    write_text_table(rows, target, kind)
     return target
 
 
+#: Readers of tables by the ending of a file's name; loader() adds to them.
+LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{kind: partial(lambda sep, spark, path: read_text_table(spark, path, sep), sep) for kind, sep in SEPARATORS.items()},
+    "parquet": lambda spark, path: spark.read.parquet(path),
+    "json": lambda spark, path: spark.read.json(path),
+    "jsonl": lambda spark, path: spark.read.json(path),
+    "orc": lambda spark, path: spark.read.orc(path),
+    "txt": lambda spark, path: spark.read.text(path),
+}
+
+
+def loader(ending: str) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    """Registers a reader for an ending, in place of the one that there is."""
+
+    def add(read: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        LOADERS[ending.lower().lstrip(".")] = read
+        return read
+
+    return add
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A file or folder by the reader of its ending."""
+    ending = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+    if ending not in LOADERS:
+        raise ValueError(f"no reader for {path}: one of {sorted(LOADERS)}")
+    return LOADERS[ending](spark, path)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Renames a file or folder; across file systems it is copied and then removed. The target must not be there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -5,10 +5,14 @@ from __future__ import annotations
 import logging
 import re
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.operators.numbering import with_checkpoints
 
 #: A string, an identifier in quotes, a comment, or the end of a statement.
 _PART = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;", re.S)
@@ -102,10 +106,22 @@ def read_script(path: Path) -> str:
         return data.decode("latin-1")
 
 
+def normalized_statements(script: Column, dialect: str) -> Column:
+    """The statements of each row's script, in the words of a dialect; null for null."""
+
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if s is None else [normalize(x, dialect) for x in statements(s)] for s in batch.to_pylist()], pa.list_(pa.string()))
+
+    return split(script)
+
+
 def run(spark: SparkSession, scripts: Sequence[tuple[str, str]], stop_on_error: bool = False) -> tuple[list[DataFrame], DataFrame]:
     """Runs (name, script) pairs. The results of selects, and a table of statistics per statement. Every select is
-    computed once, to nowhere, so that its time and success are those of its run; its result is computed again when it
-    is used. Scripts stay on the driver; their tables don't."""
+    computed once, as a checkpoint, so that its time and success are those of its run and its result is at hand.
+    Scripts stay on the driver; their tables don't."""
+    with_checkpoints(spark)
     results, rows = [], []
     for name, script in scripts:
         for number, sql in enumerate(statements(script), 1):
@@ -113,8 +129,7 @@ def run(spark: SparkSession, scripts: Sequence[tuple[str, str]], stop_on_error:
             try:
                 df = spark.sql(normalize(sql, "spark"))
                 if is_select(sql):
-                    df.write.format("noop").mode("overwrite").save()
-                    results.append(df)
+                    results.append(df.checkpoint())
             except Exception as e:  # noqa: BLE001  reported with the statement
                 error = str(e).splitlines()[0][:500]
                 if stop_on_error:

@@ -446,3 +446,48 @@ def test_profiles_merge_and_copy_no_rows(spark):
     assert found["a"]["quantiles"][0] == 0 and found["a"]["quantiles"][2] == 999 and abs(found["a"]["quantiles"][1] - 500) < 50
     assert found["f"]["quantiles"] is None and found["c d"]["quantiles"] is None
     assert {r["column"]: (r["rows"], r["distinct"], r["issue"]) for r in reshape.profile(df.limit(0).select("a", "f")).collect()} == {"a": (0, 0, "none"), "f": (0, 0, "none")}
+
+
+def test_globs_with_sets():
+    import fnmatch
+
+    rng = random.Random(8)
+    for _ in range(2000):
+        pattern = "".join(rng.choice(["a", "b", "*", "?", "[ab]", "[!a]", "[a-c]", "[^b]", "[]a]", "[", ".", "\\"]) for _ in range(rng.randrange(6)))
+        name = "".join(rng.choice("abcd^].[\\") for _ in range(rng.randrange(6)))
+        assert bool(re.search(assertions.glob_regex(pattern), name)) == fnmatch.fnmatchcase(name, pattern), (pattern, name)
+
+
+def test_jitter():
+    assert all(0 <= d <= 4 for d in config.delays(3, jitter="full", seed=1)) and config.delays(3, jitter=True, seed=1) == config.delays(3, jitter="full", seed=1)
+    for base, d in zip(config.delays(50, most=8), config.delays(50, most=8, jitter="uniform", seed=2), strict=True):
+        assert 0.75 * base <= d <= 1.25 * base
+    with pytest.raises(ValueError):
+        config.delays(1, jitter="odd")
+
+
+def test_readers_by_ending(spark, tmp_path):
+    (tmp_path / "t.PSV").write_text("a|b\n1|x\n")
+    assert [tuple(r) for r in files.load(spark, str(tmp_path / "t.PSV")).collect()] == [("1", "x")]
+    with pytest.raises(ValueError):
+        files.load(spark, str(tmp_path / "t.odd"))
+
+    @files.loader(".odd")
+    def odd(session, path):
+        return session.read.text(path).withColumnRenamed("value", "line")
+
+    try:
+        (tmp_path / "t.odd").write_text("one\ntwo\n")
+        assert files.load(spark, str(tmp_path / "t.odd")).columns == ["line"]
+    finally:
+        del files.LOADERS["odd"]
+
+
+def test_generated_values_follow_from_their_row(spark):
+    df = spark.range(500).withColumn("k", F.concat(F.lit("x"), "id"))
+    made = lambda d: {r["id"]: tuple(r) for r in generate.with_profile(generate.with_columns(d, "k", 4, "varchar(5):1;time:1;datetime:1", "normal", 9), "k", "medical", 4).collect()}
+    assert made(df.repartition(7)) == made(df.coalesce(1)) and len({v[2:] for v in made(df).values()}) == 500
+    draws = df.select("id", *[generate.distribution(n, 1, "k", **p).alias(n) for n, p in (("poisson", {"lam": 400.0}), ("gamma", {"shape": 2.5}), ("beta", {"a": 0.5}), ("binomial", {"n": 1000}))])
+    assert sorted(draws.repartition(5).collect()) == sorted(draws.coalesce(1).collect())
+    mean = draws.agg(F.avg("poisson"), F.avg("gamma"), F.avg("binomial")).first()
+    assert mean[0] == pytest.approx(400, abs=5) and mean[1] == pytest.approx(5, abs=0.6) and mean[2] == pytest.approx(500, abs=5)
