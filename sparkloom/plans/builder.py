@@ -235,6 +235,27 @@ class Query:
     def has_column(self, name: str) -> bool:
         return len(self.remove_column(name).items) < len(self.items)
 
+    def add_column(self, *columns: Any) -> Query:
+        return self.select(*columns)
+
+    def get_columns(self) -> list[str]:
+        """The items in order, as they were given."""
+        return list(self.items)
+
+    def aliases(self) -> dict[str, str]:
+        """Expressions by alias."""
+        return {a: e for e, a in map(alias_of, self.items) if a}
+
+    @property
+    def is_select_all(self) -> bool:
+        return not self.items or self.items == ("*",)
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def __bool__(self) -> bool:
+        return True  # a query of all columns is one too
+
     def alias(self, name: str) -> Query:
         return replace(self, source=self.source.alias(checked(name)))
 
@@ -330,7 +351,7 @@ class Query:
         return self.to_df()._jdf.queryExecution().optimizedPlan().toString()
 
     def info(self) -> dict[str, Any]:
-        return {"columns": list(self.items), "distinct": self.is_distinct, "conditions": len(self.conditions.items), "joins": len(self.joins), "group_by": list(self.groups), "having": list(self.havings), "order_by": list(self.orders), "limit": self.n_limit, "offset": self.n_offset, "options": dict(self.options)}
+        return {"columns": list(self.items), "distinct": self.is_distinct, "conditions": len(self.conditions.items), "select_all": self.is_select_all, "aliases": self.aliases(), "joins": [{"how": how, "on": on if on is None or isinstance(on, str) else str(on), "columns": list(other.columns)} for other, on, how in self.joins], "group_by": list(self.groups), "having": list(self.havings), "order_by": list(self.orders), "limit": self.n_limit, "offset": self.n_offset, "options": dict(self.options)}
 
     def to_df(self) -> DataFrame:
         df = self.source

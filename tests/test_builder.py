@@ -102,3 +102,13 @@ def test_changes(people):
         with pytest.raises(ValueError):
             bad()
     assert dml.update(people, {"age": 1}, allow_full=True).agg(F.sum("age")).first()[0] == 4
+
+
+def test_what_a_query_tells_of_itself(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    q = Query(df)
+    assert q.is_select_all and len(q) == 0 and q and q.get_columns() == []
+    q = q.add_column("id", "upper(name) AS big", ["ID", None]).join(df.alias("o"), "o.id = id", "left")
+    assert q.get_columns() == ["id", "upper(name) AS big"] and q.aliases() == {"big": "upper(name)"} and len(q) == 2 and not q.is_select_all
+    assert q.has_column("big") and not q.remove_column("big").has_column("big") and len(q) == 2
+    assert q.info()["joins"] == [{"how": "left", "on": "o.id = id", "columns": ["id", "name"]}] and q.info()["aliases"] == {"big": "upper(name)"}
