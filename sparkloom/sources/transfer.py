@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators.numbering import numbered, with_checkpoints
 from sparkloom.sources.files import exists
 
 #: Reads the rows of a source that pass a predicate.
@@ -45,10 +46,20 @@ def literal(value: Any) -> str:
 
 
 def bounds(keys: DataFrame, parts: int, sample: int = 100_000) -> list[Any]:
-    """Where all ranges of a key but the first begin: quantiles of at most sample of the keys, drawn evenly."""
-    name = keys.columns[0]
-    drawn = sorted(r[0] for r in keys.where(F.col(name).isNotNull()).orderBy(F.rand(0)).limit(sample).collect())
-    return sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)} - set(drawn[:1])) if drawn else []
+    """Where all ranges of a key but the first begin: quantiles of at most sample of the keys, drawn evenly. The keys
+    are read once and written; they are drawn, sorted and numbered in parts, so that only the quantiles, and the least
+    key, come to the driver. Equal keys are told apart by a random number, so that a frequent one fills several parts."""
+    with_checkpoints(keys.sparkSession)
+    key, draw = F.col("key"), F.col("draw")
+    drawn = keys.toDF("key").where(key.isNotNull()).withColumn("draw", F.rand(0)).checkpoint()
+    if (n := drawn.count()) > sample:
+        few = drawn.where(draw < (sample + 6 * sample**0.5 + 36) / n)  # seldom too few, so that the rest needn't be sorted
+        drawn = numbered(few, draw, key).where(F.col("number") <= sample).drop("number").checkpoint()
+        n = drawn.count()
+    places = {i * n // parts + 1 for i in range(parts)} if n else set()
+    found = numbered(drawn, key, draw).where(F.col("number").isin(*places)).select("number", "key").collect() if places else []
+    at = {r["number"]: r["key"] for r in found}  # a row per range
+    return sorted(set(at.values()) - {at[1]}) if at else []
 
 
 def predicates(key: str, starts: Sequence[Any]) -> list[str]:

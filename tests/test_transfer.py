@@ -74,3 +74,14 @@ def test_from_a_database(spark, tmp_path):
     checks = copy.run(transfer.of_jdbc(spark, options, "people")).collect()
     assert len(checks) == 7 and all(r["same"] for r in checks) and {r["rows"] for r in checks if r["rows"]} <= {83, 84}
     assert sorted(copy.rows().collect()) == sorted(df.collect())
+
+
+def test_only_the_quantiles_come_to_the_driver(spark, monkeypatch):
+    df, given = spark.range(5000).select((F.col("id") * 37 % 5000).alias("k")), []
+    kind = type(df)
+    monkeypatch.setattr(kind, "collect", lambda self, collect=kind.collect: given.append(collect(self)) or given[-1])
+    assert transfer.bounds(df, 5, 5000) == transfer.bounds(df, 5) == [1000, 2000, 3000, 4000]
+    assert transfer.bounds(df.select(F.when(F.col("k") < 3500, 7).otherwise(F.col("k")).alias("k")), 5) == [4000]
+    some = transfer.bounds(df, 5, 1000)
+    assert len(some) == 4 and all(abs(a - b) < 400 for a, b in zip(some, (1000, 2000, 3000, 4000), strict=True))
+    assert max(map(len, given)) <= 5
