@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,10 @@ from sparkloom.functions.text import without_fragment
 from sparkloom.operators import limits
 from sparkloom.operators.dml import first_rows
 from sparkloom.operators.numbering import with_checkpoints
+from sparkloom.sources.files import removed_quietly
 
+#: Of more nodes than SMALL, pointers are led up to one of LEADERS nodes first.
+SMALL, LEADERS = 200_000, 8
 MODES = {"upload": ("upload", "update_remote"), "download": ("download", "update_local"), "manual": (), "auto": ("upload", "download", "update_local", "update_remote", "local_conflict", "remote_conflict", "refresh", "forget")}
 
 
@@ -153,22 +159,45 @@ def crawl(edges: DataFrame, start: DataFrame, depth: int, internal: bool = True)
     return seen
 
 
-def _above(nodes: DataFrame, step: Column, first: Column, name: str) -> tuple[DataFrame, int]:
-    """id, top and name of nodes (id, parent and what first needs) that lead up to one without a parent, by pointer
-    doubling: each turn a node's pointer goes on to where the one it points to points, so that turns grow with the
-    logarithm of the depth. name is first at the start and step of what both hold, `upper` and `lower`, then. Also the
-    number of turns. Nodes in circles, below them or below an unknown id are left out; a turn is written, so that a
-    lost executor repeats it alone."""
+def _above(nodes: DataFrame, step: Column, first: Column, name: str, small: int = SMALL) -> tuple[DataFrame, int]:
+    """id, top and name of nodes (id, parent and what first needs) that lead up to one without a parent. name is first
+    at the start and step of what both hold, `upper` and `lower`, where a pointer goes on. Also the number of turns.
+    Nodes in circles, below them or below an unknown id are left out."""
     with_checkpoints(nodes.sparkSession)
+    place = f"{nodes.sparkSession.sparkContext.getCheckpointDir()}/above-{uuid.uuid4().hex[:12]}"
+    atexit.register(removed_quietly, nodes.sparkSession, place)
     is_root = F.col("parent").isNull()
-    state = nodes.select("id", F.when(is_root, F.col("id")).otherwise(F.col("parent")).alias("top"), first.alias(name), is_root.alias("done")).checkpoint()
-    most, turns = state.count().bit_length() + 1, 0
-    while turns < most and state.where("not done").limit(1).count():
-        upper = state.select(F.col("id").alias("top"), F.col("top").alias("__top"), F.col(name).alias("upper"), F.col("done").alias("__done"))
-        lower = state.where("not done").select("id", "top", F.col(name).alias("lower"))
-        state = state.where("done").unionByName(lower.join(upper, "top").select("id", F.col("__top").alias("top"), step.alias(name), F.col("__done").alias("done"))).checkpoint()
+    return _lifted(nodes.select("id", F.when(is_root, F.col("id")).otherwise(F.col("parent")).alias("top"), first.alias(name), is_root.alias("done")), step, name, place, small)
+
+
+def _lifted(state: DataFrame, step: Column, name: str, place: str, small: int, level: int = 0) -> tuple[DataFrame, int]:
+    """What _above() returns, of id, top, name and done, by pointer doubling: each turn a node's pointer goes on to
+    where the one it points to points, so that turns grow with the logarithm of the depth. Of more than small nodes,
+    pointers wait at leaders, one of LEADERS nodes by a hash, which few turns reach; the leaders alone, with pointers
+    to leaders, are then led up likewise, and the others take what their leader has. Only pointers that went on are
+    written by a turn, so that a lost executor repeats it alone and tasks don't add up over turns."""
+    spark, kind = state.sparkSession, state.schema["top"].dataType
+    folder = f"{place}/{level}"
+    state.withColumn("turn", F.lit(0)).write.parquet(f"{folder}/0")
+    now = spark.read.parquet(f"{folder}/0")
+    columns, n = now.schema, now.count()
+    leads = lambda c: (F.xxhash64(F.col(c).cast(kind), F.lit(level)) % LEADERS == 0) if n > small else F.lit(False)
+    goes_on = ~F.col("done") & ~leads("top")
+    most, turns = n.bit_length() + 1, 0
+    while turns < most and now.where(goes_on).limit(1).count():
         turns += 1
-    return state.where("done").drop("done"), turns
+        upper = now.where(~leads("id")).select(F.col("id").alias("top"), F.col("top").alias("__top"), F.col(name).alias("upper"), F.col("done").alias("__done"))
+        lower = now.where(goes_on).select("id", "top", F.col(name).alias("lower"))
+        went = lower.join(upper.hint("merge"), "top").select("id", F.col("__top").alias("top"), step.alias(name), F.col("__done").alias("done"), F.lit(turns).alias("turn"))
+        went.write.parquet(f"{folder}/{turns}")
+        now = spark.read.schema(columns).parquet(*[f"{folder}/{i}" for i in range(turns + 1)]).where(~goes_on | (F.col("turn") == turns))
+    found = now.where("done").select("id", "top", name)
+    if n <= small:
+        return found, turns
+    led, more = _lifted(now.where(leads("id") & ~goes_on).drop("turn"), step, name, place, small, level + 1)
+    upper = led.select(F.col("id").alias("top"), F.col("top").alias("__top"), F.col(name).alias("upper"))
+    lower = now.where(~F.col("done") & leads("top")).select("id", "top", F.col(name).alias("lower"))
+    return found.unionByName(lower.join(upper.hint("merge"), "top").select("id", F.col("__top").alias("top"), step.alias(name))), turns + more
 
 
 def depths(nodes: DataFrame) -> DataFrame:

@@ -295,6 +295,26 @@ def test_paths_take_turns_by_the_logarithm_of_the_depth(spark):
     assert sync.depths(nodes.limit(0)).collect() == []
 
 
+def test_large_trees_are_led_up_by_leaders(spark):
+    """With a bound of few nodes: a chain whose ids are in no order, a broad tree, circles and unknown ids."""
+    rows = [(i * 701 % 3000, (i - 1) * 701 % 3000 if i else None) for i in range(3000)] + [(10_000 + i, 10_000 + (i - 1) // 9 if i else None) for i in range(500)]
+    odd = [(20_000 + i, 20_000 + (i + 1) % 7) for i in range(7)] + [(21_000, 20_000), (30_000, 99_999), (30_001, 30_000), (40_000, 40_000)]
+    want = {}
+    for i, parent in rows:
+        root, depth, path = want.get(parent, (i, -1, ""))
+        want[i] = (root, depth + 1, f"{path}/{i}")
+    nodes = spark.createDataFrame(rows + odd, "id int, parent long")
+    whole = F.struct((F.col("upper.d") + F.col("lower.d")).alias("d"), F.concat("upper.p", "lower.p").alias("p"))
+    first = F.struct(F.when(F.col("parent").isNull(), 0).otherwise(1).alias("d"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("p"))
+    got = sync._above(nodes, whole, first, "of", small=100)[0].collect()
+    assert {r["id"]: (r["top"], r["of"]["d"], r["of"]["p"]) for r in got} == want and len(got) == len(want)
+
+
+def test_tasks_do_not_add_up_over_turns(spark):
+    nodes = spark.range(3000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    assert sync.depths(nodes).rdd.getNumPartitions() <= 8 < sync.depths(nodes).count()
+
+
 def test_change_feed_goes_on_where_it_stopped(spark):
     feed = spark.createDataFrame([("a", 1), ("b", 2)], "id string, page int")
     taken, state = sync.changes_after(feed, None, "page")
